@@ -134,7 +134,7 @@ def _counted(ledger_log: DataFrame, probes: DataFrame, hot_rows: int) -> DataFra
     """Running count of ledger rows per key. sub: -1 probe before, 0 ledger row, 1 probe after its instant."""
     rows = ledger_log.select("set", "key", "ts", F.lit(0).alias("sub"), "seq", "transaction_id", F.lit(1).alias("n"))
     edge = lambda ts, sub: probes.select("set", "key", F.col(ts).alias("ts"), F.lit(sub).alias("sub"),
-                                         F.lit(0).cast("bigint").alias("seq"), "transaction_id", F.lit(0).alias("n"))
+                                         F.lit(None).cast(ledger_log.schema["seq"].dataType).alias("seq"), "transaction_id", F.lit(0).alias("n"))
     log = rows.unionByName(edge("w_lo", -1)).unionByName(edge("w_hi", 1))
     return running_by_key(log, ["set", "key"], _ORDER, {"before": ("sum", F.col("n"))},
                           block=time_block("ts", DAY_SECONDS), hot_rows=hot_rows)

@@ -166,7 +166,7 @@ _STATS = ("size", "phones", "devices", "addrs", "orders", "rto", "delivered")
 
 def _log_rows(df: DataFrame, key: str, kind: int | Column, sub: int, **cols: Column) -> DataFrame:
     """Rows of a mixed log; the columns a row does not carry are NULL."""
-    names = {"label": "string", "link": "int", "phone_link": "int", "read_seq": "long",
+    names = {"label": "string", "link": "int", "phone_link": "int", "read_seq": df.schema["seq"].dataType,
              **{s: "long" for s in _STATS}}
     k = F.lit(kind) if isinstance(kind, int) else kind
     return df.select(F.col(key).alias("key"), "ts", k.alias("kind"), "seq", F.lit(sub).alias("sub"),

@@ -1,0 +1,6 @@
+"""Registered queries, by section, with their oracle SQL."""
+from . import ingest  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+flagship = None

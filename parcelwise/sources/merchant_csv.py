@@ -181,8 +181,8 @@ def normalise_orders(raw: DataFrame, mapping: Mapping) -> DataFrame:
     typed, _ = _typed(raw, mapping)
     labelled, sound = _keep_rule()
     kept = typed.filter(labelled & sound).withColumnRenamed("_label", "rto")
-    # a stable 63-bit tie-break for rows of the same instant; the export has no row number
-    kept = kept.withColumn("seq", F.shiftrightunsigned(F.xxhash64("order_id", "phone", "ts", "cart_gmv"), 1))
+    # orders of the same instant are told apart by their id; the export has no row number
+    kept = kept.withColumn("seq", F.col("order_id"))
     return with_first_order_flag(with_pin_info(kept)).withColumn("cohort", F.lit("unknown"))
 
 

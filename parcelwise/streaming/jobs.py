@@ -142,7 +142,7 @@ def late_splitter(on_time: str, late: str, clock: str, delay_seconds: int, ts: s
 
 # ------------------------------------------------------------------ entity state
 STATE_SCHEMA = ("entity string, key string, salt int, orders long, rto long, delivered long, gmv double, first_ts double, "
-                "last_ts double, recent array<double>, others array<string>")
+                "last_ts double, recent array<double>, new_others array<string>")
 _COUNTS = "orders long, rto long, delivered long, gmv double, first_ts double, last_ts double"
 
 
@@ -150,7 +150,7 @@ class EntityState(StatefulProcessor):
     """Counts, the 40 latest order times and the related ids of one (entity, key, salt).
 
     Every part combines regardless of arrival order, so a hot key may be spread over several salts and a
-    micro-batch needs no sorting.
+    micro-batch needs no sorting. A related id is emitted once, when it is first seen.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -161,6 +161,7 @@ class EntityState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         o, r, d, g, first, last = self.counts.get() if self.counts.exists() else (0, 0, 0, 0.0, None, None)
         recent = [x[0] for x in self.recent.get()] if self.recent.exists() else []
+        fresh: list[str] = []
         for pdf in rows:
             placed = pdf[pdf["kind"] == 0]
             r += int((pdf["kind"].eq(1) & pdf["rto"].eq(True)).sum())
@@ -173,12 +174,13 @@ class EntityState(StatefulProcessor):
                 for other in placed["other"].dropna().unique():
                     if not self.others.containsKey((other,)):
                         self.others.updateValue((other,), (True,))
+                        fresh.append(other)
         self.counts.update((o, r, d, g, first, last))
         if recent:
             self.recent.put([(t,) for t in recent])
         yield pd.DataFrame([{
             "entity": key[0], "key": key[1], "salt": key[2], "orders": o, "rto": r, "delivered": d, "gmv": g, "first_ts": first,
-            "last_ts": last, "recent": recent, "others": sorted(k[0] for k in self.others.keys())}])
+            "last_ts": last, "recent": recent, "new_others": fresh}])
 
     def close(self) -> None:
         pass
@@ -205,13 +207,15 @@ def entity_state_stream(events: DataFrame, salts: int = 8) -> DataFrame:
                                         outputMode="Update", timeMode="None"))
 
 
-def merge_entity_state(partial: DataFrame) -> DataFrame:
-    """Whole state per entity out of the latest row per salt."""
-    sums = partial.groupBy("entity", "key").agg(
-        *[F.sum(c).alias(c) for c in ("orders", "rto", "delivered", "gmv")],
-        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+def merge_entity_state(emitted: DataFrame) -> DataFrame:
+    """Whole state per entity, from every emitted row (with its `batch_id`)."""
+    last = emitted.groupBy("entity", "key", "salt").agg(
+        F.max(F.struct("batch_id", "orders", "rto", "delivered", "gmv", "first_ts", "last_ts", "recent")).alias("s"))
+    sums = last.groupBy("entity", "key").agg(
+        *[F.sum(f"s.{c}").alias(c) for c in ("orders", "rto", "delivered", "gmv")],
+        F.min("s.first_ts").alias("first_ts"), F.max("s.last_ts").alias("last_ts"),
         # at most salts x 40 times
-        F.slice(F.sort_array(F.flatten(F.collect_list("recent")), asc=False), 1, RECENT_CAP).alias("recent"))
-    distinct = (partial.select("entity", "key", F.explode("others").alias("o")).distinct()
+        F.slice(F.sort_array(F.flatten(F.collect_list("s.recent")), asc=False), 1, RECENT_CAP).alias("recent"))
+    distinct = (emitted.select("entity", "key", F.explode("new_others").alias("o")).distinct()
                 .groupBy("entity", "key").agg(F.count(F.lit(1)).alias("distinct_others")))
     return sums.join(distinct, ["entity", "key"], "left").na.fill(0, ["distinct_others"])
