@@ -55,6 +55,9 @@ FEATURE_NAMES = (
 
 POSITION = ["ts", "kind", "seq", "sub"]
 _COUNTS = ("n", "gmv", "rto", "delivered", "links")
+# columns of a log row beside its key and position; a row leaves what it does not carry NULL
+_OWN = {"n": "int", "gmv": "double", "rto": "int", "delivered": "int", "links": "int", "order_id": "string",
+        "at": "timestamp", "serviceability": "double", "prior": "double"}
 
 
 def smoothed_rate(rto: Column, delivered: Column, prior: Column | float, k: float) -> Column:
@@ -70,48 +73,47 @@ def event_log(orders: DataFrame, cutoff: datetime | None = None) -> DataFrame:
     return log if cutoff is None else log.filter(F.col("ts") <= F.lit(cutoff))
 
 
-def _keys(*names: str) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(n).alias("entity"), F.coalesce(F.col(c), F.lit("")).alias("key"))
-                               for n, c in ((x, "delivery_pin" if x == "pin" else x) for x in names)]))
-
-
-def _shift(ts: str, seconds: int) -> Column:
-    return F.timestamp_micros(F.unix_micros(ts) - seconds * 1_000_000)
-
-
 def entity_log(orders: DataFrame, cutoff: datetime | None = None) -> DataFrame:
-    """The event log per entity: order, outcome, first-link and probe rows with their counts."""
-    def rows(df: DataFrame, kind: int, sub: int, **counts: Column) -> DataFrame:
-        return df.select("e.entity", "e.key", "ts", F.lit(kind).alias("kind"), "seq", F.lit(sub).alias("sub"), *[
-            counts.get(c, F.lit(0.0 if c == "gmv" else 0)).alias(c) for c in _COUNTS])
-
-    everyone = ("phone", "device", "addr", "pin")
-    o = orders.withColumn("e", _keys(*everyone))
-    placed = rows(o, 0, 0, n=F.lit(1), gmv=F.col("cart_gmv"))
-    resolved = rows(o.drop("ts").withColumnRenamed("outcome_ts", "ts"), 1, 0,
-                    rto=F.col("rto").cast("int"), delivered=(~F.col("rto")).cast("int"))
+    """The event log per entity. One scan of the orders makes the order, outcome and probe rows; a second one,
+    pre-aggregated per pair, makes the first-link rows."""
+    def row(entity: str, key: str, ts: Column, kind: int, **own: Column) -> Column:
+        return F.struct(F.lit(entity).alias("entity"), F.coalesce(F.col(key), F.lit("")).alias("key"), ts.alias("ts"),
+                        F.lit(kind).alias("kind"), *[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in _OWN.items()])
+
+    placed, resolved, back = F.col("ts"), F.col("outcome_ts"), lambda sec: F.timestamp_micros(F.unix_micros("ts") - sec * 1_000_000)
+    tally = {"rto": F.col("rto").cast("int"), "delivered": (~F.col("rto")).cast("int")}
+    one = F.lit(1)
+    rows = [row("phone", "phone", placed, 0, n=one, order_id=F.col("order_id"), at=placed),
+            row("device", "device", placed, 0, n=one), row("addr", "addr", placed, 0, n=one),
+            row("pin", "delivery_pin", placed, 0, n=one, gmv=F.col("cart_gmv"), serviceability=F.col("pin_serviceability_prior"),
+                prior=F.col("pin_rto_prior")),
+            *[row(e, k, resolved, 1, **tally) for e, k in (("phone", "phone"), ("device", "device"), ("addr", "addr"), ("pin", "delivery_pin"))],
+            row("phone", "phone", back(PHONE_WINDOW_SECONDS), -1), row("device", "device", back(DEVICE_WINDOW_SECONDS), -1)]
+    log = orders.select(F.col("seq"), F.inline(F.array(*rows))).withColumn("sub", F.lit(0))
 
     def pair(entity: str, key: str, other: str) -> Column:
         return F.struct(F.lit(entity).alias("entity"), F.coalesce(F.col(key), F.lit("")).alias("key"),
                         F.coalesce(F.col(other), F.lit("")).alias("other"))
 
-    pairs = orders.select("ts", "seq", F.explode(F.array(
-        pair("phone", "phone", "device"), pair("device", "device", "phone"), pair("addr", "addr", "phone"))).alias("e"))
-    first = pairs.groupBy("e").agg(F.min(F.struct("ts", "seq")).alias("f")).select("e", "f.ts", "f.seq")
-    links = rows(first, 0, 1, links=F.lit(1))
-    probes = [rows(orders.withColumn("e", _keys(entity)).withColumn("ts", _shift("ts", back)), -1, 0)
-              for entity, back in (("phone", PHONE_WINDOW_SECONDS), ("device", DEVICE_WINDOW_SECONDS))]
-    log = placed.unionByName(resolved).unionByName(links)
-    if cutoff is not None:
-        log = log.filter(F.col("ts") <= F.lit(cutoff))
-    for probe in probes:
-        log = log.unionByName(probe)
-    return log
+    pairs = orders.select("ts", "seq", F.inline(F.array(
+        pair("phone", "phone", "device"), pair("device", "device", "phone"), pair("addr", "addr", "phone"))))
+    first = pairs.groupBy("entity", "key", "other").agg(F.min(F.struct("ts", "seq")).alias("f"))
+    links = first.select("f.seq", "entity", "key", "f.ts", F.lit(0).alias("kind"), F.lit(1).alias("links"), F.lit(1).alias("sub"))
+    log = log.unionByName(links, allowMissingColumns=True)
+    # an outcome after the cut-off has not been seen; orders after it were left out by the caller
+    return log if cutoff is None else log.filter((F.col("kind") < 1) | (F.col("ts") <= F.lit(cutoff)))
+
+
+def key_sizes(orders: DataFrame) -> DataFrame:
+    """Orders per (entity, key): what decides which keys are cut into blocks."""
+    keys = F.array(*[F.struct(F.lit(e).alias("entity"), F.coalesce(F.col(c), F.lit("")).alias("key"))
+                     for e, c in (("phone", "phone"), ("device", "device"), ("addr", "addr"), ("pin", "delivery_pin"))])
+    return orders.select(F.inline(keys)).groupBy("entity", "key").count()
 
 
 def velocity(orders: DataFrame, *, cutoff: datetime | None = None, hot_rows: int = HOT_KEY_ROWS,
              block_seconds: int = 3600) -> DataFrame:
-    """Velocity features of every order, one row per order `seq`.
+    """Velocity features of every order, one row per order.
 
     Needs order_id, seq, ts, outcome_ts, rto, phone, device, addr, delivery_pin and cart_gmv, and the
     PIN priors of `with_pin_info`. With a cut-off, later orders are left out and later outcomes unseen.
@@ -120,7 +122,7 @@ def velocity(orders: DataFrame, *, cutoff: datetime | None = None, hot_rows: int
         orders = orders.filter(F.col("ts") <= F.lit(cutoff))
     aggs = {f"_{c}": ("sum", F.col(c)) for c in _COUNTS}
     aggs["_first"] = ("min", F.when(F.col("n") == 1, F.col("ts")))
-    seen = running_by_key(entity_log(orders, cutoff), ["entity", "key"], POSITION, aggs,
+    seen = running_by_key(entity_log(orders, cutoff), ["entity", "key"], POSITION, aggs, sizes=key_sizes(orders),
                           block=time_block("ts", block_seconds), hot_rows=hot_rows)
     reads = seen.filter("(kind = 0 and sub = 0) or kind = -1")
 
@@ -128,6 +130,8 @@ def velocity(orders: DataFrame, *, cutoff: datetime | None = None, hot_rows: int
         return F.max(F.when((F.col("entity") == entity) & (F.col("kind") == kind), F.col(col)))
 
     wide = reads.groupBy("seq").agg(
+        F.max("order_id").alias("order_id"), F.max("at").alias("ts"),
+        F.max("serviceability").alias("_serv"), F.max("prior").alias("_prior"),
         at("phone", "_n").alias("phone_orders_total"),
         (at("phone", "_n") - at("phone", "_n", -1)).alias("_phone_recent"),
         at("phone", "_rto").alias("_phone_rto"), at("phone", "_delivered").alias("_phone_del"),
@@ -140,12 +144,11 @@ def velocity(orders: DataFrame, *, cutoff: datetime | None = None, hot_rows: int
         at("pin", "_n").alias("pin_orders"), at("pin", "_gmv").alias("_pin_gmv"),
         at("pin", "_rto").alias("_pin_rto"), at("pin", "_delivered").alias("_pin_del"),
     )
-    o = orders.select("order_id", "seq", "ts", "pin_serviceability_prior", "pin_rto_prior").join(wide, "seq")
     rate = {e: smoothed_rate(F.col(f"_{e}_rto"), F.col(f"_{e}_del"), GLOBAL_RTO_PRIOR, K_ENTITY)
             for e in ("phone", "device", "addr")}
     attempts = F.col("_pin_rto") + F.col("_pin_del")
     tenure = (F.unix_micros("ts") - F.unix_micros("_phone_first")) / F.lit(1e6 * DAY_SECONDS)
-    return o.select(
+    return wide.select(
         "order_id", "seq", "ts",
         F.least(F.lit(RECENT_CAP), "_phone_recent").cast("bigint").alias("phone_orders_30d"),
         "phone_orders_total", rate["phone"].alias("phone_rto_rate"),
@@ -154,9 +157,9 @@ def velocity(orders: DataFrame, *, cutoff: datetime | None = None, hot_rows: int
         "device_distinct_phones",
         F.least(F.lit(RECENT_CAP), "_device_recent").cast("bigint").alias("device_orders_24h"),
         rate["device"].alias("device_rto_rate"), "addr_distinct_phones", rate["addr"].alias("addr_rto_rate"),
-        smoothed_rate(F.col("_pin_rto"), F.col("_pin_del"), F.col("pin_rto_prior"), K_PIN).alias("pin_rto_rate"),
-        F.when(attempts > 0, (F.col("_pin_del") + F.col("pin_serviceability_prior") * K_PIN) / (attempts + K_PIN))
-        .otherwise(F.col("pin_serviceability_prior")).alias("pin_serviceability"),
+        smoothed_rate(F.col("_pin_rto"), F.col("_pin_del"), F.col("_prior"), K_PIN).alias("pin_rto_rate"),
+        F.when(attempts > 0, (F.col("_pin_del") + F.col("_serv") * K_PIN) / (attempts + K_PIN))
+        .otherwise(F.col("_serv")).alias("pin_serviceability"),
         "pin_orders",
         F.when(F.col("pin_orders") > 0, F.col("_pin_gmv") / F.col("pin_orders")).otherwise(DEFAULT_PIN_GMV)
         .alias("pin_gmv_mean"),

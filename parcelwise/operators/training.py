@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import P_CEIL, P_FLOOR, WEIGHT_TEMPERATURES
 from ..functions.text import clip
+from ..session import cut_lineage
 from .conformal import apply_sets, calibrate
 from .decide import resolve
 from .evaluate import simulate
@@ -145,8 +146,8 @@ def ablation(data: DataFrame, features: list[str], extras: list[list[str]], **tr
 
 # ------------------------------------------------------------------ node scorer
 def fit_node_scorer(labelled: DataFrame, columns: list[str], label: str = "label", reg: float = 0.01):
-    data = assembled(labelled, columns).select("features", F.col(label).cast("double").alias("label"))
-    return LogisticRegression(regParam=reg, maxIter=100, standardization=False).fit(data)
+    data = cut_lineage(assembled(labelled, columns).select("features", F.col(label).cast("double").alias("label")))
+    return LogisticRegression(regParam=reg, maxIter=50, standardization=False).fit(data)
 
 
 def score_nodes(model, nodes: DataFrame, columns: list[str], out: str = "score") -> DataFrame:
@@ -157,7 +158,8 @@ def score_nodes(model, nodes: DataFrame, columns: list[str], out: str = "score")
 def out_of_fold(nodes: DataFrame, labels: DataFrame, columns: list[str], folds: int = 5) -> DataFrame:
     """Cross-fitted scores: every labelled node is scored by a model that did not see it; others get NULL."""
     data = nodes.join(labels, "node", "left").withColumn("_fold", F.pmod(F.xxhash64("node"), F.lit(folds)))
-    known = data.filter(F.col("label").isNotNull())
+    # every fold reads the labelled nodes again
+    known = cut_lineage(data.filter(F.col("label").isNotNull()))
     held = []
     for f in range(folds):
         model = fit_node_scorer(known.filter(F.col("_fold") != f), columns)

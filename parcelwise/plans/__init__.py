@@ -1,5 +1,5 @@
 """Registered queries, by section, with their oracle SQL."""
-from . import ingest  # noqa: F401
+from . import history, ingest, rings  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
