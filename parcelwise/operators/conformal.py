@@ -19,14 +19,14 @@ def nonconformity(p: Column, y: Column) -> Column:
 
 def cell_quantiles(df: DataFrame, cells: list[str], score: Column, alphas: tuple[float, ...]) -> DataFrame:
     """(cells..., alpha, q, n): the k-th smallest score, k = ceil((n + 1)(1 - alpha)) clipped to [1, n]."""
-    counted = df.groupBy(*cells, score.alias("s")).agg(F.count(F.lit(1)).alias("c"))
-    ranked = running(counted, cells, ["s"], {"below": ("sum", F.col("c"))}, block=F.floor(F.col("s") * 1000).cast("bigint"))
-    wanted = (counted.groupBy(*cells).agg(F.sum("c").alias("n"))
+    counted = df.groupBy(*cells, score.alias("q")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running(counted, cells, ["q"], {"_below": ("sum", F.col("_c"))}, block=F.floor(F.col("q") * 1000).cast("bigint"))
+    wanted = (counted.groupBy(*cells).agg(F.sum("_c").alias("n"))
               .withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))))
     k = F.least(F.col("n"), F.greatest(F.lit(1), F.ceil((F.col("n") + 1) * (1 - F.col("alpha")))))
-    return (ranked.join(wanted.withColumn("k", k), cells)
-            .filter((F.col("below") < F.col("k")) & (F.col("k") <= F.col("below") + F.col("c")))
-            .select(*cells, "alpha", F.col("s").alias("q"), "n"))
+    return (ranked.join(wanted.withColumn("_k", k), cells)
+            .filter((F.col("_below") < F.col("_k")) & (F.col("_k") <= F.col("_below") + F.col("_c")))
+            .select(*cells, "alpha", "q", "n"))
 
 
 def calibrate(df: DataFrame, alphas: tuple[float, ...] = (CONFORMAL_ALPHA,), *, p: str = "p", y: str = "rto",

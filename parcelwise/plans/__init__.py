@@ -1,6 +1,6 @@
 """Registered queries, by section, with their oracle SQL."""
-from . import history, ingest, rings  # noqa: F401
+from . import history, ingest, models, policy, rings  # noqa: F401
+from .policy import flagship
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
-flagship = None
