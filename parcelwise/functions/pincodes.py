@@ -1,7 +1,9 @@
 """Six-digit postal codes: state, city, tier and cold-start priors as one broadcast lookup."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from weakref import WeakKeyDictionary
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .literals import literal_table
@@ -53,8 +55,17 @@ MALFORMED_TIER, MALFORMED_SERVICEABILITY, MALFORMED_RTO = 4, 0.80, 0.40
 UNKNOWN = "Unknown"
 
 
+_TABLES: WeakKeyDictionary[SparkSession, DataFrame] = WeakKeyDictionary()
+
+
 def pin_table(spark: SparkSession) -> DataFrame:
     """One row per three-digit prefix 100..999; never more, so it is always safe to broadcast."""
+    if spark not in _TABLES:
+        _TABLES[spark] = _build(spark)
+    return _TABLES[spark]
+
+
+def _build(spark: SparkSession) -> DataFrame:
     metro_zones = {prefix[0] for prefix, (_, tier) in CITY_BY_PREFIX3.items() if tier == 1}
     rows = []
     for prefix in (str(n) for n in range(100, 1000)):

@@ -142,8 +142,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _three = [(f"pnl_{c}", a) for c, a in (("allow", "ALLOW_COD"), ("stepup", "STEP_UP_DEPOSIT"), ("prepaid", "FORCE_PREPAID"))]
-on_priced("h1_order_pnl", lambda: [F.round(X.order_pnl(F.lit(a), F.col("rto")), 6).alias(n) for n, a in _three],
-          ", ".join(f"round({pnl(repr(a))}, 6) AS {n}" for n, a in _three))
+on_priced("h1_order_pnl", lambda: [X.order_pnl(F.lit(a), F.col("rto")).cast("float").alias(n) for n, a in _three],
+          ", ".join(f"CAST({pnl(repr(a))} AS FLOAT) AS {n}" for n, a in _three))
 add("h2_summary_by_action", flagship, sql(summary("action", "decided"), "decided"))
 add("h2_summary_by_split", lambda s, d: tidy(V.simulate(decided(s, d), ["split"]), "split"), sql(summary("split", "decided"), "decided"))
 

@@ -6,18 +6,24 @@ order id counts once.
 """
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..config import PREPAID, STEP_UP
 from ..operators.drift import EXPIRE_WINDOWS, KEEP_WINDOWS, WINDOW_SECONDS, window_aggregates
 
+# the state processor travels with the job, so executors need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WINDOW_WATERMARK = f"{EXPIRE_WINDOWS * WINDOW_SECONDS // 60} minutes"
 PENDING_DAYS = 30
 RECENT_CAP = 40
@@ -33,6 +39,16 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def file_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Parquet stream over a table folder, or over a table that is one single file."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(schema)
+    if fs.getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+
+
 def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, *, mode: str = "append",
           available_now: bool = True, every: str = "30 seconds") -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
