@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import HOT_KEY_ROWS
 from ..session import cut_lineage
-from .running import running_by_key, time_block
+from .running import hot_keys, running_by_key
 
 
 def _fingerprint(df: DataFrame, *cols: str) -> tuple:
@@ -46,7 +46,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
             .select(*nodes.columns, F.coalesce("_root", "node").alias("component")))
 
 
-def component_history(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 60, block_seconds: int = 3600,
+def component_history(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 60,
                       hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Every label a node ever carries: (node, ts, seq, label), the label holding from (ts, seq) on.
 
@@ -60,7 +60,7 @@ def component_history(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 6
         edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "ts", "seq"))
         .select("a", "b", F.struct("ts", "seq").alias("_at")))
     sym = cut_lineage(sym)
-    sizes = sym.groupBy(F.col("a").alias("node")).count()
+    hot = hot_keys(sym.groupBy(F.col("a").alias("node")).count(), hot_rows)
     hist = nodes.select("node", F.struct("ts", "seq").alias("at"), F.col("node").alias("label"))
     hist = cut_lineage(hist.withColumn("fresh", F.lit(True)))
     for _ in range(max_rounds):
@@ -76,8 +76,7 @@ def component_history(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 6
         offered = reached.unionByName(jumped).withColumn("new", F.lit(True))
         best = (known.unionByName(offered).groupBy("node", "at").agg(F.min(F.struct("label", "new")).alias("m"))
                 .select("node", "at.ts", "at.seq", "m.label", "m.new"))
-        stair = running_by_key(best, ["node"], ["ts", "seq"], {"_low": ("min", F.col("label"))}, sizes=sizes,
-                               block=time_block("ts", block_seconds), hot_rows=hot_rows)
+        stair = running_by_key(best, ["node"], ["ts", "seq"], {"_low": ("min", F.col("label"))}, hot=hot)
         hist = cut_lineage(stair.filter(F.col("_low").isNull() | (F.col("label") < F.col("_low")))
                            .select("node", F.struct("ts", "seq").alias("at"), "label", F.col("new").alias("fresh")))
         if hist.filter("fresh").isEmpty():

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import DAY_SECONDS, HOT_KEY_ROWS
 from ..functions.text import entity_hash
 from .components import first_k
-from .running import running_by_key, time_block
+from .running import hot_keys, running_by_key
 
 # Look-back window, minima, elements, default dispute delay.
 MIN_PRIOR_DAYS, MAX_PRIOR_DAYS = 120, 365
@@ -137,7 +137,7 @@ def _counted(ledger_log: DataFrame, probes: DataFrame, hot_rows: int) -> DataFra
                                          F.lit(None).cast(ledger_log.schema["seq"].dataType).alias("seq"), "transaction_id", F.lit(0).alias("n"))
     log = rows.unionByName(edge("w_lo", -1)).unionByName(edge("w_hi", 1))
     return running_by_key(log, ["set", "key"], _ORDER, {"before": ("sum", F.col("n"))},
-                          block=time_block("ts", DAY_SECONDS), hot_rows=hot_rows)
+                          hot=hot_keys(log.groupBy("set", "key").count(), hot_rows))
 
 
 def _windowed(disputes: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..config import HOT_KEY_ROWS
 from ..functions.text import node_id
 from ..session import cut_lineage
 from .components import component_history, connected_components, first_k
-from .running import running_by_key, time_block
+from .running import hot_keys, running_by_key
 
 # Node kinds in the order an order lists them, merge rules and ring rules.
 KINDS = ("phone", "device", "addr", "vpa", "ip")
@@ -187,19 +187,20 @@ def _touches(hashed: DataFrame) -> DataFrame:
 
 
 def ring_features(hashed: DataFrame, *, published: bool = True, guard: bool = True,
-                  ceiling: int = ADDR_MERGE_CEILING, hot_rows: int = HOT_KEY_ROWS, block_seconds: int = 3600,
-                  max_rounds: int = 60) -> DataFrame:
+                  ceiling: int = ADDR_MERGE_CEILING, hot_rows: int = HOT_KEY_ROWS, max_rounds: int = 60) -> DataFrame:
     """Ring features of every order as known just before it.
 
     published=True reads, for each of the order's nodes, the numbers written when that node was last touched
     by an order or outcome; published=False reads the node's component as it stands at the order's moment.
     Among the nodes the component with the largest (size, RTO rate) wins; the first kind wins a tie.
     """
-    run = dict(block=time_block("ts", block_seconds), hot_rows=hot_rows)
+    # hashed once: every pass below reads it
+    hashed = cut_lineage(hashed)
+    hot = hot_keys(order_entities(hashed).groupBy("node").count(), hot_rows)
     history = component_history(node_table(hashed), merge_edges(hashed, guard=guard, ceiling=ceiling),
-                                max_rounds=max_rounds, block_seconds=block_seconds, hot_rows=hot_rows)
+                                max_rounds=max_rounds, hot_rows=hot_rows)
     links = both_ways(edge_list(hashed))
-    readers = _readers(hashed, published, run)
+    readers = _readers(hashed, published, hot)
 
     # pass 1, keyed by node: which label a node carries at each booking and reading, its degree, and what a
     # phone had booked before each change of label
@@ -213,7 +214,8 @@ def ring_features(hashed: DataFrame, *, published: bool = True, guard: bool = Tr
     by_node = cut_lineage(running_by_key(
         reduce(DataFrame.unionByName, [bookings, changes, seen, readers]), ["key"], _POSITION,
         {"_label": ("min", F.col("label")), "_degree": ("sum", F.col("link")), "_phones": ("sum", F.col("phone_link")),
-         "_orders": ("sum", F.col("orders")), "_rto": ("sum", F.col("rto")), "_del": ("sum", F.col("delivered"))}, **run))
+         "_orders": ("sum", F.col("orders")), "_rto": ("sum", F.col("rto")), "_del": ("sum", F.col("delivered"))},
+        hot=None if hot is None else hot.withColumnRenamed("node", "key")))
 
     kind = kind_of(F.col("key"))
     is_kind = lambda k: (kind == k).cast("long")
@@ -230,16 +232,17 @@ def ring_features(hashed: DataFrame, *, published: bool = True, guard: bool = Tr
         "read_seq", kind.alias("node_kind"), "_degree",
         is_shared(F.col("key"), F.col("_degree"), F.col("_phones")).alias("_shared"))
     log = joins.unionByName(booked).unionByName(asked, allowMissingColumns=True)
-    by_label = running_by_key(log, ["comp"], _POSITION, {f"r_{c}": ("sum", F.col(c)) for c in _STATS}, **run)
+    by_label = running_by_key(log, ["comp"], _POSITION, {f"r_{c}": ("sum", F.col(c)) for c in _STATS},
+                              hot=hot_keys(log.groupBy("comp").count(), hot_rows))
     return _best_ring(hashed, by_label.filter(F.col("read_seq").isNotNull()))
 
 
-def _readers(hashed: DataFrame, published: bool, run: dict) -> DataFrame:
+def _readers(hashed: DataFrame, published: bool, hot: DataFrame | None) -> DataFrame:
     placed = order_entities(hashed)
     if not published:
         return _log_rows(placed, "node", 0, -1, read_seq=F.col("seq"))
     at = F.struct("ts", "kind", "seq")
-    touched = running_by_key(_touches(hashed), ["node"], ["ts", "kind", "seq"], {"_last": ("max", at)}, **run)
+    touched = running_by_key(_touches(hashed), ["node"], ["ts", "kind", "seq"], {"_last": ("max", at)}, hot=hot)
     prior = (touched.filter((F.col("kind") == 0) & F.col("_last").isNotNull())
              .select("node", F.col("seq").alias("read"), "_last.ts", "_last.kind", "_last.seq"))
     return _log_rows(cut_lineage(prior), "node", F.col("kind"), _READER, read_seq=F.col("read"))
@@ -264,12 +267,12 @@ def _best_ring(hashed: DataFrame, reads: DataFrame) -> DataFrame:
         F.coalesce("entity_shared", F.lit(False)).alias("entity_shared")))
 
 
-def degrees_over_time(hashed: DataFrame, *, hot_rows: int = HOT_KEY_ROWS, block_seconds: int = 3600) -> DataFrame:
+def degrees_over_time(hashed: DataFrame, *, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Degree of each of an order's nodes just before the order."""
     links = both_ways(edge_list(hashed)).select("node", "ts", "seq", F.lit(1).alias("sub"), F.lit(1).alias("link"))
     reads = order_entities(hashed).select("node", "ts", "seq", F.lit(0).alias("sub"), F.lit(0).alias("link"))
     seen = running_by_key(links.unionByName(reads), ["node"], ["ts", "seq", "sub"], {"degree": ("sum", F.col("link"))},
-                          block=time_block("ts", block_seconds), hot_rows=hot_rows)
+                          hot=hot_keys(order_entities(hashed).groupBy("node").count(), hot_rows))
     return seen.filter("sub = 0").select("seq", "node", F.col("degree").cast("bigint").alias("degree"))
 
 
@@ -335,7 +338,7 @@ def phone_flags(hashed: DataFrame, truth: DataFrame, *, guard: bool, ceiling: in
 
 def guard_comparison(hashed: DataFrame, truth: DataFrame, ceilings: tuple[int, ...] = (ADDR_MERGE_CEILING,)) -> DataFrame:
     """Detection quality and component shape of the naive graph and of each merge ceiling."""
-    rows = []
+    rows, hashed = [], cut_lineage(hashed)
     for name, guard, ceiling in [("naive", False, ADDR_MERGE_CEILING)] + [(f"guarded@{c}", True, c) for c in ceilings]:
         flags, stats = phone_flags(hashed, truth, guard=guard, ceiling=ceiling)
         shape = stats.agg(F.count(F.lit(1)).alias("components"), F.count_if("is_ring").alias("rings"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .running import running, time_block, with_position
+from .running import running, with_position
 
 # Names and shares of the chronological split, grid of the global threshold search.
 SPLITS = (("train", 0.6), ("valid", 0.1), ("calib", 0.1), ("conf", 0.1), ("test", 0.1))
@@ -23,10 +23,10 @@ def with_constant(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("_k", F.lit(1)).join(F.broadcast(row.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
 
-def chronological_split(df: DataFrame, order: tuple[str, ...] = ("ts", "seq"), block_seconds: int = 86400) -> DataFrame:
+def chronological_split(df: DataFrame, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
     """Add `position` (0-based in time order) and `split` (60/10/10/10/10 by position)."""
-    placed = with_position(df, list(order), block=time_block(order[0], block_seconds))
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    placed = with_position(df, list(order))
+    n = placed.agg(F.count(F.lit(1)).alias("_n"))
     edge, cuts = F.lit(0.0), []
     for name, share in SPLITS[:-1]:
         edge = edge + F.bround(F.lit(share) * F.col("_n"), 0)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import DAY_SECONDS, HOT_KEY_ROWS
 from ..functions.address import score_addresses
 from ..functions.text import clip
-from .running import running_by_key, time_block
+from .running import hot_keys, running_by_key
 
 # Caps, priors and pseudo-counts of the velocity features.
 RECENT_CAP = 40
@@ -105,14 +105,13 @@ def entity_log(orders: DataFrame, cutoff: datetime | None = None) -> DataFrame:
 
 
 def key_sizes(orders: DataFrame) -> DataFrame:
-    """Orders per (entity, key): what decides which keys are cut into blocks."""
+    """Orders per (entity, key): what decides which keys are cut into ranges."""
     keys = F.array(*[F.struct(F.lit(e).alias("entity"), F.coalesce(F.col(c), F.lit("")).alias("key"))
                      for e, c in (("phone", "phone"), ("device", "device"), ("addr", "addr"), ("pin", "delivery_pin"))])
     return orders.select(F.inline(keys)).groupBy("entity", "key").count()
 
 
-def velocity(orders: DataFrame, *, cutoff: datetime | None = None, hot_rows: int = HOT_KEY_ROWS,
-             block_seconds: int = 3600) -> DataFrame:
+def velocity(orders: DataFrame, *, cutoff: datetime | None = None, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Velocity features of every order, one row per order.
 
     Needs order_id, seq, ts, outcome_ts, rto, phone, device, addr, delivery_pin and cart_gmv, and the
@@ -122,8 +121,8 @@ def velocity(orders: DataFrame, *, cutoff: datetime | None = None, hot_rows: int
         orders = orders.filter(F.col("ts") <= F.lit(cutoff))
     aggs = {f"_{c}": ("sum", F.col(c)) for c in _COUNTS}
     aggs["_first"] = ("min", F.when(F.col("n") == 1, F.col("ts")))
-    seen = running_by_key(entity_log(orders, cutoff), ["entity", "key"], POSITION, aggs, sizes=key_sizes(orders),
-                          block=time_block("ts", block_seconds), hot_rows=hot_rows)
+    seen = running_by_key(entity_log(orders, cutoff), ["entity", "key"], POSITION, aggs,
+                          hot=hot_keys(key_sizes(orders), hot_rows))
     reads = seen.filter("(kind = 0 and sub = 0) or kind = -1")
 
     def at(entity: str, col: str, kind: int = 0) -> Column:

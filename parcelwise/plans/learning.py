@@ -12,6 +12,7 @@ from ..operators import decide, drift
 from ..operators import dispute as K
 from ..operators import metrics as M
 from ..operators import response as R
+from ..operators.running import with_position
 from ..session import cut_lineage
 from ..sources import lens
 from ..streaming import jobs as J
@@ -136,8 +137,7 @@ add("j2_rolling_hour", lambda s, d: drift.rolling_hour(drift.drift_windows(event
 
 def placed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in time order as if one came per second."""
-    from ..operators.running import time_block, with_position
-    return with_position(events(spark, sf_dir), ["ts", "seq"], block=time_block("ts", 86400))
+    return with_position(events(spark, sf_dir), ["ts", "seq"])
 
 
 def monitored(spark: SparkSession, sf_dir: str) -> DataFrame:

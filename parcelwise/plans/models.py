@@ -18,19 +18,20 @@ from .sql import best_action, cte, pnl, quantile, sql
 def split_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priced COD orders with their chronological split and a second, flatter score."""
     priced = price_orders(lens.scored_cod(spark, sf_dir)).withColumn("p_base", 0.5 * F.col("p") + 0.125)
-    return M.chronological_split(priced)
+    return M.chronological_split(priced.select(*[c for c in (*POLICY_COLUMNS, *MODEL_ONLY) if c in priced.columns]))
 
 
-def part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return split_frame(spark, sf_dir).filter(F.col("split") == name)
-
-
-# what pricing, policies and explanations read
+# what pricing, policies and explanations read, and what only the learners read
 POLICY_COLUMNS = (
     "order_id", "seq", "ts", "rto", "phone", "merchant_id", "acquisition_channel", "pin_tier", "p", "p_base", "cart_gmv", "merchant_margin", "cac",
     "is_new_customer", "weight_grams", "addr_defect_score", "addr_has_house_no", "coupon_applied", "checkout_seconds", "hour_of_day",
     "margin", "addr_attribution", "shadow_price", "cost_fn", "cost_fp", "rho_stepup", "rho_prepaid", "tau_star", "tau_soft",
     "cost_allow", "cost_stepup", "cost_prepaid", "position", "split")
+MODEL_ONLY = ("addr_tokens", "items_count", "payment_switch_from")
+
+
+def part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return split_frame(spark, sf_dir).filter(F.col("split") == name)
 
 
 def with_sets(df: DataFrame, variants: tuple[str, ...] = ("class",), alphas: tuple[float, ...] = (0.10,)) -> DataFrame:

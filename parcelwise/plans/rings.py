@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import training
 from ..operators.components import component_history, final_labels
+from ..session import cut_lineage
 from ..sources import lens
 from .registry import add
 from .sql import cte, node, sql
@@ -49,7 +50,7 @@ for ceiling, prefix in ((6, "g_"), (3, "g3_"), (10, "g10_")):
 
 
 def stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    h = hashed(spark, sf_dir)
+    h = cut_lineage(hashed(spark, sf_dir))
     comps = G.components(h)
     return h, comps, G.ring_statistics(h, comps)
 

@@ -7,7 +7,7 @@ from replay import ring_features, velocity as slow_velocity
 
 from parcelwise.functions.pincodes import with_pin_info
 from parcelwise.operators import graph, pit
-from parcelwise.operators.running import running, running_by_key, time_block, with_position
+from parcelwise.operators.running import hot_keys, running, running_by_key, with_position
 from pyspark.sql import functions as F
 
 
@@ -29,7 +29,7 @@ def crowd(n, seed, phones=25, hostel=True):
 @pytest.mark.parametrize("hot_rows", [1_000_000, 8])
 def test_velocity_equals_replay(spark, hot_rows):
     orders = make_orders(spark, crowd(120, 3))
-    got = {r["seq"]: r for r in pit.velocity(with_pin_info(orders), hot_rows=hot_rows, block_seconds=86400).collect()}
+    got = {r["seq"]: r for r in pit.velocity(with_pin_info(orders), hot_rows=hot_rows).collect()}
     want = slow_velocity([r.asDict() for r in orders.collect()], 0.965, 0.14)
     assert len(got) == 120
     for seq, w in want.items():
@@ -59,7 +59,7 @@ def test_ring_features_equal_replay(spark, published, guard, hot_rows):
     orders = make_orders(spark, crowd(90, 11))
     rows = [r.asDict() for r in orders.collect()]
     got = {r["seq"]: (r["ring_size"], r["ring_phones"], round(r["ring_rto_rate"], 9), r["is_ring"], r["entity_max_degree"], r["entity_shared"])
-           for r in graph.ring_features(graph.hashed_orders(orders), published=published, guard=guard, hot_rows=hot_rows, block_seconds=86400).collect()}
+           for r in graph.ring_features(graph.hashed_orders(orders), published=published, guard=guard, hot_rows=hot_rows).collect()}
     assert got == ring_features(rows, published=published, guard=guard)
 
 
@@ -85,13 +85,13 @@ def test_running_aggregates_agree_with_and_without_blocks(spark):
     df = spark.range(3000).select((F.col("id") % 3).alias("k"), F.timestamp_seconds(F.col("id") * 37 % 5000).alias("ts"), "id")
     aggs = {"s": ("sum", F.col("id")), "lo": ("min", F.col("id")), "hi": ("max", F.col("id"))}
     key = lambda d: {r["id"]: (r["s"], r["lo"], r["hi"]) for r in d.collect()}
-    plain = key(running_by_key(df, ["k"], ["ts", "id"], aggs, block=time_block("ts", 60)))
-    split = key(running_by_key(df, ["k"], ["ts", "id"], aggs, block=time_block("ts", 60), hot_rows=100))
-    whole = key(running(df, ["k"], ["ts", "id"], aggs, block=time_block("ts", 600)))
+    plain = key(running_by_key(df, ["k"], ["ts", "id"], aggs, hot=None))
+    split = key(running_by_key(df, ["k"], ["ts", "id"], aggs, hot=hot_keys(df.groupBy("k").count(), 100)))
+    whole = key(running(df, ["k"], ["ts", "id"], aggs, block=F.floor(F.unix_seconds("ts") / 600)))
     assert plain == split == whole
 
 
 def test_position_is_a_global_row_number(spark):
     df = spark.range(500).select(F.timestamp_seconds(F.col("id") * 7919 % 1000 * 3600).alias("ts"), "id")
-    got = sorted((r["ts"], r["id"], r["position"]) for r in with_position(df, ["ts", "id"], block=time_block("ts", 86400)).collect())
+    got = sorted((r["ts"], r["id"], r["position"]) for r in with_position(df, ["ts", "id"]).collect())
     assert [g[2] for g in got] == list(range(500))
