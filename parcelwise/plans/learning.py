@@ -244,6 +244,11 @@ add("j9_decisions_with_outcomes", lambda s, d: matched_outcomes(s, d).select("or
     "SELECT 'e' || event_id AS order_id, event_id % 5 = 0 AS rto FROM events WHERE event_type <> 'error' AND event_id % 4 <> 0 AND event_id % 40 <= 30")
 
 
+# orders that were still open when the watermark passed their thirty days, and windows that are closed for good
+add("j11_expired_orders", lambda s, d: s.read.parquet(drained(s, "join", joined_stream(s, d), "append")).filter(F.col("rto").isNull()).select("order_id", "ts"))
+add("j12_expired_windows", lambda s, d: s.read.parquet(drained(s, "closed", J.drift_window_stream(scored_events(event_stream(s, d))), "append")).select("bucket", *MEASURES))
+
+
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes that shipped, and interventions the response sums learn from, counted per route."""
     folder = J.run_folder(spark, "routes")
