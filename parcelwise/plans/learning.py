@@ -222,7 +222,7 @@ add("j13_duplicates_suppressed", lambda s, d: streamed_decisions(s, d).agg(F.cou
     "SELECT least(count(*), 9000) AS orders, least(count(*), 9000) AS order_ids FROM events")
 
 
-def joined_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def joined_stream(spark: SparkSession, sf_dir: str, days: int = J.PENDING_DAYS) -> DataFrame:
     """Orders are the non-error events, outcomes the error events that name an order by number."""
     ev = event_stream(spark, sf_dir)
     decisions = ev.filter("event_type <> 'error'").select(
@@ -233,7 +233,7 @@ def joined_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("e"), "seq").alias("order_id"), F.timestamp_micros(F.unix_micros("ts") + F.col("seq") % 40 * 86_400_000_000).alias("outcome_ts"), (F.col("seq") % 5 == 0).alias("rto"),
         F.expr("CASE WHEN seq % 3 = 1 THEN CASE WHEN seq % 7 = 0 THEN 'abandoned' ELSE 'paid' END END").alias("stepup_result"),
         F.expr("CASE WHEN seq % 3 = 2 THEN CASE WHEN seq % 5 = 0 THEN 'abandoned' ELSE 'paid' END END").alias("prepaid_result"))
-    return J.decisions_with_outcomes(decisions, outcomes)
+    return J.decisions_with_outcomes(decisions, outcomes, days)
 
 
 def matched_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +244,9 @@ add("j9_decisions_with_outcomes", lambda s, d: matched_outcomes(s, d).select("or
     "SELECT 'e' || event_id AS order_id, event_id % 5 = 0 AS rto FROM events WHERE event_type <> 'error' AND event_id % 4 <> 0 AND event_id % 40 <= 30")
 
 
-# orders that were still open when the watermark passed their thirty days, and windows that are closed for good
-add("j11_expired_orders", lambda s, d: s.read.parquet(drained(s, "join", joined_stream(s, d), "append")).filter(F.col("rto").isNull()).select("order_id", "ts"))
+# orders still open when the watermark passed their retention (ten days here, as the table spans thirty), and
+# windows that are closed for good
+add("j11_expired_orders", lambda s, d: s.read.parquet(drained(s, "join", joined_stream(s, d, 10), "append")).filter(F.col("rto").isNull()).select("order_id", "ts"))
 add("j12_expired_windows", lambda s, d: s.read.parquet(drained(s, "closed", J.drift_window_stream(scored_events(event_stream(s, d))), "append")).select("bucket", *MEASURES))
 
 
