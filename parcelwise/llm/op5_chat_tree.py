@@ -116,8 +116,8 @@ def leaves(steps: DataFrame) -> DataFrame:
 
 def read_back(nodes: DataFrame, ends: DataFrame) -> DataFrame:
     """(path, node, segments) for each end: its conversation, as array of struct(start, formatted, loss_from, loss_to), from stream intervals alone."""
-    stream = nodes.select("start", "formatted", (F.col("loss_start") - F.col("start")).alias("loss_from"),
-                          (F.col("loss_end") - F.col("start")).alias("loss_to"))
+    stream = nodes.select("start", "formatted", F.coalesce(F.col("loss_start") - F.col("start"), F.lit(-1)).alias("loss_from"),
+                          F.coalesce(F.col("loss_end") - F.col("start"), F.lit(-1)).alias("loss_to"))
     want = nodes.join(ends, ["path", "node"]).select("path", "node", F.explode(F.array_append(F.col("attention.start"), F.col("start"))).alias("start"))
     return (want.join(stream, "start").groupBy("path", "node")
             .agg(F.sort_array(F.collect_list(F.struct("start", "formatted", "loss_from", "loss_to"))).alias("segments")))
@@ -131,7 +131,7 @@ def digest(read: DataFrame) -> DataFrame:
             out = []
             for path, node, segments in zip(pdf["path"], pdf["node"], pdf["segments"], strict=True):
                 turns = parse("".join(s["formatted"] for s in segments))
-                learnt = "".join(unescape(s["formatted"][s["loss_from"]:s["loss_to"]]) for s in segments if s["loss_from"] is not None)
+                learnt = "".join(unescape(s["formatted"][s["loss_from"]:s["loss_to"]]) for s in segments if s["loss_from"] >= 0)
                 whole = "".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")
                 out.append((path, node, len(turns), sha256(whole).hexdigest(), len(learnt), sha256(learnt.encode("utf-8", "surrogatepass")).hexdigest(),
                             sum(len(s["formatted"]) for s in segments)))
