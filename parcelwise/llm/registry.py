@@ -1,7 +1,7 @@
 """Registered queries of the numbered operators and their oracle SQL."""
-from . import op1_spotsigs, op2_ngram_join, op10_surrogates, op4_secrets, op5_chat_tree, op6_wrappers, op7_line_crf, op8_packing, op9_mixing
+from . import op1_spotsigs, op2_ngram_join, op3_pitman_yor, op10_surrogates, op4_secrets, op5_chat_tree, op6_wrappers, op7_line_crf, op8_packing, op9_mixing
 
-_OPERATORS = (op1_spotsigs, op2_ngram_join, op4_secrets, op5_chat_tree, op6_wrappers, op7_line_crf, op8_packing, op9_mixing, op10_surrogates)
+_OPERATORS = (op1_spotsigs, op2_ngram_join, op3_pitman_yor, op4_secrets, op5_chat_tree, op6_wrappers, op7_line_crf, op8_packing, op9_mixing, op10_surrogates)
 
 QUERIES = {m.NAME: m.query for m in _OPERATORS}
 ORACLES = {m.NAME: m.ORACLE_SQL for m in _OPERATORS if m.ORACLE_SQL is not None}
