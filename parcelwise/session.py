@@ -36,6 +36,12 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which every executor and the driver can reach; written tables may go below it."""
+    _checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder so that a lost executor never replays an iteration."""
     _checkpoint_dir(df.sparkSession)
