@@ -1,10 +1,12 @@
 """What several operators of this subpackage need: tables, words, row keys and neighbours in a global order."""
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 
 #: Words of the contracts: runs of anything but ASCII white space. `bytes.split()` cuts UTF-8 text the same way.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read again: what a later step reads often is made once."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     """As many shuffle partitions as the session uses; blocks of work are dealt over them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

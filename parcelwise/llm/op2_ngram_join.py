@@ -44,6 +44,8 @@ FREQUENT = 16
 MAX_FREQUENT = 2_000_000
 MAX_SHARED = 4_000_000
 BLOCK = 512
+#: Documents that go are sent to every task up to this number, 16 bytes each; beyond it they are joined by shuffle.
+MAX_LISTED = 2_000_000
 
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -133,7 +135,8 @@ def signatures(own: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) ->
 
 
 def _texts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).alias("text"))
+    return rows.withColumn("text_hash", F.xxhash64("text"))
 
 
 def _entries(rows: DataFrame, frequent, percent: int) -> DataFrame:
@@ -159,8 +162,8 @@ def _held(df: DataFrame, column: str) -> np.ndarray:
 
 
 def _classes(rows: DataFrame, frequent, shared, percent: int) -> DataFrame:
-    """(doc_id, id, n, sigs, own) of every row; entries and set only where an entry is shared (or all, if `shared` is None)."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sigs", pa.list_(pa.int64())), ("own", pa.binary())])
+    """(doc_id, text_hash, id, n, sigs, own) of every row; entries and set only where an entry is shared (or all, if `shared` is None)."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sigs", pa.list_(pa.int64())), ("own", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,10 +178,10 @@ def _classes(rows: DataFrame, frequent, shared, percent: int) -> DataFrame:
                 sizes.append(len(own))
                 entries.append(sigs.view("i8") if len(sigs) else None)
                 sets.append(own.tobytes() if len(sigs) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
-                                              pa.array(entries, pa.list_(pa.int64())), pa.array(sets, pa.binary())], schema=kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(ids, pa.int64()),
+                                              pa.array(sizes, pa.int64()), pa.array(entries, pa.list_(pa.int64())), pa.array(sets, pa.binary())], schema=kinds)
 
-    return rows.mapInArrow(run, "doc_id long, id long, n long, sigs array<long>, own binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, id long, n long, sigs array<long>, own binary")
 
 
 class _Forest:
@@ -262,7 +265,11 @@ def _in_pairs(members: DataFrame, entries: DataFrame, percent: int) -> DataFrame
 
 
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id, n_links): links are those of the class that connect its component."""
+    """(doc_id, text_hash, n_shingles, component_id, class_id, n_links, stays) of each row.
+
+    Links are those of the class that connect its component. One document of each component stays: that of the smallest id,
+    ids before null, then of the smallest text hash.
+    """
     spark = docs.sparkSession
     rows = _texts(docs, text_col, id_col)
     counts = _entries(rows, None, percent).groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT)
@@ -294,15 +301,36 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, per
     ends = links.select(F.explode(F.array("a", "b")).alias("node"))
     n_links = ends.groupBy("node").agg(F.count("*").alias("n_links"))
     parts = connected_components(n_links.select("node"), links)
-    # a row for each class: the smallest id of its component
-    lowest = classes.groupBy("id", "n").agg(F.min("doc_id").alias("low"))
+    # a row for each class: the first document of its component
+    lowest = classes.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("low"))
     parts = parts.join(n_links, "node").select(F.col("node").alias("id"), "component", "n_links")
     reached = lowest.join(parts, "id").groupBy("component").agg(F.min("low").alias("reached"))
     lowest = lowest.join(parts.join(reached, "component"), "id", "left")
-    lowest = lowest.select("id", F.coalesce("reached", "low").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    out = classes.select("doc_id", F.col("n").alias("n_shingles"), "id").join(lowest, "id")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                      F.col("id").alias("class_id"), "n_links")
+    lowest = lowest.select("id", F.coalesce("reached", "low").alias("first"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    out = classes.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "id").join(lowest, "id")
+    empty = F.col("n_shingles") == 0
+    stays = empty | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+                      F.col("id").alias("class_id"), "n_links", stays.alias("stays"))
+
+
+def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, percent: int = PERCENT) -> DataFrame:
+    """docs without the documents of a component but its first. Of equal rows one stays; documents without words all stay."""
+    found = cut_lineage(join(docs, text_col, id_col, percent=percent).select("doc_id", "text_hash", "n_shingles", "stays"))
+    key = ["_id", "_hash"]
+
+    def listed(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))
+        return F.broadcast(rows) if rows.count() <= MAX_LISTED else rows
+
+    rows = docs.withColumns({"_id": F.col(id_col).cast("bigint"), "_hash": F.xxhash64(whole(text_col))})
+    match = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
+    rows = rows.join(listed(found.filter("NOT stays").select("doc_id", "text_hash").distinct()), match, "left_anti")
+    again = found.filter("stays AND n_shingles > 0").groupBy("doc_id", "text_hash").count().filter("count > 1")
+    if not again.isEmpty():
+        again = listed(again)
+        rows = rows.join(again, match, "left_anti").unionByName(rows.join(again, match, "left_semi").dropDuplicates(key))
+    return rows.drop(*key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

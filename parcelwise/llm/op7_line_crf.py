@@ -170,13 +170,13 @@ def judge(docs: DataFrame, weights: np.ndarray, change: float, text_col: str = "
     """docs (or its columns in `keep`) with the base figures, the share of content and the verdict."""
     added = T.StructType.fromDDL(ADDED)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added.names]
-    rows = docs.select(*keep, whole(text_col).alias("_text"))
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "_text"] + added.fields)
+    rows = docs.select(*keep, *[] if text_col in keep else [F.col(text_col)])
+    schema = T.StructType([f for f in rows.schema.fields if f.name in keep] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = to_arrow_schema(added)
         for batch in batches:
-            made = [judge_text(t.as_py(), weights, change) for t in batch.column("_text")]
+            made = [judge_text(t.as_py() or "", weights, change) for t in batch.column(text_col)]
             columns = [pa.array([m[i] for m in made], kinds.field(i).type) for i in range(len(kinds))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + columns, names=keep + added.names)
 
