@@ -18,7 +18,7 @@ def _fingerprint(df: DataFrame, *cols: str) -> tuple:
     return row["n"], row["h"]
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) for every row of nodes(node), given undirected edges(a, b).
 
     Each round hangs every larger neighbour of a node under the node's smallest neighbour, then every node
@@ -28,7 +28,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     star = (edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     star = cut_lineage(star)
     mark = _fingerprint(star, "u", "v")
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so the rounds end
         both = star.select("u", "v").unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = (both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -39,15 +39,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     label = star.select(F.col("u").alias("node"), F.col("v").alias("_root"))
     return (nodes.join(label, "node", "left")
             .select(*nodes.columns, F.coalesce("_root", "node").alias("component")))
 
 
-def component_history(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 60,
-                      hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def component_history(nodes: DataFrame, edges: DataFrame, *, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Every label a node ever carries: (node, ts, seq, label), the label holding from (ts, seq) on.
 
     nodes(node, ts, seq) gives each node's first appearance; edges(a, b, ts, seq) the moment each edge came
@@ -63,7 +60,7 @@ def component_history(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 6
     hot = hot_keys(sym.groupBy(F.col("a").alias("node")).count(), hot_rows)
     hist = nodes.select("node", F.struct("ts", "seq").alias("at"), F.col("node").alias("label"))
     hist = cut_lineage(hist.withColumn("fresh", F.lit(True)))
-    for _ in range(max_rounds):
+    while True:  # staircases only improve, so the rounds end
         # only what changed last round can improve a neighbour
         fresh = hist.filter("fresh").select(F.col("node").alias("b"), "at", "label")
         reached = sym.join(fresh, "b").select(F.col("a").alias("node"), F.greatest("_at", "at").alias("at"), "label")
@@ -81,7 +78,6 @@ def component_history(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 6
                            .select("node", F.struct("ts", "seq").alias("at"), "label", F.col("new").alias("fresh")))
         if hist.filter("fresh").isEmpty():
             return hist.select("node", "at.ts", "at.seq", "label")
-    raise RuntimeError(f"component histories did not settle in {max_rounds} rounds")
 
 
 def final_labels(history: DataFrame) -> DataFrame:

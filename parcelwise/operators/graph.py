@@ -187,7 +187,7 @@ def _touches(hashed: DataFrame) -> DataFrame:
 
 
 def ring_features(hashed: DataFrame, *, published: bool = True, guard: bool = True,
-                  ceiling: int = ADDR_MERGE_CEILING, hot_rows: int = HOT_KEY_ROWS, max_rounds: int = 60) -> DataFrame:
+                  ceiling: int = ADDR_MERGE_CEILING, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Ring features of every order as known just before it.
 
     published=True reads, for each of the order's nodes, the numbers written when that node was last touched
@@ -198,7 +198,7 @@ def ring_features(hashed: DataFrame, *, published: bool = True, guard: bool = Tr
     hashed = cut_lineage(hashed)
     hot = hot_keys(order_entities(hashed).groupBy("node").count(), hot_rows)
     history = component_history(node_table(hashed), merge_edges(hashed, guard=guard, ceiling=ceiling),
-                                max_rounds=max_rounds, hot_rows=hot_rows)
+                                hot_rows=hot_rows)
     links = both_ways(edge_list(hashed))
     readers = _readers(hashed, published, hot)
 

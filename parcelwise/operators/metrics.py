@@ -50,21 +50,21 @@ def curve_totals(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
     return curve.groupBy(*(by or [])).agg(F.sum("n").alias("total"), F.sum("pos").alias("total_pos"))
 
 
-def _at_or_above(curve: DataFrame) -> DataFrame:
+def _at_or_above(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
     """tp, fp, precision and recall of the rule score >= threshold, per distinct threshold."""
-    c = with_constant(curve, curve_totals(curve))
+    c = with_constant(curve, curve_totals(curve)) if not by else curve.join(curve_totals(curve, by), by)
     c = c.withColumn("tp", F.col("total_pos") - F.col("pos_below")).withColumn(
         "fp", F.col("total") - F.col("n_below") - F.col("tp"))
     return c.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))).withColumn(
         "recall", F.coalesce(F.try_divide(F.col("tp"), F.col("total_pos")), F.lit(1.0)))
 
 
-def ranking_metrics(curve: DataFrame) -> DataFrame:
-    """ROC-AUC with half credit for ties, and step-wise average precision."""
+def ranking_metrics(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """ROC-AUC with half credit for ties, and step-wise average precision, per group."""
     neg = F.col("n") - F.col("pos")
     wins = F.col("pos") * ((F.col("n_below") - F.col("pos_below")) + neg * 0.5)
-    c = _at_or_above(curve)
-    return c.agg(
+    c = _at_or_above(curve, by)
+    return c.groupBy(*(by or [])).agg(
         F.try_divide(F.sum(wins), F.max("total_pos").cast("double") * (F.max("total") - F.max("total_pos"))).alias("auc"),
         F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.max("total_pos").cast("double")).alias("pr_auc"))
 

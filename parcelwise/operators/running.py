@@ -60,7 +60,7 @@ def running_in_ranges(df: DataFrame, keys: list[str], order: list[str], aggs: Ag
 def hot_keys(sizes: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame | None:
     """Keys of sizes(keys..., count) with more than `hot_rows` rows; None if there are none.
 
-    At most rows / hot_rows keys pass, which bounds the broadcast of the list.
+    At most rows / hot_rows keys pass.
     """
     hot = cut_lineage(sizes.filter(F.col("count") > hot_rows).drop("count"))
     return None if hot.isEmpty() else hot
@@ -79,9 +79,8 @@ def running_by_key(df: DataFrame, keys: list[str], order: list[str], aggs: Aggs,
 
     if hot is None:
         return plain(df)
-    few = F.broadcast(hot)
-    split = running_in_ranges(df.join(few, keys, "left_semi"), keys, order, aggs, through_current=through_current)
-    return plain(df.join(few, keys, "left_anti")).unionByName(split)
+    split = running_in_ranges(df.join(hot, keys, "left_semi"), keys, order, aggs, through_current=through_current)
+    return plain(df.join(hot, keys, "left_anti")).unionByName(split)
 
 
 def with_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:

@@ -17,8 +17,9 @@ from .sql import cte, entity_hash, pin_info, q, sql, strlist
 # Expressions that read the same in Spark SQL and DuckDB: a messy export made of the whole order table.
 _D, _M, _Y = "lpad('' || day(ts), 2, '0')", "lpad('' || month(ts), 2, '0')", "('' || year(ts))"
 EXPORT = {
-    "Order ID": "order_id",
-    "Order Date": f"CASE WHEN seq % 50 = 0 THEN 'n/a' WHEN seq % 3 = 0 THEN {_D} || '/' || {_M} || '/' || {_Y} || ' ' || "
+    "Order ID": "CASE WHEN seq % 17 = 0 THEN '' || (seq - 1) ELSE order_id END",  # two lines of one order
+    "Order Date": f"CASE WHEN seq % 50 = 0 THEN 'n/a' WHEN seq % 6 = 0 THEN day(ts) || '/' || month(ts) || '/' || {_Y} || ' ' || hour_of_day || ':30' "
+                  f"WHEN seq % 3 = 0 THEN {_D} || '/' || {_M} || '/' || {_Y} || ' ' || "
                   f"lpad('' || hour_of_day, 2, '0') || ':30' WHEN seq % 3 = 1 THEN {_Y} || '-' || {_M} || '-' || {_D} "
                   f"ELSE {_D} || '-' || {_M} || '-' || {_Y} END",
     "Delivery Date": f"CASE WHEN seq % 5 = 0 THEN '' ELSE '28/12/' || {_Y} END",
@@ -26,16 +27,17 @@ EXPORT = {
                        "substr('' || (9000000000 + CAST(substr(phone, 2) AS BIGINT)), 6)",
     "Device ID": "CASE WHEN seq % 4 = 0 THEN '' ELSE device END",
     "Client IP": "CASE WHEN seq % 6 = 0 THEN '' ELSE ip END",
-    "Ship Address": "shipping_address",
+    "Ship Address": "CASE WHEN seq % 19 = 0 THEN shipping_address || chr(10) || 'second line' ELSE shipping_address END",
     "Ship Pincode": "CASE WHEN seq % 41 = 0 THEN '12' WHEN seq % 7 = 0 THEN 'PIN ' || delivery_pin ELSE delivery_pin END",
-    "Order Amount": "CASE WHEN seq % 53 = 0 THEN 'abc' WHEN seq % 59 = 0 THEN '-5' ELSE '' || cart_gmv END",
-    "Qty": "CASE WHEN seq % 6 = 0 THEN '' ELSE '' || items_count END",
+    "Order Amount": "CASE WHEN seq % 53 = 0 THEN 'abc' WHEN seq % 59 = 0 THEN '-5' WHEN seq % 67 = 0 THEN 'nan' "
+                    "WHEN seq % 71 = 0 THEN 'Infinity' ELSE '' || cart_gmv END",
+    "Qty": "CASE WHEN seq % 6 = 0 THEN '' WHEN seq % 73 = 0 THEN '9999999999' WHEN seq % 79 = 0 THEN 'nan' ELSE '' || items_count END",
     "Payment Mode": "CASE WHEN seq % 61 = 0 THEN 'Barter' WHEN payment_method = 'COD' AND seq % 2 = 0 THEN ' Cash on Delivery ' "
                     "WHEN payment_method = 'COD' THEN 'cod' WHEN payment_method = 'UPI' THEN 'Prepaid' ELSE 'Credit Card' END",
     "UTM Source": "CASE seq % 8 WHEN 0 THEN 'facebook' WHEN 1 THEN 'Google' WHEN 2 THEN 'affiliate' WHEN 3 THEN 'WhatsApp' "
                   "WHEN 4 THEN 'direct' WHEN 5 THEN 'tv' WHEN 6 THEN 'meta_ads' ELSE '' END",
     "Coupon Code": "CASE seq % 4 WHEN 0 THEN 'SAVE10' WHEN 1 THEN '' WHEN 2 THEN 'No' ELSE '0' END",
-    "Checkout Duration": "CASE WHEN seq % 9 = 0 THEN 'x' ELSE '' || checkout_seconds END",
+    "Checkout Duration": "CASE WHEN seq % 9 = 0 THEN 'x' WHEN seq % 83 = 0 THEN 'inf' ELSE '' || checkout_seconds END",
     "Status": "CASE WHEN status = 'F' AND seq % 2 = 0 THEN ' RTO ' WHEN status = 'F' THEN 'returned to sender' "
               "WHEN status = 'O' THEN 'Delivered' WHEN seq % 2 = 0 THEN 'Cancelled' ELSE 'In transit' END",
 }
@@ -64,12 +66,12 @@ SELECT "Order ID" AS order_id, try_strptime("Order Date", ['%d/%m/%Y %H:%M', '%Y
  CASE WHEN lower(trim("Status")) IN ('rto', 'returned to sender') THEN true WHEN lower(trim("Status")) IN ('delivered', 'completed') THEN false END AS rto,
  right(regexp_replace("Customer Mobile", '[^0-9]', '', 'g'), 10) AS phone, "Device ID" AS dev, nullif("Client IP", '') AS ip,
  "Ship Address" AS shipping_address, substr(regexp_replace("Ship Pincode", '[^0-9]', '', 'g'), 1, 6) AS delivery_pin,
- try_cast("Order Amount" AS DOUBLE) AS cart_gmv, coalesce(try_cast("Qty" AS INTEGER), 1) AS items_count,
+ CASE WHEN isfinite(try_cast("Order Amount" AS DOUBLE)) THEN try_cast("Order Amount" AS DOUBLE) END AS cart_gmv, coalesce(try_cast("Qty" AS INTEGER), 1) AS items_count,
  CASE upper(trim("Payment Mode")) WHEN 'CASH ON DELIVERY' THEN 'COD' WHEN 'COD' THEN 'COD' WHEN 'PREPAID' THEN 'UPI' WHEN 'CREDIT CARD' THEN 'CARD' ELSE 'COD' END AS payment_method,
  CASE lower(trim("UTM Source")) WHEN 'facebook' THEN 'META_ADS' WHEN 'google' THEN 'GOOGLE_ADS' WHEN 'whatsapp' THEN 'WHATSAPP' WHEN 'direct' THEN 'DIRECT'
   WHEN 'affiliate' THEN 'AFFILIATE' WHEN 'meta_ads' THEN 'META_ADS' ELSE 'ORGANIC' END AS acquisition_channel,
  lower(trim("Coupon Code")) NOT IN ('', '0', 'false', 'no', 'none', 'nan') AS coupon_applied,
- coalesce(try_cast("Checkout Duration" AS DOUBLE), 90e0) AS checkout_seconds, trim("Status") AS status FROM export""", "export")
+ coalesce(CASE WHEN isfinite(try_cast("Checkout Duration" AS DOUBLE)) THEN try_cast("Checkout Duration" AS DOUBLE) END, 90e0) AS checkout_seconds, trim("Status") AS status FROM export""", "export")
 cte("norm", """
 SELECT *, coalesce(given_outcome, ts + to_days(6)) AS outcome_ts,
  CASE WHEN dev <> '' THEN dev ELSE 'fp_' || substr(sha1(phone), 1, 24) END AS device, 'acc_' || substr(sha1(phone), 1, 8) AS account_id,
@@ -90,7 +92,7 @@ def scan_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the export as CSV, scan it back and normalise it."""
     path = run_folder(spark, "export")
     export(spark, sf_dir).write.option("header", True).option("emptyValue", "").option(
-        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(path)
     raw = merchant_csv.read_export(spark, path, MAPPING)
     return merchant_csv.normalise_orders(raw, MAPPING).select("order_id", "phone", "delivery_pin", "payment_method", "rto", "cart_gmv")
 

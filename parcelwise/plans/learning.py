@@ -147,12 +147,16 @@ def monitored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.monitor(drift.rolling_hour(per), base_of(placed))
 
 
+BASE_SHARE = 10  # one event in so many, the oldest
+
+
 def base_of(placed: DataFrame) -> DataFrame:
-    return drift.baseline(placed.filter("position < 300"))
+    counted = M.with_constant(placed, placed.agg(F.count("*").alias("_all")))
+    return drift.baseline(counted.filter(F.col("position") * BASE_SHARE < F.col("_all")).drop("_all"))
 
 
 cte("base", "SELECT count(*) AS bn, " + ", ".join(f"count(*) FILTER (certainty = '{c}') / CAST(count(*) AS DOUBLE) AS b_{c.lower()}" for c in CERTAINTIES) + ", ["
-    + ", ".join(f"count(*) FILTER (h = {i}) / CAST(count(*) AS DOUBLE)" for i in range(20)) + "] AS b_hist FROM ev WHERE position < 300", "ev")
+    + ", ".join(f"count(*) FILTER (h = {i}) / CAST(count(*) AS DOUBLE)" for i in range(20)) + "] AS b_hist FROM ev WHERE position * 10 < (SELECT count(*) FROM ev)", "ev")
 cte("hours", _hour.format(b="(position // 300)"), "ev")
 cte("psi0", "SELECT *, [" + ", ".join(f"h{i} / CAST(n AS DOUBLE)" for i in range(20)) + "] AS live FROM hours, base", "hours", "base")
 cte("mon", """SELECT *, n_ambiguous / CAST(n AS DOUBLE) AS amb, n_certified_high / CAST(n AS DOUBLE) AS hi, n_novel / CAST(n AS DOUBLE) AS emp,
@@ -206,29 +210,38 @@ add("j2_rolling_hour_streamed", lambda s, d: stream_windows(s, d, J.rolling_hour
     sql("SELECT k AS bucket, " + _counts + " FROM ev, LATERAL (SELECT unnest(range(bucket, bucket + 12)) AS k) GROUP BY 1", "ev"))
 
 
-def streamed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as orders: parsed, scored, decided per micro-batch and written to the ledger."""
+def streamed_decisions(spark: SparkSession, sf_dir: str, again: int | None = None) -> DataFrame:
+    """Events as orders: parsed, scored, decided per micro-batch and written to the ledger; each `again`-th order is sent twice."""
     def decide_batch(df: DataFrame) -> DataFrame:
         o = df.withColumns({"cart_gmv": F.col("value") * 5, "merchant_margin": F.lit(0.18), "cac": F.lit(300.0), "is_new_customer": F.lit(False),
                             "weight_grams": F.lit(450.0), "addr_defect_score": F.lit(0.0), "in0": F.col("p") <= Q0, "in1": (1.0 - F.col("p")) <= Q1})
         return decide.resolve(price_orders(o)).select("order_id", "ts", "p", "certainty", "action", F.round("saving_vs_allow", 4).alias("saving_vs_allow"))
 
-    stream = J.unique_orders(event_stream(spark, sf_dir).withColumn("order_id", F.concat(F.lit("e"), F.col("seq") % 9000)), horizon="60 days")
+    sent = event_stream(spark, sf_dir)
+    if again:
+        sent = sent.unionByName(event_stream(spark, sf_dir).filter(F.col("seq") % again == 0))
+    stream = J.unique_orders(sent.withColumn("order_id", F.concat(F.lit("e"), "seq")), horizon="60 days")
     return spark.read.parquet(drained(spark, "score", stream, "append", lambda path: J.scoring_sink(decide_batch, path))).drop("batch_id")
 
 
 add("j8_streamed_decisions", streamed_decisions)
-add("j13_duplicates_suppressed", lambda s, d: streamed_decisions(s, d).agg(F.count("*").alias("orders"), F.countDistinct("order_id").alias("order_ids")),
-    "SELECT least(count(*), 9000) AS orders, least(count(*), 9000) AS order_ids FROM events")
+add("j13_duplicates_suppressed", lambda s, d: streamed_decisions(s, d, again=10).agg(F.count("*").alias("orders"), F.countDistinct("order_id").alias("order_ids")),
+    "SELECT count(DISTINCT event_id) AS orders, count(DISTINCT event_id) AS order_ids FROM events")
+
+
+def stretched(ev: DataFrame, times: int) -> DataFrame:
+    """Events spread over `times` as long a span, from 2024 on."""
+    start = 1_704_067_200_000_000
+    return ev if times == 1 else ev.withColumn("ts", F.timestamp_micros(F.lit(start) + (F.unix_micros("ts") - start) * times))
 
 
-def joined_stream(spark: SparkSession, sf_dir: str, days: int = J.PENDING_DAYS) -> DataFrame:
+def joined_stream(spark: SparkSession, sf_dir: str, days: int = J.PENDING_DAYS, times: int = 1) -> DataFrame:
     """Orders are the non-error events, outcomes the error events that name an order by number."""
-    ev = event_stream(spark, sf_dir)
+    ev = stretched(event_stream(spark, sf_dir), times)
     decisions = ev.filter("event_type <> 'error'").select(
         F.concat(F.lit("e"), "seq").alias("order_id"), "ts", "p", F.expr("CASE seq % 3 WHEN 0 THEN 'ALLOW_COD' WHEN 1 THEN 'STEP_UP_DEPOSIT' ELSE 'FORCE_PREPAID' END").alias("served_action"),
         F.lit("SEARCH|T1|low").alias("segment"), F.lit(0.1).alias("addr_attribution"))
-    ev2 = event_stream(spark, sf_dir)
+    ev2 = stretched(event_stream(spark, sf_dir), times)
     outcomes = ev2.filter("event_type <> 'error' and seq % 4 <> 0").select(
         F.concat(F.lit("e"), "seq").alias("order_id"), F.timestamp_micros(F.unix_micros("ts") + F.col("seq") % 40 * 86_400_000_000).alias("outcome_ts"), (F.col("seq") % 5 == 0).alias("rto"),
         F.expr("CASE WHEN seq % 3 = 1 THEN CASE WHEN seq % 7 = 0 THEN 'abandoned' ELSE 'paid' END END").alias("stepup_result"),
@@ -244,9 +257,9 @@ add("j9_decisions_with_outcomes", lambda s, d: matched_outcomes(s, d).select("or
     "SELECT 'e' || event_id AS order_id, event_id % 5 = 0 AS rto FROM events WHERE event_type <> 'error' AND event_id % 4 <> 0 AND event_id % 40 <= 30")
 
 
-# orders still open when the watermark passed their retention (ten days here, as the table spans thirty), and
-# windows that are closed for good
-add("j11_expired_orders", lambda s, d: s.read.parquet(drained(s, "join", joined_stream(s, d, 10), "append")).filter(F.col("rto").isNull()).select("order_id", "ts"))
+# orders still open when the watermark passed their retention (the table spans thirty days, so its span is stretched to ninety),
+# and windows that are closed for good
+add("j11_expired_orders", lambda s, d: s.read.parquet(drained(s, "join", joined_stream(s, d, times=3), "append")).filter(F.col("rto").isNull()).select("order_id", "ts"))
 add("j12_expired_windows", lambda s, d: s.read.parquet(drained(s, "closed", J.drift_window_stream(scored_events(event_stream(s, d))), "append")).select("bucket", *MEASURES))
 
 
@@ -268,14 +281,19 @@ UNION ALL SELECT 'response', count(*) FILTER (event_id % 3 <> 0) FROM events WHE
 
 def entity_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity state kept by a stateful stream over the events lens, merged over its salts."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    former = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         ev = event_stream(spark, sf_dir).select(
             F.concat(F.lit("e"), "seq").alias("order_id"), (F.col("event_type") == "error").cast("int").alias("kind"), "ts", F.col("user").alias("phone"), "device",
             F.col("user").alias("addr"), F.lit("110001").alias("delivery_pin"), F.col("value").alias("cart_gmv"), (F.col("seq") % 2 == 0).alias("rto"))
         out = drained(spark, "entities", J.entity_state_stream(ev, salts=4), "update")
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        if former is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, former)
     return J.merge_entity_state(spark.read.parquet(out))
 
 
@@ -292,12 +310,12 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late rows of a stream whose second file replays the day before: counted on time and late."""
     folder = J.run_folder(spark, "late")
     ev = lens.event_orders(spark, sf_dir)
-    ev.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    ev.write.mode("append").parquet(f"{folder}/in")
     source = spark.read.parquet(f"{folder}/in").schema
     run = lambda: J.start(spark.readStream.schema(source).parquet(f"{folder}/in"), J.late_splitter(f"{folder}/time", f"{folder}/late", f"{folder}/clock", 86400),
                           f"{folder}/ckpt").awaitTermination()
     run()
-    ev.withColumn("seq", F.col("seq") + 1_000_000_000).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    ev.withColumn("seq", F.col("seq") + 1_000_000_000).write.mode("append").parquet(f"{folder}/in")
     run()
     counted = lambda name: spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("route"), F.count("*").alias("n"))
     return counted("time").unionByName(counted("late"))

@@ -61,7 +61,7 @@ add("e2_instance_weights", lambda s, d: training.instance_weights(part(s, d, "tr
 
 MODEL_FEATURES = ["addr_defect_score", "pin_tier", "addr_tokens", "cart_gmv", "items_count", "weight_grams", "checkout_seconds",
                   "hour_of_day", "house", "switched"]
-TREES = {"max_trees": 8, "depth": 4}
+TREES = {"max_trees": training.MAX_TREES, "depth": training.DEPTH}  # early stopping on the valid slice ends most fits sooner
 
 
 def modelling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +79,8 @@ def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = cut_lineage(tree_scores(spark, sf_dir).filter("split <> 'train'"))
-    return training.calibrated(training.fit_isotonic(raw.filter("split = 'calib'")), raw.filter("split <> 'calib'"))
+    raw = cut_lineage(tree_scores(spark, sf_dir))
+    return training.calibrated(training.fit_isotonic(raw.filter("split = 'calib'")), raw)
 
 
 def isotonic_knots(spark: SparkSession, sf_dir: str) -> DataFrame:

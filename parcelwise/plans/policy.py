@@ -256,7 +256,8 @@ def band_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["epsilon", "cap", "cycle"]
     weighted = rows.withColumn("weight", F.least("cap", D.ipw_weight(F.col("served_action"), F.col("propensity"), 1e9)))
     per = V.retraining_bias(weighted, keys, p_true="p_base").join(M.calibration_error(rows, "p", "rto", keys), keys) \
-        .join(V.simulate(rows, keys, action="served_action").select(*keys, F.col("pnl_total").alias("pnl")), keys).withColumn("auc", F.lit(0.8))
+        .join(V.simulate(rows, keys, action="served_action").select(*keys, F.col("pnl_total").alias("pnl")), keys).join(
+        M.ranking_metrics(M.score_curve(rows, "p", "rto", keys), keys).select(*keys, "auc"), keys)
     cost = V.control_band_cost(rows, ["epsilon", "cap"])
     return V.cycle_summary(per, ["epsilon", "cap"]).join(cost, ["epsilon", "cap"], "left")
 
@@ -266,22 +267,25 @@ cte("bands", f"""SELECT *, CASE WHEN shadow OR ctl THEN 'ALLOW_COD' ELSE action
  FROM cyc, (VALUES (0.01e0, 100e0), (0.02e0, 50e0), (0.05e0, 20e0)) w(epsilon, cap))""", "cyc")
 _ece_bin = "len(list_filter(range(1, 15), lambda i: i * (1e0 / 15) <= p))"
 cte("band_cycles", f"""SELECT * FROM (SELECT epsilon, cap, cycle, abs(avg(CAST(rto AS DOUBLE)) FILTER (0.5e0 * p + 0.125e0 >= 0.5e0) - avg(p) FILTER (0.5e0 * p + 0.125e0 >= 0.5e0)) AS gap, sum({pnl('srv')}) AS pnl FROM bands GROUP BY 1, 2, 3)
- JOIN (SELECT epsilon, cap, cycle, sum(n * abs(mp - my)) / sum(n) AS ece FROM (SELECT epsilon, cap, cycle, {_ece_bin} AS b, count(*) AS n, avg(p) AS mp, avg(CAST(rto AS DOUBLE)) AS my FROM bands GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) USING (epsilon, cap, cycle)""", "bands")
-cte("band_summary", f"""SELECT * FROM (SELECT epsilon, cap, max(gap) AS max_abs_boundary_gap, max(ece) AS max_ece, sum(pnl) AS cumulative_pnl FROM band_cycles GROUP BY 1, 2)
+ JOIN (SELECT epsilon, cap, cycle, sum(n * abs(mp - my)) / sum(n) AS ece FROM (SELECT epsilon, cap, cycle, {_ece_bin} AS b, count(*) AS n, avg(p) AS mp, avg(CAST(rto AS DOUBLE)) AS my FROM bands GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) USING (epsilon, cap, cycle)
+ JOIN (SELECT epsilon, cap, cycle, (sum(r) FILTER (rto) - count(*) FILTER (rto) * (count(*) FILTER (rto) + 1) / 2e0) / (count(*) FILTER (rto) * CAST(count(*) FILTER (NOT rto) AS DOUBLE)) AS auc
+  FROM (SELECT *, rank() OVER (PARTITION BY epsilon, cap, cycle ORDER BY p) + (count(*) OVER (PARTITION BY epsilon, cap, cycle, p) - 1) / 2e0 AS r FROM bands) GROUP BY 1, 2, 3) USING (epsilon, cap, cycle)""", "bands")
+cte("band_summary", f"""SELECT * FROM (SELECT epsilon, cap, max(gap) AS max_abs_boundary_gap, max(ece) AS max_ece, min(auc) AS min_auc, sum(pnl) AS cumulative_pnl FROM band_cycles GROUP BY 1, 2)
  JOIN (SELECT epsilon, cap, count(*) AS control_orders, sum({pnl('action')} - {pnl(repr('ALLOW_COD'))}) AS exploration_cost FROM bands WHERE ctl GROUP BY 1, 2) USING (epsilon, cap)""", "band_cycles", "bands")
 add("h13_band_summary", lambda s, d: band_summary(s, d).select("epsilon", "cap", "control_orders", F.round("max_abs_boundary_gap", 6).alias("max_abs_boundary_gap"), F.round("max_ece", 6).alias("max_ece"),
-    F.round("cumulative_pnl", 2).alias("cumulative_pnl"), F.round("exploration_cost", 2).alias("exploration_cost")),
-    sql("SELECT epsilon, cap, control_orders, round(max_abs_boundary_gap, 6) AS max_abs_boundary_gap, round(max_ece, 6) AS max_ece, round(cumulative_pnl, 2) AS cumulative_pnl, round(exploration_cost, 2) AS exploration_cost FROM band_summary", "band_summary"))
-add("h13_cheapest_band", lambda s, d: V.cheapest_band(band_summary(s, d), max_ece=0.2),
-    sql("SELECT epsilon, cap, max_ece <= 0.2 AS acceptable FROM band_summary ORDER BY max_ece <= 0.2 DESC, CASE WHEN max_ece <= 0.2 THEN exploration_cost ELSE max_ece END LIMIT 1", "band_summary"))
+    F.round("min_auc", 6).alias("min_auc"), F.round("cumulative_pnl", 2).alias("cumulative_pnl"), F.round("exploration_cost", 2).alias("exploration_cost")),
+    sql("SELECT epsilon, cap, control_orders, round(max_abs_boundary_gap, 6) AS max_abs_boundary_gap, round(max_ece, 6) AS max_ece, round(min_auc, 6) AS min_auc, round(cumulative_pnl, 2) AS cumulative_pnl, round(exploration_cost, 2) AS exploration_cost FROM band_summary", "band_summary"))
+add("h13_cheapest_band", lambda s, d: V.cheapest_band(band_summary(s, d)),
+    sql("""SELECT epsilon, cap, ok AS acceptable FROM (SELECT *, max_ece <= 0.1 AND min_auc >= 0.75 AS ok FROM band_summary)
+ORDER BY ok DESC, CASE WHEN ok THEN exploration_cost ELSE max_ece END, epsilon, cap LIMIT 1""", "band_summary"))
 cte("walk", f"SELECT policy, position + 1 AS orders, sum({pnl('action')}) OVER (PARTITION BY policy ORDER BY position) AS x FROM (SELECT * EXCLUDE (position), row_number() OVER (PARTITION BY policy ORDER BY position) - 1 AS position FROM pol)", "pol")
 
 
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = cut_lineage(policies(spark, sf_dir))
     first = a.agg(F.min("position").alias("_f"))
-    return V.pnl_trajectory(M.with_constant(a, first).withColumn("position", F.col("position") - F.col("_f")), every=50)
+    return V.pnl_trajectory(M.with_constant(a, first).withColumn("position", F.col("position") - F.col("_f")))
 
 
 add("h14_pnl_trajectory", lambda s, d: trajectory(s, d).select("policy", "orders", F.round("pnl", 2).alias("pnl")),
-    sql("SELECT policy, orders, round(x, 2) AS pnl FROM walk WHERE orders % 50 = 0", "walk"))
+    sql("SELECT policy, orders, round(x, 2) AS pnl FROM walk WHERE orders % 250 = 0", "walk"))

@@ -208,7 +208,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("d25_node_scorer", lambda s, d: (lambda x, y: training.score_nodes(
     training.fit_node_scorer(x.join(y, "node"), HOP_COLUMNS), x, HOP_COLUMNS))(hops(s, d), labels(s, d).withColumnRenamed("phone", "node")))
-add("d26_out_of_fold_scores", lambda s, d: training.out_of_fold(hops(s, d), labels(s, d).withColumnRenamed("phone", "node"), HOP_COLUMNS, folds=3))
+add("d26_out_of_fold_scores", lambda s, d: training.out_of_fold(hops(s, d), labels(s, d).withColumnRenamed("phone", "node"), HOP_COLUMNS))
 add("d27_node_labels", labels,
     sql("SELECT phone, CASE WHEN avg(CAST(rto AS DOUBLE)) >= 0.5 THEN 1 ELSE 0 END AS label FROM hashed WHERE ts < TIMESTAMP '1998-12-01' GROUP BY 1 "
         "HAVING min(ts) >= TIMESTAMP '1997-08-01'", "hashed"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.pincodes import with_pin_info
@@ -19,10 +19,11 @@ PAYMENT_ALIASES = {"COD": "COD", "CASH ON DELIVERY": "COD", "CASH": "COD", "UPI"
 KNOWN_CHANNELS = ("ORGANIC", "DIRECT", "WHATSAPP", "GOOGLE_ADS", "MARKETPLACE", "META_ADS", "INFLUENCER", "AFFILIATE")
 
 # Day-first formats tried in order when the mapping names none.
-DAY_FIRST_FORMATS = ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "dd-MM-yyyy HH:mm", "dd-MM-yyyy",
-                     "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+DAY_FIRST_FORMATS = ("%d/%m/%Y %H:%M:%S", "%d/%m/%Y %H:%M", "%d/%m/%Y", "%d-%m-%Y %H:%M", "%d-%m-%Y", "%Y-%m-%d %H:%M:%S",
+                     "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d")
 # Strptime directives and their Spark letters.
-_STRPTIME = {"%d": "dd", "%m": "MM", "%Y": "yyyy", "%y": "yy", "%H": "HH", "%M": "mm", "%S": "ss"}
+_STRPTIME = {"%d": "d", "%m": "M", "%Y": "yyyy", "%y": "yy", "%H": "H", "%I": "h", "%M": "m", "%S": "s", "%p": "a", "%b": "MMM", "%B": "MMMM", "%f": "SSSSSS",
+             "%z": "xx", "%a": "EEE", "%A": "EEEE", "%j": "D"}
 
 OPTIONAL_IDS = ("ip", "vpa", "card_token", "payment_switch_from", "customer_email")
 
@@ -39,6 +40,7 @@ class Mapping:
     date_format: str | list[str] | None = None
     outcome_date_format: str | list[str] | None = None
     defaults: dict = field(default_factory=dict)
+    multi_line: bool = True
 
     @classmethod
     def from_json(cls, raw: dict) -> "Mapping":
@@ -46,15 +48,16 @@ class Mapping:
         return cls(columns=dict(raw.get("columns") or {}), rto=list(st.get("rto") or []),
                    delivered=list(st.get("delivered") or []), ignored=list(st.get("drop") or []),
                    channel_aliases=dict(raw.get("channel_aliases") or {}), date_format=raw.get("date_format"),
-                   outcome_date_format=raw.get("outcome_date_format"), defaults=dict(raw.get("defaults") or {}))
+                   outcome_date_format=raw.get("outcome_date_format"), defaults=dict(raw.get("defaults") or {}),
+                   multi_line=bool(raw.get("multi_line", True)))
 
     def default(self, name: str):
         return {**DEFAULTS, **self.defaults}[name]
 
 
 def read_export(spark: SparkSession, path: str, mapping: Mapping) -> DataFrame:
-    """All-string scan; an empty cell stays an empty string."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"').na.fill("")
+    """All-string scan; an empty cell stays an empty string. Quoted cells may hold line breaks unless the mapping says otherwise."""
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=mapping.multi_line, escape='"').na.fill("")
     check_mapping(raw, mapping)
     return raw
 
@@ -66,9 +69,19 @@ def check_mapping(raw: DataFrame, mapping: Mapping) -> None:
 
 
 def spark_date_format(fmt: str) -> str:
-    for directive, letters in _STRPTIME.items():
-        fmt = fmt.replace(directive, letters)
-    return fmt
+    """A strptime format in Spark's letters; one digit is enough where strptime takes one. An unknown directive is an error."""
+    out, i = "", 0
+    while i < len(fmt):
+        if fmt[i] != "%":
+            out += f"'{fmt[i]}'" if fmt[i].isalpha() else "''" if fmt[i] == "'" else fmt[i]
+            i += 1
+            continue
+        directive = fmt[i:i + 2]
+        if directive not in _STRPTIME and directive != "%%":
+            raise ValueError(f"date format {fmt!r}: {directive!r} is not supported")
+        out += _STRPTIME.get(directive, "%")
+        i += 2
+    return out
 
 
 def parse_date(c: Column, formats: str | list[str] | None) -> Column:
@@ -80,6 +93,7 @@ def parse_date(c: Column, formats: str | list[str] | None) -> Column:
 
 def number(c: Column, default: float | Column | None = None) -> Column:
     parsed = stripped(c).try_cast("double")
+    parsed = F.when(F.abs(parsed) < float("inf"), parsed)  # neither NaN, which sorts above all numbers, nor infinite
     return parsed if default is None else F.coalesce(parsed, F.lit(default) if not isinstance(default, Column) else default)
 
 
@@ -116,11 +130,22 @@ def account_of(phone: Column) -> Column:
 
 
 def with_first_order_flag(df: DataFrame, phone: str = "phone") -> DataFrame:
-    """TRUE on the earliest order of each phone (ties by seq), through one pre-aggregated minimum per phone."""
-    first = (df.groupBy(phone).agg(F.min(F.struct("ts", "seq")).alias("_f"))
-             .select(F.col("_f.seq").alias("_first_seq")))
-    return (df.join(first, df["seq"] == first["_first_seq"], "left")
-            .withColumn("is_new_customer", F.col("_first_seq").isNotNull()).drop("_first_seq"))
+    """TRUE on the earliest order of each phone (ties by seq, which tells rows apart), through one pre-aggregated minimum per phone."""
+    first = (df.groupBy(F.col(phone).alias("_phone")).agg(F.min(F.struct("ts", "seq")).alias("_f"))
+             .select("_phone", F.col("_f.seq").alias("_first_seq")))
+    same = df[phone].eqNullSafe(first["_phone"]) & (df["seq"] == first["_first_seq"])
+    return df.join(first, same, "left").withColumn("is_new_customer", F.col("_first_seq").isNotNull()).drop("_first_seq", "_phone")
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Add `seq`: the order id, with a number behind it where an export repeats the id.
+
+    Repeats are numbered by their content, so the key does not depend on the order of lines; lines equal in all columns are
+    numbered among themselves.
+    """
+    line = F.xxhash64(*[F.col(c) for c in df.columns])
+    n = F.row_number().over(Window.partitionBy("order_id").orderBy("ts", "_line"))
+    return df.withColumn("_line", line).withColumn("seq", F.when(n == 1, F.col("order_id")).otherwise(F.concat("order_id", F.lit("#"), n))).drop("_line")
 
 
 def _typed(raw: DataFrame, mapping: Mapping) -> tuple[DataFrame, list[str]]:
@@ -148,7 +173,7 @@ def _typed(raw: DataFrame, mapping: Mapping) -> tuple[DataFrame, list[str]]:
         col("ip", "").alias("ip"), col("vpa", "").alias("vpa"), col("card_token", "").alias("card_token"),
         col("shipping_address").alias("shipping_address"), pin_digits(col("delivery_pin")).alias("delivery_pin"),
         number(col("cart_gmv")).alias("cart_gmv"),
-        number(col("items_count", d("items_count")), float(d("items_count"))).cast("int").alias("items_count"),
+        F.coalesce(number(col("items_count", d("items_count"))).try_cast("int"), F.lit(int(float(d("items_count"))))).alias("items_count"),
         number(col("weight_grams", d("weight_grams")), float(d("weight_grams"))).alias("weight_grams"),
         alias_payment(col("payment_method")).alias("payment_method"),
         col("payment_switch_from", "").alias("payment_switch_from"),
@@ -163,7 +188,7 @@ def _typed(raw: DataFrame, mapping: Mapping) -> tuple[DataFrame, list[str]]:
     )
     typed = typed.withColumns({
         "outcome_ts": F.coalesce("_outcome", F.timestamp_micros(F.unix_micros("ts") + F.lit(lag))),
-        "hour_of_day": F.coalesce(F.col("_hour").cast("int"), F.hour("ts"), F.lit(0)),
+        "hour_of_day": F.coalesce(F.col("_hour").try_cast("int"), F.hour("ts"), F.lit(0)),
         **{c: F.when(F.col(c) != "", F.col(c)) for c in OPTIONAL_IDS},
     }).drop("_outcome", "_hour")
     return typed, sorted(set(used))
@@ -181,9 +206,8 @@ def normalise_orders(raw: DataFrame, mapping: Mapping) -> DataFrame:
     typed, _ = _typed(raw, mapping)
     labelled, sound = _keep_rule()
     kept = typed.filter(labelled & sound).withColumnRenamed("_label", "rto")
-    # orders of the same instant are told apart by their id; the export has no row number
-    kept = kept.withColumn("seq", F.col("order_id"))
-    return with_first_order_flag(with_pin_info(kept)).withColumn("cohort", F.lit("unknown"))
+    # orders of the same instant are told apart by their id, lines of the same order by their content
+    return with_first_order_flag(with_pin_info(with_row_key(kept))).withColumn("cohort", F.lit("unknown"))
 
 
 def ingest_report(raw: DataFrame, mapping: Mapping) -> DataFrame:
@@ -222,7 +246,7 @@ def derive_marketplace(raw: DataFrame) -> DataFrame:
     Every order line is its own customer: '9' and nine digits taken from the SHA-1 of the order id.
     """
     raw = raw.select(*[F.col(f"`{c}`").alias(c.strip()) for c in raw.columns])
-    pin = number(F.col("`ship-postal-code`")).cast("bigint")
+    pin = number(F.col("`ship-postal-code`")).try_cast("bigint")
     weights = F.create_map(*[F.lit(x) for k, v in WEIGHT_BY_CATEGORY.items() for x in (k, float(v))])
     text = lambda c: F.initcap(F.coalesce(F.col(f"`{c}`"), F.lit("")))
     out = raw.withColumns({

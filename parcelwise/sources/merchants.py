@@ -30,11 +30,11 @@ def violations(config: DataFrame) -> DataFrame:
 
 
 def resolve_merchants(orders: DataFrame, config: DataFrame, default_id: str = DEFAULT_MERCHANT,
-                      base: Economics | None = None, broadcast_rows: int = 100_000) -> DataFrame:
+                      base: Economics | None = None) -> DataFrame:
     """Attach econ_<field>, budget, epsilon and shadow flag per order.
 
     An unknown merchant takes the default merchant's row with known=false; a field a merchant leaves out
-    takes the global default. The table is broadcast only while it has at most `broadcast_rows` rows.
+    takes the global default.
     """
     b = (base or Economics()).to_dict()
     field = lambda f: F.coalesce(F.col("economics")[f], F.lit(float(b[f])))
@@ -43,8 +43,6 @@ def resolve_merchants(orders: DataFrame, config: DataFrame, default_id: str = DE
                           F.coalesce("epsilon", F.lit(EXPLORATION_EPSILON)).alias("epsilon"),
                           F.coalesce("shadow", F.lit(False)).alias("shadow"))
     ids = table.select(F.col("_mid").alias("_known"))
-    if config.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        ids, table = F.broadcast(ids), F.broadcast(table)
     j = orders.join(ids, F.col("merchant_id") == F.col("_known"), "left")
     j = j.withColumn("merchant_known", F.col("_known").isNotNull()).withColumn(
         "merchant_config", F.coalesce("_known", F.lit(default_id))).drop("_known")

@@ -150,9 +150,13 @@ def late_splitter(on_time: str, late: str, clock: str, delay_seconds: int, ts: s
             limit = (spark.read.parquet(clock).filter(F.col("batch_id") < batch_id)
                      .agg((F.max("newest") - F.make_dt_interval(secs=F.lit(delay_seconds))).alias("l")).first()["l"])
         is_late = F.lit(False) if limit is None else F.col(ts) < F.lit(limit)
-        to_time(df.filter(~is_late), batch_id)
-        to_late(df.filter(is_late), batch_id)
-        to_clock(df.agg(F.max(ts).cast("timestamp").alias("newest")), batch_id)
+        df.persist()  # three writes, one read of the source
+        try:
+            to_time(df.filter(~is_late), batch_id)
+            to_late(df.filter(is_late), batch_id)
+            to_clock(df.agg(F.max(ts).cast("timestamp").alias("newest")), batch_id)
+        finally:
+            df.unpersist()
     return route
 
 
