@@ -195,21 +195,21 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
     has = F.coalesce(F.col(text_col).rlike(HINT) & F.col(text_col).rlike(PATTERN), F.lit(False))
     clean = docs.filter(~has).withColumns({"n_entities": F.lit(0).cast("bigint"), "entities": none})
     # rows are known by all they hold: equal rows have equal results
-    dirty = docs.filter(has).withColumn("_row", F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_col), 256))
-    found = dirty.select("_row", F.posexplode(F.regexp_extract_all(text_col, F.lit(PATTERN), F.lit(0))).alias("at", "raw"))
+    dirty = docs.filter(has).withColumn("__pii_row", F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_col), 256))
+    found = dirty.select("__pii_row", F.posexplode(F.regexp_extract_all(text_col, F.lit(PATTERN), F.lit(0))).alias("at", "raw"))
     found = found.distinct().withColumn("kind", kind_of(F.col("raw"))).withColumn("norm", normal(F.col("kind"), F.col("raw")))
     found = cut_lineage(found)
     chosen = assign(cut_lineage(found.filter("kind IS NOT NULL").select("kind", "norm").distinct()), key)
     found = found.join(chosen, ["kind", "norm"], "left")
     found = found.withColumn("new", F.when(F.col("chosen").isNotNull(), written(F.col("kind"), F.col("raw"), F.col("chosen"))))
-    new = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "raw", "new"))).alias("_new"))
-    dirty = dirty.join(new, "_row").drop("_row")
+    new = found.groupBy("__pii_row").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "raw", "new"))).alias("__pii_new"))
+    dirty = dirty.join(new, "__pii_row").drop("__pii_row")
     between = F.split(text_col, PATTERN, -1)
-    put = F.transform("_new", lambda e: F.coalesce(e["new"], e["raw"]))
+    put = F.transform("__pii_new", lambda e: F.coalesce(e["new"], e["raw"]))
     text = F.array_join(F.zip_with(between, put, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    real = F.filter("_new", lambda e: e["new"].isNotNull())
+    real = F.filter("__pii_new", lambda e: e["new"].isNotNull())
     entities = F.transform(real, lambda e: F.struct(e["kind"].alias("kind"), e["new"].alias("surrogate")))
-    dirty = dirty.withColumns({"n_entities": F.size(real).cast("bigint"), "entities": entities}).withColumn(text_col, text).drop("_new")
+    dirty = dirty.withColumns({"n_entities": F.size(real).cast("bigint"), "entities": entities}).withColumn(text_col, text).drop("__pii_new")
     return clean.unionByName(dirty)
 
 

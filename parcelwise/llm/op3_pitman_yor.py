@@ -223,18 +223,32 @@ def _read_texts(payload: bytes) -> Block:
 def seat(customers: np.ndarray, room: np.ndarray, parent: np.ndarray, scale: np.ndarray, discount: float, strength: float, rng) -> np.ndarray:
     """Mean tables of each dish over the samples.
 
-    A dish has `customers` in restaurant `room`, and probability `parent` above it. `scale` is how many times a room is larger
+    The first seating lets customers come in doubling waves; from it, sweeps move customers one by one. A dish has `customers` in restaurant `room`, and probability `parent` above it. `scale` is how many times a room is larger
     than what is seen of it here.
     """
+    def come(dishes: np.ndarray) -> np.ndarray:
+        """Tables after the dishes' customers came in doubling waves, each with the chance of a new table as of its begin."""
+        n, k, all_ = np.ones(len(dishes)), np.ones(len(dishes)), customers[dishes]
+        while len(dishes) and (n < all_).any():
+            wave = np.minimum(n, all_ - n)
+            k = k + rng.binomial(wave.astype("i8"), fresh[dishes] / (n - discount * k + fresh[dishes]))
+            n = n + wave
+        return k
+
     tables = (customers > 0).astype("f8")
+    fresh = (strength + discount * np.bincount(room, tables, minlength=len(scale))[room] * scale[room]) * parent
     many = np.flatnonzero((customers > 1) & (customers <= LARGE))
     large = np.flatnonzero(customers > LARGE)
     c = customers[many].astype("i8")
     first = np.cumsum(c) - c
     table_of = np.repeat(first, c)  # every customer's table, as the place of one of its seats
     size = np.zeros(int(c.sum()), "i8")
-    size[first] = c
-    t = np.ones(len(many))
+    t = come(many)
+    size[first] = c - t + 1
+    own = np.arange(int(c.sum())) - np.repeat(first, c)  # the others begin with a customer each
+    single = (own > 0) & (own < np.repeat(t, c))
+    table_of[single] = np.flatnonzero(single)
+    size[single] = 1
     total = np.zeros(len(customers))
     for sweep in range(BURN_IN + SAMPLES):
         in_room = np.bincount(room, tables, minlength=len(scale)) * scale
@@ -259,13 +273,7 @@ def seat(customers: np.ndarray, room: np.ndarray, parent: np.ndarray, scale: np.
                 size[free] = 1
             t += new
         tables[many] = t
-        # the crowd comes in doubling waves, each with the chance of a new table as of its begin
-        n, k = np.ones(len(large)), np.ones(len(large))
-        while len(large) and (n < customers[large]).any():
-            wave = np.minimum(n, customers[large] - n)
-            k = k + rng.binomial(wave.astype("i8"), fresh[large] / (n - discount * k + fresh[large]))
-            n = n + wave
-        tables[large] = k
+        tables[large] = come(large)
         if sweep >= BURN_IN:
             total += tables
     return total / SAMPLES

@@ -127,21 +127,21 @@ def _upto(units: DataFrame, state: DataFrame) -> DataFrame:
 
     The order goes by bucket: sums of buckets first, then the units of the one bucket in which the words run out.
     """
-    open_ = units.join(F.broadcast(state), F.col("_members").eqNullSafe(F.col("_m"))).filter("_tie > after AND _size <= gap")
-    bucket = F.shiftright("_tie", 64 - BUCKET_BITS)
+    open_ = units.join(F.broadcast(state), F.col("__mix_members").eqNullSafe(F.col("__mix_m"))).filter("__mix_tie > after AND _size <= gap")
+    bucket = F.shiftright("__mix_tie", 64 - BUCKET_BITS)
     open_ = open_.withColumn("_bucket", bucket)
-    sums = open_.groupBy("_m", "_bucket", "gap").agg(F.sum("_size").alias("_sum"), F.max("_tie").alias("_max"))
-    along = Window.partitionBy("_m").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = open_.groupBy("__mix_m", "_bucket", "gap").agg(F.sum("_size").alias("_sum"), F.max("__mix_tie").alias("_max"))
+    along = Window.partitionBy("__mix_m").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("_through", F.sum("_sum").over(along))
-    whole_ = sums.filter("_through <= gap").groupBy("_m").agg(F.max("_max").alias("cut"), F.max("_through").alias("sum"))
-    torn = (sums.filter("_through > gap").groupBy("_m")
+    whole_ = sums.filter("_through <= gap").groupBy("__mix_m").agg(F.max("_max").alias("cut"), F.max("_through").alias("sum"))
+    torn = (sums.filter("_through > gap").groupBy("__mix_m")
             .agg(F.min(F.struct("_bucket", (F.col("_through") - F.col("_sum")).alias("_before"))).alias("_torn")))
-    torn = F.broadcast(torn.select(F.col("_m").alias("_t"), "_torn.*"))  # a row for each pattern at most
-    inside = open_.join(torn, F.col("_m").eqNullSafe(F.col("_t")) & (open_["_bucket"] == torn["_bucket"]))
-    step = Window.partitionBy("_m").orderBy("_tie").rowsBetween(Window.unboundedPreceding, 0)
+    torn = F.broadcast(torn.select(F.col("__mix_m").alias("_t"), "_torn.*"))  # a row for each pattern at most
+    inside = open_.join(torn, F.col("__mix_m").eqNullSafe(F.col("_t")) & (open_["_bucket"] == torn["_bucket"]))
+    step = Window.partitionBy("__mix_m").orderBy("__mix_tie").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("_through", F.col("_before") + F.sum("_size").over(step)).filter("_through <= gap")
-    some = inside.groupBy("_m").agg(F.max("_tie").alias("cut"), F.max("_through").alias("sum"))
-    return whole_.unionByName(some).groupBy("_m").agg(F.max("cut").alias("cut"), F.max("sum").alias("sum"))
+    some = inside.groupBy("__mix_m").agg(F.max("__mix_tie").alias("cut"), F.max("_through").alias("sum"))
+    return whole_.unionByName(some).groupBy("__mix_m").agg(F.max("cut").alias("cut"), F.max("sum").alias("sum"))
 
 
 def mix(df: DataFrame, members: Column, size: Column, identity: list[Column], *, weights: tuple = WEIGHTS, budget: Fraction = BUDGET,
@@ -155,15 +155,15 @@ def mix(df: DataFrame, members: Column, size: Column, identity: list[Column], *,
     """
     spark = df.sparkSession
     tie = F.xxhash64(F.lit(seed), *identity)
-    marks = {"_members": _members(members), "size": size.cast("bigint"), "_tie": tie}
+    marks = {"__mix_members": _members(members), "size": size.cast("bigint"), "__mix_tie": tie}
     units = df.select(*[c.alias(k) for k, c in marks.items()])
-    units = cut_lineage(units.groupBy("_members", "_tie").agg(F.sum("size").alias("_size")))
-    sums = units.groupBy("_members").agg(F.sum("_size").alias("w"))
+    units = cut_lineage(units.groupBy("__mix_members", "__mix_tie").agg(F.sum("size").alias("_size")))
+    sums = units.groupBy("__mix_members").agg(F.sum("_size").alias("w"))
     found = sums.limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    found.sort(key=lambda r: [(s is None, s or "") for s in r["_members"]])
-    patterns = [(tuple(r["_members"]), int(r["w"])) for r in found]
+    found.sort(key=lambda r: [(s is None, s or "") for s in r["__mix_members"]])
+    patterns = [(tuple(r["__mix_members"]), int(r["w"])) for r in found]
     sizes: dict = {}
     for m, w in patterns:
         for s in m:
@@ -177,34 +177,34 @@ def mix(df: DataFrame, members: Column, size: Column, identity: list[Column], *,
         state = [(list(m), cuts[m][-1][1] if cuts[m] else lowest, g) for m, g in left.items() if g > 0]
         if not state:
             break
-        state = spark.createDataFrame(state, "_m array<string>, after long, gap long")
+        state = spark.createDataFrame(state, "__mix_m array<string>, after long, gap long")
         for r in _upto(units, state).collect():
-            m = tuple(r["_m"])
+            m = tuple(r["__mix_m"])
             cuts[m].append((cuts[m][-1][1] if cuts[m] else lowest, r["cut"], left[m]))
             left[m] -= r["sum"]
     state = [(list(m), cuts[m][-1][1] if cuts[m] else lowest, g) for m, g in left.items() if g > 0]
     if state:
-        state = F.broadcast(spark.createDataFrame(state, "_m array<string>, after long, gap long"))
-        near = units.join(state, F.col("_members").eqNullSafe(F.col("_m")))
+        state = F.broadcast(spark.createDataFrame(state, "__mix_m array<string>, after long, gap long"))
+        near = units.join(state, F.col("__mix_members").eqNullSafe(F.col("__mix_m")))
         # not taken: behind the last cut, or too large for every pass; both are behind the first cut or larger than the second gap
         first = spark.createDataFrame([(list(m), c[0][1] if c else lowest, c[1][2] if len(c) > 1 else (1 << 62)) for m, c in cuts.items()],
                                       "_f array<string>, _first long, _second long")
-        near = near.join(F.broadcast(first), F.col("_members").eqNullSafe(F.col("_f")))
-        near = near.filter((F.col("_tie") > F.col("after")) | ((F.col("_tie") > F.col("_first")) & (F.col("_size") > F.col("_second"))))
+        near = near.join(F.broadcast(first), F.col("__mix_members").eqNullSafe(F.col("_f")))
+        near = near.filter((F.col("__mix_tie") > F.col("after")) | ((F.col("__mix_tie") > F.col("_first")) & (F.col("_size") > F.col("_second"))))
         near = near.withColumn("_off", F.abs(F.col("_size") - F.col("gap"))).filter("_off < gap")
-        near = near.groupBy("_m").agg(F.min(F.struct("_off", "_tie")).alias("_best"))
-        best = {tuple(r["_m"]): r["_best"]["_tie"] for r in near.collect()}
+        near = near.groupBy("__mix_m").agg(F.min(F.struct("_off", "__mix_tie")).alias("__mix_best"))
+        best = {tuple(r["__mix_m"]): r["__mix_best"]["__mix_tie"] for r in near.collect()}
     facts = [(list(m), t // w if w else 0, cuts[m], best.get(m), sum(sizes[s] for s in m), float(sum(quota[s] for s in m)))
              for (m, w), t in zip(patterns, taken, strict=True)]
-    facts = spark.createDataFrame(facts, "_m array<string>, _passes long, _cuts array<struct<after: long, upto: long, most: long>>, "
-                                         "_best long, source_size long, target double")
+    facts = spark.createDataFrame(facts, "__mix_m array<string>, __mix_passes long, __mix_cuts array<struct<after: long, upto: long, most: long>>, "
+                                         "__mix_best long, source_size long, target double")
     rows = df.select(*[c for c in df.columns if c not in ("size", "source_size", "target", "copies")], *[c.alias(k) for k, c in marks.items()])
-    rows = rows.join(F.broadcast(facts), F.col("_members").eqNullSafe(F.col("_m")), "left")  # a row for each pattern
-    cut = F.exists("_cuts", lambda c: (F.col("_tie") > c["after"]) & (F.col("_tie") <= c["upto"]) & (F.col("size") <= c["most"]))
+    rows = rows.join(F.broadcast(facts), F.col("__mix_members").eqNullSafe(F.col("__mix_m")), "left")  # a row for each pattern
+    cut = F.exists("__mix_cuts", lambda c: (F.col("__mix_tie") > c["after"]) & (F.col("__mix_tie") <= c["upto"]) & (F.col("size") <= c["most"]))
     # a cut may start at the lowest number, which a hash can be
-    cut = cut | F.exists("_cuts", lambda c: (F.col("_tie") == lowest) & (c["after"] == lowest) & (F.col("size") <= c["most"]))
-    once = F.when(cut | F.coalesce(F.col("_best") == F.col("_tie"), F.lit(False)), 1).otherwise(0)
-    return rows.withColumn("copies", (F.col("_passes") + once).cast("bigint")).drop("_members", "_m", "_tie", "_passes", "_cuts", "_best")
+    cut = cut | F.exists("__mix_cuts", lambda c: (F.col("__mix_tie") == lowest) & (c["after"] == lowest) & (F.col("size") <= c["most"]))
+    once = F.when(cut | F.coalesce(F.col("__mix_best") == F.col("__mix_tie"), F.lit(False)), 1).otherwise(0)
+    return rows.withColumn("copies", (F.col("__mix_passes") + once).cast("bigint")).drop("__mix_members", "__mix_m", "__mix_tie", "__mix_passes", "__mix_cuts", "__mix_best")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
