@@ -219,9 +219,10 @@ def _days_before() -> Column:
 
 
 def evidence(disputes: DataFrame, ledger: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Criteria with the two newest qualifying transactions, newest first, and the number of further ones.
+    """Criteria with the two newest qualifying transactions, newest first, and for an eligible dispute the number of further ones.
 
-    A dispute with fewer than two shows what it has. `prior_transactions` lists every match as rows.
+    A dispute with fewer than two shows what it has. An ineligible one has no further ones to count; its matches, of which a busy
+    card has many, are `matched` in number and listed as rows by `prior_transactions`.
     """
     m = newest_matches(disputes, ledger, hot_rows=hot_rows)
     item = F.struct((-F.unix_micros("t_ts")).alias("newest_first"), F.col("t_transaction_id").alias("transaction_id"),
@@ -231,7 +232,8 @@ def evidence(disputes: DataFrame, ledger: DataFrame, hot_rows: int = HOT_KEY_ROW
     lists = m.groupBy("transaction_id").agg(F.sort_array(F.collect_list(item)).alias("_l")).select(
         "transaction_id", F.transform("_l", lambda x: x.dropFields("newest_first")).alias("prior_transactions"))
     c = criteria(disputes, ledger, hot_rows).join(lists, "transaction_id", "left")
-    return c.withColumn("additional_prior_transactions", F.greatest(F.lit(0), F.col("matched") - MIN_PRIOR_TXNS).cast("bigint"))
+    return c.withColumn("additional_prior_transactions", 
+                        F.when(F.col("eligible"), F.greatest(F.lit(0), F.col("matched") - MIN_PRIOR_TXNS)).otherwise(0).cast("bigint"))
 
 
 def packets(disputes: DataFrame, ledger: DataFrame) -> DataFrame:

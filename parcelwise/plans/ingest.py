@@ -233,7 +233,9 @@ add("a23_ledger_tally", lambda s, d: ledger.tally(*logged(s, d)),
     sql("SELECT count(*) AS decisions, count(*) FILTER (control) AS control_cohort, count(*) FILTER (shadow) AS shadow, "
         "count(*) FILTER (seq % 4 <> 0) AS outcomes FROM logged", "logged"))
 add("a23_served_mix", lambda s, d: ledger.served_mix(logged(s, d)[0]), sql("SELECT served AS served_action, count(*) AS n FROM logged GROUP BY 1", "logged"))
-add("a24_recent_sample", lambda s, d: ledger.recent_sample(lens.orders(s, d), 200).select("order_id", "phone", "cart_gmv"))
+add("a24_recent_sample", lambda s, d: ledger.recent_sample(lens.orders(s, d), 200).select("order_id", "phone", "cart_gmv"),
+    sql("""SELECT order_id, phone, cart_gmv FROM (SELECT * FROM lens WHERE payment_method = 'COD' ORDER BY ts DESC, seq DESC LIMIT 15000)
+ORDER BY sha256('0|' || order_id), order_id LIMIT 200""", "lens"))
 
 
 # ------------------------------------------------------------------ merchants: every supplier is one

@@ -259,8 +259,15 @@ add("j9_decisions_with_outcomes", lambda s, d: matched_outcomes(s, d).select("or
 
 # orders still open when the watermark passed their retention (the table spans thirty days, so its span is stretched to ninety),
 # and windows that are closed for good
-add("j11_expired_orders", lambda s, d: s.read.parquet(drained(s, "join", joined_stream(s, d, times=3), "append")).filter(F.col("rto").isNull()).select("order_id", "ts"))
-add("j12_expired_windows", lambda s, d: s.read.parquet(drained(s, "closed", J.drift_window_stream(scored_events(event_stream(s, d))), "append")).select("bucket", *MEASURES))
+add("j11_expired_orders", lambda s, d: s.read.parquet(drained(s, "join", joined_stream(s, d, times=3), "append")).filter(F.col("rto").isNull()).select(
+    "order_id", F.round(F.unix_micros("ts") / 1e6, 3).alias("ts_epoch")),
+    """SELECT 'e' || event_id AS order_id, round(epoch_us(t) / 1e6, 3) AS ts_epoch FROM (
+ SELECT *, TIMESTAMP '2024-01-01' + to_microseconds((epoch_us(ts) - 1704067200000000) * 3) AS t FROM events WHERE event_type <> 'error')
+WHERE (event_id % 4 = 0 OR event_id % 40 > 30) AND t + INTERVAL 30 DAY < (
+ SELECT least(max(t), max(t + to_days(CAST(event_id % 40 AS INTEGER))) FILTER (event_id % 4 <> 0)) - INTERVAL 1 DAY
+ FROM (SELECT event_id, TIMESTAMP '2024-01-01' + to_microseconds((epoch_us(ts) - 1704067200000000) * 3) AS t FROM events WHERE event_type <> 'error'))""")
+add("j12_expired_windows", lambda s, d: s.read.parquet(drained(s, "closed", J.drift_window_stream(scored_events(event_stream(s, d))), "append")).select("bucket", *MEASURES),
+    sql(f"SELECT bucket, {_counts} FROM ev GROUP BY 1 HAVING (bucket + 1) * 300 <= (SELECT epoch(max(ts)) FROM ev) - 70 * 60", "ev"))
 
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,6 +381,6 @@ add("k7_evidence", lambda s, d: K.evidence(disputes(s, d), ledger(s, d)).select(
     "transaction_id", "eligible", "additional_prior_transactions",
     F.coalesce(F.array_join(F.transform("prior_transactions", lambda x: F.concat(x["transaction_id"], F.lit("@"), x["date"], F.lit("/"), x["days_before_dispute"].cast("string"), F.lit("/"),
                F.array_join(x["matched_elements"], "+"))), ","), F.lit("")).alias("evidence")),
-    sql("""SELECT transaction_id, eligible, greatest(0, matched - 2) AS additional_prior_transactions, coalesce((SELECT string_agg(t_id || '@' || strftime(t_ts, '%Y-%m-%d') || '/' ||
+    sql("""SELECT transaction_id, eligible, CASE WHEN eligible THEN greatest(0, matched - 2) ELSE 0 END AS additional_prior_transactions, coalesce((SELECT string_agg(t_id || '@' || strftime(t_ts, '%Y-%m-%d') || '/' ||
  CAST(CAST(round(epoch(s.d_ts - t_ts) / 86400) AS INTEGER) AS VARCHAR) || '/' || array_to_string(el, '+'), ',' ORDER BY t_ts DESC, t_seq DESC) FROM shown s WHERE s.transaction_id = v.transaction_id), '') AS evidence FROM verdict v""", "verdict", "shown"))
 add("k8_packets", lambda s, d: K.packets(disputes(s, d), ledger(s, d)).select("transaction_id", "eligible", "packet_hash"))

@@ -40,4 +40,4 @@ def recent_sample(orders: DataFrame, n: int, *, tail: int = 15_000, cohort: str
     recent = orders.filter(F.col("payment_method") == "COD").orderBy(F.desc("ts"), F.desc("seq")).limit(tail)
     if cohort is not None:
         recent = recent.filter(F.col("cohort") == cohort)
-    return recent.orderBy(F.xxhash64(F.lit(seed), "order_id"), "order_id").limit(n)
+    return recent.orderBy(F.sha2(F.concat_ws("|", F.lit(seed).cast("string"), "order_id"), 256), "order_id").limit(n)
