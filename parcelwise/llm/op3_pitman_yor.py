@@ -22,7 +22,6 @@ ignored.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -96,25 +95,25 @@ class Block:
     def __init__(self, ids: list, texts: list[str], name: str):
         import xxhash
 
-        number: dict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
-        number[START], number[END]
-        tokens, ends = [], []
+        words, lengths = [], []
         for t in texts:
-            words = t.encode("utf-8", "surrogatepass").lower().split()
-            tokens.append(np.fromiter(map(number.__getitem__, words), "i4", len(words)))
-            tokens.append(np.array([1], "i4"))
-            ends.append(len(words) + 1)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), "u8", len(number))
+            found = t.encode("utf-8", "surrogatepass").lower().split()
+            words += found
+            words.append(END)
+            lengths.append(len(found) + 1)
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known.append(START)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), "u8", len(known))
         order = np.argsort(hashes)
         self.words = hashes[order]
         place = np.empty(len(order), "i8")
         place[order] = np.arange(len(order))
-        self.start, self.end = int(place[0]), int(place[1])
+        self.start, self.end = int(place[-1]), int(place[known.index(END)])
         self.ids, self.name = ids, name
-        self.lengths = np.array(ends, "i8")
+        self.lengths = np.array(lengths, "i8")
         self.held = np.array([is_held(i) for i in ids], bool)
-        self._tokens = place[np.concatenate(tokens)] if tokens else np.empty(0, "i8")
+        self._tokens = place[coded.indices.to_numpy()]
         self.finish()
 
     def finish(self) -> None:
@@ -164,6 +163,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield made()
 
 
+def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(partition, places that go to it, rising)."""
+    order = np.argsort(part, kind="stable")
+    begin = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
+    for at in np.split(order, begin[1:]):
+        if len(at):
+            yield int(part[at[0]]), at
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
 
@@ -175,11 +183,10 @@ def _pair_requests(n: int, hot: np.ndarray):
             _, part = b.parts(n, hot)
             share = np.rint(8 * np.log2((b.counts + 0.5) / (b.counts.sum() + 1))).clip(-255, 0)  # in eighths of a power of two
             rows = []
-            for p in np.unique(part):
-                at = np.flatnonzero(part == p)
+            for p, at in _dealt(part):
                 context, size = np.unique(b.context[at], return_counts=True)
                 w = b.word[at]
-                rows.append(("pairs", b.name, int(p), pack(rising(b.words[context]), size, b.words[w] >> np.uint64(24), b.pair_counts[at], -share[w])))
+                rows.append(("pairs", b.name, p, pack(rising(b.words[context]), size, b.words[w] >> np.uint64(24), b.pair_counts[at], -share[w])))
             if rows:
                 yield _rows(rows)
     return run
@@ -188,8 +195,7 @@ def _pair_requests(n: int, hot: np.ndarray):
 def _word_requests(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
-            part = part_of(b.words, n)
-            rows = [("words", b.name, int(p), pack(rising(b.words[a]), b.counts[a])) for p in np.unique(part) for a in [np.flatnonzero(part == p)]]
+            rows = [("words", b.name, p, pack(rising(b.words[at]), b.counts[at])) for p, at in _dealt(part_of(b.words, n))]
             if rows:
                 yield _rows(rows)
     return run
@@ -311,8 +317,7 @@ def _seat_contexts(n: int, hot: np.ndarray, seed: int):
         words, w = np.unique(word[at], return_inverse=True)
         tables = np.rint(16 * np.bincount(w, mean, len(words)))
         words, tables = words[tables > 0], tables[tables > 0]
-        to = part_of(words << np.uint64(24), n)
-        out += [("tables", "", int(p), pack(rising(words[to == p]), tables[to == p])) for p in np.unique(to)]
+        out += [("tables", "", p, pack(rising(words[to]), tables[to])) for p, to in _dealt(part_of(words << np.uint64(24), n))]
         yield _rows(out)
     return run
 
@@ -377,11 +382,12 @@ def _score(n: int, hot: np.ndarray, hot_tables: np.ndarray, sums: tuple):
         text = _read_texts(texts[0])
         own, pair_part = text.parts(n, hot)
         count, served = np.zeros(len(text.words)), np.zeros(len(text.words))
-        for p, (c, s) in answers["words"].items():
-            count[own == p], served[own == p] = c, s / 4096
+        for p, at in _dealt(own):
+            c, s = answers["words"][p]
+            count[at], served[at] = c, s / 4096
         customers, tables, room = np.zeros(len(text.word)), np.zeros(len(text.word)), np.zeros(len(text.word))
-        for p, (c, t, in_room) in answers["pairs"].items():
-            at = pair_part == p
+        for p, at in _dealt(pair_part):
+            c, t, in_room = answers["pairs"][p]
             customers[at], tables[at] = c, t / 16
             _, place = np.unique(text.context[at], return_inverse=True)
             room[at] = in_room[place] / 16
