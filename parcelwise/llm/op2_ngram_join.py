@@ -12,10 +12,11 @@ are alike enough, a short prefix of each, in an order that both share, holds com
 * the number of groups follows the size class of the smaller set, so a set is also indexed by the class of the smallest
   set that it may be linked to.
 
-Classes that share an index entry are candidates. They are verified in blocks of at most `BLOCK` sets: connected candidates
-form a group, a group's sets are dealt into blocks, and each pair of blocks is compared in one task, which emits only the
-links that connect something new. Where blocks would move more sets than the candidate pairs, pairs are verified instead. No
-candidate is dropped, whatever the size of a group.
+Classes that share an index entry are candidates if their sizes fit and their sketches, the smallest hashes of a set, do not rule
+a link out. They are verified in full, in blocks of at most `BLOCK` sets: connected candidates form a group, a group's sets are
+dealt into blocks, and each pair of blocks is compared in one task, which emits only the links that connect something new. Where
+blocks would move more sets than the candidate pairs, pairs are verified instead. An entry of many sets is dealt into blocks
+before its sketches are compared. No candidate is dropped, whatever the size of a group.
 
 Nulls: a null text is empty; documents without words have size 0 and are linked with nothing. A null doc_id takes part; its
 component is the smallest id it reaches, null if there is none. Repeated rows are one class. An empty table gives an empty
@@ -44,8 +45,12 @@ FREQUENT = 16
 MAX_FREQUENT = 2_000_000
 MAX_SHARED = 4_000_000
 BLOCK = 512
-#: Documents that go are sent to every task up to this number, 16 bytes each; beyond it they are joined by shuffle.
-MAX_LISTED = 2_000_000
+#: Hashes in a sketch, and how many of them linked sets have in common at least.
+SKETCH, MIN_COMMON = 32, 13
+#: Entries of up to so many sets are compared pair by pair; larger ones are dealt into blocks.
+SMALL_ENTRY = 64
+#: Rows of ids sent to every task; beyond this number they are joined by shuffle.
+MAX_LISTED = 500_000
 
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -134,6 +139,21 @@ def signatures(own: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) ->
     return np.unique(np.concatenate(out))
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """A set's smallest hashes, 32 bits of each; short sets are filled up with zeros, which they then have in common."""
+    low = (own[:SKETCH] >> np.uint64(32)).astype("<u4")
+    return np.r_[low, np.zeros(SKETCH - len(low), "<u4")]
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs of sketches, row by row, may belong to linked sets.
+
+    Of the smallest hashes of two sets of likeness 0.85, about 27 of 32 are common; fewer than `MIN_COMMON` are so improbable
+    (below 1e-10) that such pairs need not be verified. Linked sets of up to about 100 hashes cannot have so few.
+    """
+    return (a[:, :, None] == b[:, None, :]).any(2).sum(1) >= MIN_COMMON
+
+
 def _texts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).alias("text"))
     return rows.withColumn("text_hash", F.xxhash64("text"))
@@ -156,18 +176,24 @@ def _entries(rows: DataFrame, frequent, percent: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "sig long, id long")
 
 
+def _listed(df: DataFrame) -> DataFrame:
+    """Sent to every task if it has few rows."""
+    return F.broadcast(df) if df.count() <= MAX_LISTED else df
+
+
 def _held(df: DataFrame, column: str) -> np.ndarray:
     """A bounded column of hashes as a sorted array."""
     return np.sort(df.select(column).toArrow().column(column).to_numpy().view("u8"))
 
 
 def _classes(rows: DataFrame, frequent, shared, percent: int) -> DataFrame:
-    """(doc_id, text_hash, id, n, sigs, own) of every row; entries and set only where an entry is shared (or all, if `shared` is None)."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sigs", pa.list_(pa.int64())), ("own", pa.binary())])
+    """(doc_id, text_hash, id, n, sigs, sketch) of every row; only entries that are shared (or all, if `shared` is None)."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sigs", pa.list_(pa.int64())),
+                       ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, entries, sets = [], [], [], []
+            ids, sizes, entries, sketches = [], [], [], []
             for t in batch.column("text"):
                 own = shingles(t.as_py())
                 sigs = signatures(own, frequent.value, percent)
@@ -176,12 +202,22 @@ def _classes(rows: DataFrame, frequent, shared, percent: int) -> DataFrame:
                     sigs = sigs[shared.value[at] == sigs] if len(shared.value) else sigs[:0]
                 ids.append(class_id(own))
                 sizes.append(len(own))
-                entries.append(sigs.view("i8") if len(sigs) else None)
-                sets.append(own.tobytes() if len(sigs) else None)
+                entries.append(sigs.view("i8"))
+                sketches.append(sketch(own).tobytes() if len(sigs) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(ids, pa.int64()),
-                                              pa.array(sizes, pa.int64()), pa.array(entries, pa.list_(pa.int64())), pa.array(sets, pa.binary())], schema=kinds)
+                                              pa.array(sizes, pa.int64()), pa.array(entries, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=kinds)
+
+    return rows.mapInArrow(run, "doc_id long, text_hash long, id long, n long, sigs array<long>, sketch binary")
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, id long, n long, sigs array<long>, own binary")
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """(id, group, blocks, dense, own) of rows with their text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "group", "blocks", "dense")), own], names=["id", "group", "blocks", "dense", "own"])
+
+    return rows.select("id", "group", "blocks", "dense", "text").mapInArrow(run, "id long, group long, blocks long, dense boolean, own binary")
 
 
 class _Forest:
@@ -227,12 +263,63 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) ->
     return out
 
 
+def _candidates(entries: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of ids that share an entry and may be linked by size and sketch, from entries of up to SMALL_ENTRY ids."""
+    def compare(sig, ids, n, low) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        size = np.diff(np.r_[begin, len(sig)])
+        found = []
+        for m in np.unique(size[size > 1]):
+            x, y = np.triu_indices(m, 1)
+            first = begin[size == m]
+            for some in np.array_split(first, max(1, len(first) * len(x) // 20_000)):
+                i, j = (some[:, None] + x).ravel(), (some[:, None] + y).ravel()
+                fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                i, j = i[fit], j[fit]
+                same = alike(low[i], low[j])
+                found.append(np.stack([np.minimum(ids[i], ids[j])[same], np.maximum(ids[i], ids[j])[same]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), "i8")
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None  # the last entry of a batch may go on in the next
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(c).to_numpy() for c in ("sig", "id", "n")]
+            now.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, SKETCH))
+            now = now if kept is None else [np.concatenate([a, b]) for a, b in zip(kept, now, strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            kept = [a[cut:] for a in now]
+            yield compare(*[a[:cut] for a in now]) if cut else compare(*[a[:0] for a in now])
+        if kept is not None:
+            yield compare(*kept)
+
+    return entries.select("sig", "id", "n", "sketch").repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "a long, b long").distinct()
+
+
+def _chains(entries: DataFrame) -> DataFrame:
+    """(a, b) that connect the sets of large entries whose sketches are alike; blocks of an entry meet pair by pair."""
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    dealt = entries.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "sketch")
+
+    def connect(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = np.frombuffer(b"".join(pdf["sketch"]), "<u4").reshape(-1, SKETCH)
+        ids, forest, out = pdf["id"].to_numpy(), _Forest(len(pdf)), []
+        for x in range(len(pdf) - 1):
+            rest = np.arange(x + 1, len(pdf))
+            out += [(ids[x], ids[y]) for y in rest[alike(np.broadcast_to(low[x], (len(rest), SKETCH)), low[rest])] if forest.join(x, int(y))]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("sig", "i", "j").applyInPandas(connect, "a long, b long").distinct()
+
+
 def _in_blocks(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among members (id, own, group, blocks), each pair of blocks compared in one task."""
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "own",
-                         (F.col("block") > F.col("other")).alias("second"), "block")
+    dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "own", "block")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
@@ -243,15 +330,11 @@ def _in_blocks(members: DataFrame, percent: int) -> DataFrame:
         found = linked([np.frombuffer(o, "u8") for o in pdf["own"]], side, percent)
         return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, dtype="int64")
 
-    return dealt.drop("second").groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def _in_pairs(members: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+def _in_pairs(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among members (id, own), one candidate pair at a time."""
-    left = entries.select("sig", F.col("id").alias("a"), F.col("n").alias("na"))
-    right = entries.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, "sig").filter((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    pairs = pairs.select("a", "b").distinct()
     pairs = pairs.join(members.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(members.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,30 +362,42 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, per
     small = met.count() <= MAX_SHARED
     shared = spark.sparkContext.broadcast(_held(met, "sig")) if small else None
     classes = cut_lineage(_classes(rows, frequent, shared, percent))
-    kept = classes.filter("own IS NOT NULL").groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "sigs", "own")])
-    entries = kept.select("id", "n", F.explode("sigs").alias("sig"))
-    entries = cut_lineage(entries if small else entries.join(met, "sig"))
-    # connected candidates, by stars around the smallest id of each entry
-    by_entry = entries.groupBy("sig").agg(F.min("id").alias("low"), F.count("*").alias("m"))
-    nodes = entries.select(F.col("id").alias("node")).distinct()
-    stars = entries.join(by_entry, "sig").filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    group = cut_lineage(connected_components(nodes, stars)).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    kept = cut_lineage(classes.filter(F.size("sigs") > 0).groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "sigs", "sketch")]))
+    entries = kept.select("id", "n", "sketch", F.explode("sigs").alias("sig"))
+    if not small:
+        entries = entries.join(met, "sig")
+    large = cut_lineage(entries.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("blocks"), F.count("*").alias("m"))
+                        .filter(F.col("m") > SMALL_ENTRY).drop("m"))
+    pairs = cut_lineage(_candidates(entries.join(_listed(large.select("sig")), "sig", "left_anti"), percent))
+    chains = cut_lineage(_chains(entries.join(_listed(large), "sig")))
+    # connected candidates form a group
+    edges = pairs.unionByName(chains).distinct()
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    group = cut_lineage(connected_components(nodes, edges)).select(F.col("node").alias("id"), F.col("component").alias("group"))
     size = group.groupBy("group").agg(F.count("*").alias("size"))
-    pairs = (by_entry.join(group, by_entry["low"] == group["id"]).groupBy("group").agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1)).alias("moves")))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("bigint")
-    size = size.filter("size > 1").join(pairs, "group").withColumn("blocks", blocks)
-    size = cut_lineage(size.withColumn("dense", (F.col("blocks") == 1) | (F.col("blocks") * F.col("size") <= F.col("moves"))))
-    members = kept.select("id", "own").join(group, "id").join(size.select("group", "blocks", "dense"), "group")
-    links = _in_blocks(members.filter("dense").drop("dense"), percent)
-    if not size.filter("NOT dense").isEmpty():
-        sparse = members.filter("NOT dense")
-        links = links.unionByName(_in_pairs(sparse, entries.join(sparse.select("id"), "id"), percent))
-    links = cut_lineage(links.distinct())
+    home = group.withColumnRenamed("id", "a")
+    n_pairs = pairs.join(home, "a").groupBy("group").agg(F.count("*").alias("pairs"))
+    chained = chains.join(home, "a").select("group").distinct().withColumn("chained", F.lit(True))
+    size = size.join(n_pairs, "group", "left").join(chained, "group", "left").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("bigint"))
+    # chains do not name all pairs of a large entry, so their groups are compared in blocks
+    dense = (F.col("blocks") == 1) | F.coalesce("chained", F.lit(False)) | (F.col("blocks") * F.col("size") <= 2 * F.col("pairs"))
+    size = size.withColumn("dense", dense)
+    # the set of a class is read from its first document
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
+    lowest = cut_lineage(classes.groupBy("id").agg(first))
+    members = lowest.join(group.join(size, "group"), "id").select("id", "group", "blocks", "dense", F.xxhash64("first.doc_id", "first.text_hash").alias("row"))
+    members = cut_lineage(members)
+    sets = _sets(rows.withColumn("row", F.xxhash64("doc_id", "text_hash")).join(_listed(members), "row"))
+    links = _in_blocks(sets.filter("dense").drop("dense"), percent)
+    if not members.filter("NOT dense").isEmpty():
+        sparse = sets.filter("NOT dense").dropDuplicates(["id"])
+        links = links.unionByName(_in_pairs(sparse, pairs.join(members.filter("NOT dense").select(F.col("id").alias("a")), "a"), percent))
+    links = cut_lineage(links.filter("a <> b").distinct())  # repeated rows meet themselves
     ends = links.select(F.explode(F.array("a", "b")).alias("node"))
     n_links = ends.groupBy("node").agg(F.count("*").alias("n_links"))
     parts = connected_components(n_links.select("node"), links)
     # a row for each class: the first document of its component
-    lowest = classes.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("low"))
+    lowest = lowest.withColumnRenamed("first", "low")
     parts = parts.join(n_links, "node").select(F.col("node").alias("id"), "component", "n_links")
     reached = lowest.join(parts, "id").groupBy("component").agg(F.min("low").alias("reached"))
     lowest = lowest.join(parts.join(reached, "component"), "id", "left")
@@ -317,14 +412,13 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, per
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, percent: int = PERCENT) -> DataFrame:
     """docs without the documents of a component but its first. Of equal rows one stays; documents without words all stay."""
     found = cut_lineage(join(docs, text_col, id_col, percent=percent).select("doc_id", "text_hash", "n_shingles", "stays"))
-    key = ["_id", "_hash"]
+    key = ["__join_id", "__join_hash"]
 
     def listed(rows: DataFrame) -> DataFrame:
-        rows = rows.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))
-        return F.broadcast(rows) if rows.count() <= MAX_LISTED else rows
+        return _listed(cut_lineage(rows.select(F.col("doc_id").alias("__join_i"), F.col("text_hash").alias("__join_h"))))
 
-    rows = docs.withColumns({"_id": F.col(id_col).cast("bigint"), "_hash": F.xxhash64(whole(text_col))})
-    match = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
+    rows = docs.withColumns({"__join_id": F.col(id_col).cast("bigint"), "__join_hash": F.xxhash64(whole(text_col))})
+    match = F.col("__join_id").eqNullSafe(F.col("__join_i")) & (F.col("__join_hash") == F.col("__join_h"))
     rows = rows.join(listed(found.filter("NOT stays").select("doc_id", "text_hash").distinct()), match, "left_anti")
     again = found.filter("stays AND n_shingles > 0").groupBy("doc_id", "text_hash").count().filter("count > 1")
     if not again.isEmpty():

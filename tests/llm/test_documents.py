@@ -101,12 +101,14 @@ def test_crowds_by_blocks_and_by_pairs(spark, monkeypatch):
     texts = _crowd(70, 1, 90, 1) + _crowd(50, 2, 120, 2) + _crowd(30, 1, 30, 3)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = sorted(brute_components(list(enumerate(texts))))
-    monkeypatch.setattr(op2_ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(op2_ngram_join, "BLOCK", 32)
+    monkeypatch.setattr(op2_ngram_join, "SMALL_ENTRY", 24)
     assert sorted(tuple(r) for r in op2_ngram_join.join(df).select("doc_id", "n_shingles", "component_id").collect()) == want
     # too many shared entries to hold, and candidates compared in pairs
     monkeypatch.setattr(op2_ngram_join, "MAX_SHARED", 10)
     monkeypatch.setattr(op2_ngram_join, "MAX_LISTED", 1)
     monkeypatch.setattr(op2_ngram_join, "BLOCK", 1)
+    monkeypatch.setattr(op2_ngram_join, "SMALL_ENTRY", 1000)
     assert sorted(tuple(r) for r in op2_ngram_join.join(df).select("doc_id", "n_shingles", "component_id").collect()) == want
     kept = op2_ngram_join.one_of_each(df.unionByName(df.limit(5)))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in want})
@@ -121,6 +123,7 @@ def test_signatures_meet():
         miss = int(op2_ngram_join.can_miss(len(common)) / 2)
         a = np.unique(np.r_[common, r.integers(1, 1 << 62, int(r.integers(0, miss + 1)), dtype="u8")])
         b = np.unique(np.r_[common, r.integers(1, 1 << 62, int(r.integers(0, miss + 1)), dtype="u8")])
+        assert op2_ngram_join.alike(op2_ngram_join.sketch(a)[None], op2_ngram_join.sketch(b)[None])[0] or 100 * len(common) < 85 * (len(a) + len(b) - len(common))
         if 100 * len(common) < 85 * (len(a) + len(b) - len(common)) or len(a) == len(b) == len(common):
             continue
         frequent = np.sort(common[r.random(len(common)) < r.choice([0, 0.5, 0.9, 1])])
