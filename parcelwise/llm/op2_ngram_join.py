@@ -306,10 +306,13 @@ def _chains(entries: DataFrame) -> DataFrame:
 
     def connect(pdf: pd.DataFrame) -> pd.DataFrame:
         low = np.frombuffer(b"".join(pdf["sketch"]), "<u4").reshape(-1, SKETCH)
-        ids, forest, out = pdf["id"].to_numpy(), _Forest(len(pdf)), []
+        ids, part, out = pdf["id"].to_numpy(), np.arange(len(pdf)), []
         for x in range(len(pdf) - 1):
-            rest = np.arange(x + 1, len(pdf))
-            out += [(ids[x], ids[y]) for y in rest[alike(np.broadcast_to(low[x], (len(rest), SKETCH)), low[rest])] if forest.join(x, int(y))]
+            rest = x + 1 + np.flatnonzero(part[x + 1:] != part[x])  # only what is not connected yet
+            for y in rest[alike(np.broadcast_to(low[x], (len(rest), SKETCH)), low[rest])] if len(rest) else ():
+                if part[y] != part[x]:
+                    out.append((ids[x], ids[y]))
+                    part[part == part[y]] = part[x]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("sig", "i", "j").applyInPandas(connect, "a long, b long").distinct()
