@@ -1,14 +1,15 @@
 """Chat formatting over a prefix tree of conversations.
 
 A turn is written `<s>[INST]role[/INST]text</s>`; control strings inside roles and texts are broken by a backslash, and
-backslashes doubled, so that the output reads back exactly. Conversations that begin alike share the nodes of those turns. A
-node is known by the chain of hashes from its root; sorting nodes by that chain is a depth-first walk, and running sums along
-it give each node its place in the emitted stream. Shared turns are emitted once, with
+backslashes doubled, so that the output reads back exactly. A turn is known by the chain of hashes from its conversation's start,
+so conversations that begin alike share their first turns. Turns that follow each other without a fork, and without an end of a
+conversation in between, form one node of the tree. Sorting nodes by the chain of nodes from their root is a depth-first walk,
+and running sums along it give each node its place in the emitted stream. Shared turns are emitted once, with
 
 * `start`, `length`: the place in the stream; `position`: the position id of its first character, which counts along the
   node's own conversation, not along the stream;
 * `attention`: the stream intervals of its ancestors, root first, which the node's characters see besides their own past;
-* `loss_start`, `loss_end`: the stream interval of an assistant's text, both null for other roles.
+* `loss`: the stream intervals of its assistants' texts.
 
 `read_back` reassembles conversations from stream intervals alone. Positions count code points.
 
@@ -33,7 +34,7 @@ NAME = "op5_chat_tree"
 ORACLE_SQL = None  # tests read every conversation back and compare with the rows
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 LOSS_ROLE = "assistant"
-#: Hex digits of the chain by which a turn is sorted among those that follow the same turns.
+#: Hex digits of the chain by which a node is sorted among those that follow the same nodes.
 HOP = 20
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROLS))
 _TURN = re.compile(r"(?s)<s>\[INST\](.*?)\[/INST\](.*?)</s>")
@@ -65,8 +66,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def paths(conversations: DataFrame) -> DataFrame:
-    """A row for each turn of each conversation: conv, n_turns, depth, node, path (chain of hashes so far), role, formatted, position."""
+def steps_of(conversations: DataFrame) -> DataFrame:
+    """A row for each turn of each conversation: conv, n_turns, depth, node (chain of hashes so far), parent, role, formatted, position."""
     turns = (conversations.select(F.col("conv_id").alias("conv"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"),
                                                                            F.coalesce("text", F.lit("")).alias("text")).alias("t"))
              .groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns")))
@@ -76,78 +77,89 @@ def paths(conversations: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for conv, turns in zip(pdf["conv"], pdf["turns"], strict=True):
-                chain, path, position = b"", "", 0
+                chain, position = b"", 0
                 for depth, t in enumerate(turns):
-                    formatted = format_turn(t["role"], t["text"])
+                    formatted, parent = format_turn(t["role"], t["text"]), chain.hex()
                     chain = blake2b(chain + formatted.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    path += chain.hex()[:HOP]
-                    out.append((conv, len(turns), depth, chain.hex(), path, t["role"], formatted, position))
+                    out.append((conv, len(turns), depth, chain.hex(), parent, t["role"], formatted, position))
                     position += len(formatted)
-            yield pd.DataFrame(out, columns=["conv", "n_turns", "depth", "node", "path", "role", "formatted", "position"])
+            yield pd.DataFrame(out, columns=["conv", "n_turns", "depth", "node", "parent", "role", "formatted", "position"])
 
     found = turns.select(F.col("conv").cast("string"), "turns").mapInPandas(
-        walk, "conv string, n_turns long, depth int, node string, path string, role string, formatted string, position long")
+        walk, "conv string, n_turns long, depth int, node string, parent string, role string, formatted string, position long")
     return found.withColumn("conv", F.col("conv").cast(kind))
 
 
-def tree(steps: DataFrame) -> DataFrame:
-    """The emitted nodes, one row each, from `paths`."""
-    nodes = (steps.groupBy("path", "node").agg(F.min("depth").alias("depth"), F.min("role").alias("role"), F.min("formatted").alias("formatted"),
-                                               F.min("position").alias("position")))
-    nodes = nodes.withColumn("length", F.char_length("formatted").cast("bigint"))
-    placed = running_in_ranges(nodes, [], ["path", "node"], {"start": ("sum", F.col("length"))}).withColumn("start", F.col("start").cast("bigint"))
-    head = F.instr("formatted", "[/INST]") + 6
-    loss = F.col("role") == LOSS_ROLE
-    placed = placed.withColumns({"loss_start": F.when(loss, F.col("start") + head), "loss_end": F.when(loss, F.col("start") + F.col("length") - 4)})
-    # where a node's ancestors stand, by the chains they end; only ids and places meet
-    depths = F.sequence(F.lit(1), F.col("depth"))
-    above = placed.filter("depth > 0").select("path", F.explode(F.transform(depths, lambda d: F.substring("path", F.lit(1), HOP * d))).alias("up"))
-    spans = placed.select(F.col("path").alias("up"), F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("span"), "depth")
-    above = (above.join(spans, "up").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("depth", "span"))).alias("a"))
-             .select("path", F.col("a.span").alias("attention")))
+def paths(steps: DataFrame) -> DataFrame:
+    """(conv, nodes, turns): a conversation's tree nodes, root first, each known by its last turn; and (turn, node) of each turn."""
+    forks = steps.select("parent", "node").distinct().groupBy("parent").count().filter("count > 1").select(F.col("parent").alias("node"))
+    last = forks.unionByName(steps.filter("depth = n_turns - 1").select("node")).distinct().withColumn("last", F.lit(True))
+    marked = steps.select("conv", "depth", "node").join(last, "node", "left")
+    whole_ = marked.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("depth", "node", F.coalesce("last", F.lit(False)).alias("last")))).alias("all"))
+    whole_ = whole_.withColumn("ends", F.filter("all", lambda t: t["last"]))
+    turns = F.transform("all", lambda t: F.struct(t["node"].alias("turn"), F.element_at(F.filter("ends", lambda e: e["depth"] >= t["depth"]), 1)["node"].alias("node")))
+    return whole_.select("conv", F.col("ends.node").alias("nodes"), turns.alias("turns"))
+
+
+def tree(steps: DataFrame, along: DataFrame) -> DataFrame:
+    """The emitted nodes, one row each: node, path, start, length, position, attention, loss, formatted."""
+    turn = steps.groupBy(F.col("node").alias("turn")).agg(F.min(F.struct("depth", "role", "formatted", "position")).alias("t"))
+    of = along.select(F.explode("turns").alias("x")).select("x.turn", "x.node").distinct()
+    texts = turn.join(of, "turn").groupBy("node").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    learnt = F.filter("t", lambda t: t["role"] == LOSS_ROLE)
+    learnt = F.transform(learnt, lambda t: F.struct((t["position"] + F.instr(t["formatted"], "[/INST]") + 6).alias("start"),
+                                                    (t["position"] + F.char_length(t["formatted"]) - 4).alias("end")))
+    texts = texts.select("node", F.array_join("t.formatted", "").alias("formatted"), F.element_at("t.position", 1).alias("position"), learnt.alias("_loss"))
+    texts = cut_lineage(texts.withColumn("length", F.char_length("formatted").cast("bigint")))
+    # a node's path: the hashes of the nodes to it, each cut to HOP digits
+    hops = F.transform("nodes", lambda n: F.left(n, F.lit(HOP)))
+    named = along.withColumn("_hops", hops).select(F.posexplode("nodes").alias("k", "node"), "_hops")
+    named = named.select("node", F.array_join(F.slice("_hops", F.lit(1), F.col("k") + 1), "").alias("path")).distinct()
+    placed = running_in_ranges(named.join(texts.select("node", "length"), "node"), [], ["path", "node"], {"start": ("sum", F.col("length"))})
+    placed = cut_lineage(placed.withColumn("start", F.col("start").cast("bigint")))
+    # where a node's ancestors stand; only paths and places meet
+    depth = F.length("path") / HOP
+    ups = F.transform(F.sequence(F.lit(1), (depth - 1).cast("int")), lambda d: F.substring("path", F.lit(1), HOP * d))
+    above = placed.filter(depth > 1).select("path", F.explode(ups).alias("up"))
+    spans = placed.select(F.col("path").alias("up"), F.length("path").alias("d"), F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("span"))
+    above = above.join(spans, "up").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("d", "span"))).alias("a")).select("path", F.col("a.span").alias("attention"))
     empty = F.array().cast("array<struct<start: bigint, end: bigint>>")
-    return placed.join(above, "path", "left").withColumn("attention", F.coalesce("attention", empty))
-
-
-def leaves(steps: DataFrame) -> DataFrame:
-    """(conv, path, node) of each conversation's last turn."""
-    return steps.filter("depth = n_turns - 1").select("conv", "path", "node")
+    placed = placed.join(above, "path", "left").withColumn("attention", F.coalesce("attention", empty))
+    out = placed.join(texts.drop("length"), "node")
+    moved = F.col("start") - F.col("position")
+    return out.withColumn("loss", F.transform("_loss", lambda x: F.struct((x["start"] + moved).alias("start"), (x["end"] + moved).alias("end")))).drop("_loss")
 
 
 def read_back(nodes: DataFrame, ends: DataFrame) -> DataFrame:
-    """(path, node, segments) for each end: its conversation, as array of struct(start, formatted, loss_from, loss_to), from stream intervals alone."""
-    stream = nodes.select("start", "formatted", F.coalesce(F.col("loss_start") - F.col("start"), F.lit(-1)).alias("loss_from"),
-                          F.coalesce(F.col("loss_end") - F.col("start"), F.lit(-1)).alias("loss_to"))
-    want = nodes.join(ends, ["path", "node"]).select("path", "node", F.explode(F.array_append(F.col("attention.start"), F.col("start"))).alias("start"))
-    return (want.join(stream, "start").groupBy("path", "node")
-            .agg(F.sort_array(F.collect_list(F.struct("start", "formatted", "loss_from", "loss_to"))).alias("segments")))
+    """(node, segments) for each end: its conversation, as array of struct(start, formatted, loss), from stream intervals alone."""
+    want = nodes.join(ends, "node").select("node", F.explode(F.array_append(F.col("attention.start"), F.col("start"))).alias("start"))
+    return want.join(nodes.select("start", "formatted", "loss"), "start").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("start", "formatted", "loss"))).alias("segments"))
 
 
 def digest(read: DataFrame) -> DataFrame:
-    """The contract's figures of each leaf, parsed from its segments."""
+    """The contract's figures of each end, parsed from its segments."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for path, node, segments in zip(pdf["path"], pdf["node"], pdf["segments"], strict=True):
+            for node, segments in zip(pdf["node"], pdf["segments"], strict=True):
                 turns = parse("".join(s["formatted"] for s in segments))
-                learnt = "".join(unescape(s["formatted"][s["loss_from"]:s["loss_to"]]) for s in segments if s["loss_from"] >= 0)
+                learnt = "".join(unescape(s["formatted"][x["start"] - s["start"]:x["end"] - s["start"]]) for s in segments for x in s["loss"])
                 whole = "".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")
-                out.append((path, node, len(turns), sha256(whole).hexdigest(), len(learnt), sha256(learnt.encode("utf-8", "surrogatepass")).hexdigest(),
+                out.append((node, len(turns), sha256(whole).hexdigest(), len(learnt), sha256(learnt.encode("utf-8", "surrogatepass")).hexdigest(),
                             sum(len(s["formatted"]) for s in segments)))
-            yield pd.DataFrame(out, columns=["path", "node", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield pd.DataFrame(out, columns=["node", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return read.mapInPandas(run, "path string, node string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return read.mapInPandas(run, "node string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"))
-    steps = cut_lineage(paths(rows))
-    nodes = cut_lineage(tree(steps))
-    ends = leaves(steps)
-    # equal conversations end in one leaf, which is read back once
-    read = read_back(nodes, ends.select("path", "node").distinct())
-    return ends.join(digest(read), ["path", "node"]).select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
-                                                            "formatted_chars")
+    steps = cut_lineage(steps_of(rows))
+    along = cut_lineage(paths(steps))
+    ends = along.select("conv", F.element_at("nodes", -1).alias("node"))
+    # equal conversations end in one node, which is read back once
+    read = digest(read_back(tree(steps, along), ends.select("node").distinct()))
+    return ends.join(read, "node").select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")

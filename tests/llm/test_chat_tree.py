@@ -26,42 +26,46 @@ def test_text_outside_turns_is_an_error():
         op.parse("x" + op.format_turn("user", "a"))
 
 
+def built(spark, rows):
+    steps = op.steps_of(spark.createDataFrame(rows, SCHEMA)).cache()
+    along = op.paths(steps).cache()
+    ends = along.select("conv", along["nodes"].getItem(0).alias("root"), "nodes")
+    return steps, op.tree(steps, along).cache(), {r["conv"]: r["nodes"][-1] for r in ends.collect()}
+
+
 def test_tree(spark):
-    steps = op.paths(spark.createDataFrame(ROWS, SCHEMA)).cache()
-    nodes = op.tree(steps).cache()
+    # a long conversation, and others that fork from it early, late, and end inside
+    long = [(10, i, "user" if i % 2 == 0 else "assistant", f"turn {i}", "x") for i in range(300)]
+    rows = ROWS + long + [(11, *r[1:]) for r in long[:200]] + [(12, *r[1:]) for r in long[:250]] + [(12, 250, "user", "fork", "x")]
+    _, nodes, ends = built(spark, rows)
     emitted = sorted(nodes.collect(), key=lambda r: r["start"])
-    assert len(emitted) == len({(r["node"]) for r in emitted})
-    # gapless, depth-first: a node's ancestors are the last ones emitted of each smaller depth
+    assert len(emitted) == len({r["node"] for r in emitted})
+    # gapless, depth-first: a node's ancestors are the open ones before it
     at, open_ = 0, []
     for r in emitted:
         assert r["start"] == at
         at += r["length"]
-        del open_[r["depth"]:]
+        del open_[len(r["attention"]):]
         assert [(a["start"], a["end"]) for a in r["attention"]] == open_
         assert r["position"] == sum(b - a for a, b in open_)
         open_.append((r["start"], r["start"] + r["length"]))
     stream = "".join(r["formatted"] for r in emitted)
-    for r in emitted:
-        if r["role"] == "assistant":
-            assert op.unescape(stream[r["loss_start"]:r["loss_end"]]) in ("yes\nno", "other", "ä" * 50_000)
-        else:
-            assert r["loss_start"] is None
-    # conversations 1 and 3 are equal, 2 shares their first turn
-    ends = {r["conv"]: r["node"] for r in op.leaves(steps).collect()}
+    learnt = [op.unescape(stream[x["start"]:x["end"]]) for r in emitted for x in r["loss"]]
+    assert sorted(learnt) == sorted(["yes\nno", "other", "ä" * 50_000] + [f"turn {i}" for i in range(1, 300, 2)])
+    # conversations 1 and 3 are equal, 2 shares their first turn; shared turns stand once
     assert ends[1] == ends[3] and ends[1] != ends[2]
-    assert sum(r["depth"] == 0 for r in emitted) == 4
+    assert sum(not r["attention"] for r in emitted) == 5 and stream.count("turn 7</s>") == 1
 
 
 def test_digests_equal_the_rows(spark):
-    steps = op.paths(spark.createDataFrame(ROWS, SCHEMA)).cache()
-    nodes, ends = op.tree(steps), op.leaves(steps)
-    read = {(r["path"]): r for r in op.digest(op.read_back(nodes, ends.select("path", "node").distinct())).collect()}
+    _, nodes, ends = built(spark, ROWS)
+    wanted = spark.createDataFrame([(n,) for n in set(ends.values())], "node string")
+    read = {r["node"]: r for r in op.digest(op.read_back(nodes, wanted)).collect()}
     by_conv = {}
     for conv, turn, role, text, _ in ROWS:
         by_conv.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
-    for r in ends.collect():
-        turns = sorted(by_conv[r["conv"]])
-        got = read[r["path"]]
+    for conv, node in ends.items():
+        turns, got = sorted(by_conv[conv]), read[node]
         learnt = "".join(t for *_, role, t in turns if role == "assistant")
         assert got["n_turns"] == len(turns)
         assert got["turns_sha256"] == sha256("".join(f"{role}\n{t}\n" for *_, role, t in turns).encode()).hexdigest()
@@ -70,5 +74,5 @@ def test_digests_equal_the_rows(spark):
 
 
 def test_empty(spark):
-    steps = op.paths(spark.createDataFrame([], SCHEMA))
-    assert op.tree(steps).count() == 0 and op.leaves(steps).count() == 0
+    _, nodes, ends = built(spark, [])
+    assert nodes.count() == 0 and ends == {}
