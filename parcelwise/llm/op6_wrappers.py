@@ -18,10 +18,11 @@ or repeated page_id are read each on their own. An empty table gives an empty ta
 """
 from __future__ import annotations
 
+import functools
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -143,8 +144,24 @@ def _token(node: Node) -> str:
     return "#" if node.tag is None else " ".join((node.tag, *node.words))
 
 
-def wrapper_of(node: Node, in_link: bool = False) -> list:
-    """A page as a wrapper: neighbours that are alike already folded into repetitions."""
+def _stacked(f: Callable) -> Callable:
+    """Calls of a generator function that yields its inner calls and gets their results: pages are nested deeper than Python's stack."""
+    @functools.wraps(f)
+    def run(*args, **named):
+        calls, result = [f(*args, **named)], None
+        while calls:
+            try:
+                calls.append(calls[-1].send(result))
+                result = None
+            except StopIteration as done:
+                calls.pop()
+                result = done.value
+        return result
+
+    return run
+
+
+def _wrapper_of(node: Node, in_link: bool = False) -> Generator:
     w = [_token(node), [], 0, 0, 0, 0, 1]
     if node.tag is None:
         n = len(node.text.strip())
@@ -153,23 +170,29 @@ def wrapper_of(node: Node, in_link: bool = False) -> list:
     link = in_link or node.tag == "a"
     for child in node.children:
         if child.tag is not None or child.text.strip():
-            w[CHILDREN].append(wrapper_of(child, link))
-    w[CHILDREN] = _fold(w[CHILDREN])
+            w[CHILDREN].append((yield _wrapper_of(child, link)))
+    w[CHILDREN] = yield from _fold(w[CHILDREN])
     return w
 
 
-def _fold(children: list) -> list:
+@_stacked
+def wrapper_of(node: Node, in_link: bool = False) -> Generator:
+    """A page as a wrapper: neighbours that are alike already folded into repetitions."""
+    return (yield _wrapper_of(node, in_link))
+
+
+def _fold(children: list) -> Generator:
     """Runs of equal tokens become one repetition; so do runs of equal pairs, as of terms and definitions."""
     out: list = []
     for c in children:
         if out and out[-1][TOKEN] == c[TOKEN]:
-            out[-1] = merge(out[-1], c, same_page=True)
+            out[-1] = yield _merge(out[-1], c, same_page=True)
             out[-1][REPEATED] = 1
         elif len(out) >= 3 and c[TOKEN] == out[-2][TOKEN] and out[-1][TOKEN] == out[-3][TOKEN]:
             # x y x y: fold the second pair into the first
             y, x = out.pop(), out.pop()
-            out[-2] = merge(out[-2], x, same_page=True)
-            out[-1] = merge(out[-1], y, same_page=True)
+            out[-2] = yield _merge(out[-2], x, same_page=True)
+            out[-1] = yield _merge(out[-1], y, same_page=True)
             out[-2][REPEATED] = out[-1][REPEATED] = 1
             out.append(c)
         else:
@@ -177,13 +200,13 @@ def _fold(children: list) -> list:
     return out
 
 
-def merge(a: list, b: list, same_page: bool = False) -> list:
-    """The wrapper that both match: streams aligned by their longest common subsequence, what one lacks optional."""
+def _merge(a: list, b: list, same_page: bool = False) -> Generator:
     out = [a[TOKEN], [], a[OPTIONAL] | b[OPTIONAL], a[REPEATED] | b[REPEATED], a[TEXT] + b[TEXT], a[LINKS] + b[LINKS],
            max(a[PAGES], b[PAGES]) if same_page else a[PAGES] + b[PAGES]]
     x, y = a[CHILDREN], b[CHILDREN]
     if [c[TOKEN] for c in x] == [c[TOKEN] for c in y]:
-        out[CHILDREN] = [merge(c, d, same_page) for c, d in zip(x, y, strict=True)]
+        for c, d in zip(x, y, strict=True):
+            out[CHILDREN].append((yield _merge(c, d, same_page)))
         return out
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
@@ -193,7 +216,7 @@ def merge(a: list, b: list, same_page: bool = False) -> list:
     made = []
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i][TOKEN] == y[j][TOKEN]:
-            made.append(merge(x[i], y[j], same_page))
+            made.append((yield _merge(x[i], y[j], same_page)))
             i, j = i + 1, j + 1
         else:
             if j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
@@ -201,17 +224,52 @@ def merge(a: list, b: list, same_page: bool = False) -> list:
             else:
                 one, j = y[j], j + 1
             made.append([*one[:OPTIONAL], 1, *one[REPEATED:]])
-    out[CHILDREN] = _fold(made)
+    out[CHILDREN] = yield from _fold(made)
     return out
 
 
-def regex(w: list) -> str:
-    """The wrapper as an expression over tokens."""
-    inner = " ".join(regex(c) for c in w[CHILDREN])
+@_stacked
+def merge(a: list, b: list, same_page: bool = False) -> Generator:
+    """The wrapper that both match: streams aligned by their longest common subsequence, what one lacks optional."""
+    return (yield _merge(a, b, same_page))
+
+
+def _regex(w: list) -> Generator:
+    parts = []
+    for c in w[CHILDREN]:
+        parts.append((yield _regex(c)))
+    inner = " ".join(parts)
     body = "#" if w[TOKEN] == "#" else f"<{w[TOKEN]}>{inner and ' ' + inner + ' '}</>"
     return f"({body}){'+' if w[REPEATED] else ''}{'?' if w[OPTIONAL] else ''}" if w[REPEATED] or w[OPTIONAL] else body
 
 
+@_stacked
+def regex(w: list) -> Generator:
+    """The wrapper as an expression over tokens."""
+    return (yield _regex(w))
+
+
+def dumped(w: list) -> str:
+    """The wrapper as flat JSON: its nodes in page order, the number of children in place of them."""
+    out, todo = [], [w]
+    while todo:
+        one = todo.pop()
+        out.append([one[TOKEN], len(one[CHILDREN]), *one[OPTIONAL:]])
+        todo += reversed(one[CHILDREN])
+    return json.dumps(out)
+
+
+def loaded(text: str) -> list:
+    """The wrapper of `dumped`."""
+    done: list = []
+    for one in reversed(json.loads(text)):  # a node's children are the last ones done
+        n = one[CHILDREN]
+        one[CHILDREN] = done[:-n - 1:-1] if n else []
+        del done[len(done) - n:]
+        done.append(one)
+    return done[0]
+
+
 def _dropped(token: str, inside: bool) -> bool:
     tag, *words = token.split(" ")
     if tag in DROP_TAGS or tag == "header" and not inside:
@@ -223,51 +281,63 @@ def _dropped(token: str, inside: bool) -> bool:
     return any(w in DROP_WORDS and not (inside and w == INNER_HEADER) for w in words)
 
 
-def _totals(w: list) -> tuple[int, int]:
-    """Characters outside and inside of links, below this element."""
-    text, links = w[TEXT], w[LINKS]
-    for c in w[CHILDREN]:
-        if not _dropped(c[TOKEN], False):
-            t, k = _totals(c)
-            text, links = text + t, links + k
-    return text, links
+def _totals(w: list) -> dict[int, tuple[int, int]]:
+    """Characters outside and inside of links, at and below every element that is not dropped, by the element's id()."""
+    order = [w]
+    for node in order:  # grows
+        order += [c for c in node[CHILDREN] if not _dropped(c[TOKEN], False)]
+    found: dict[int, tuple[int, int]] = {}
+    for node in reversed(order):
+        below = [found[id(c)] for c in node[CHILDREN] if id(c) in found]
+        found[id(node)] = node[TEXT] + sum(t for t, _ in below), node[LINKS] + sum(k for _, k in below)
+    return found
 
 
 def content_path(w: list) -> list[str]:
     """Tokens from the root to the host's content element."""
-    found: list[tuple[int, list[str]]] = []
-
-    def named(node: list, path: list[str], tag: str) -> None:
-        if node[TOKEN].split(" ")[0] == tag:
-            found.append((_totals(node)[0], path))
-            return
-        for c in node[CHILDREN]:
-            if c[TOKEN] != "#" and not _dropped(c[TOKEN], False):
-                named(c, [*path, c[TOKEN]], tag)
+    totals = _totals(w)
+
+    def named(tag: str) -> list[tuple[int, tuple]]:
+        found, todo = [], [(w, ())]
+        while todo:
+            node, path = todo.pop()  # a path is (path to the parent, token)
+            if node[TOKEN].split(" ")[0] == tag:
+                found.append((totals[id(node)][0], path))
+            else:
+                todo += [(c, (path, c[TOKEN])) for c in reversed(node[CHILDREN]) if c[TOKEN] != "#" and id(c) in totals]
+        return found
 
     for tag in CONTENT:
-        named(w, [], tag)
-        if found:
-            return max(found, key=lambda f: f[0])[1]
-    path: list[str] = []
+        if found := named(tag):
+            path, up = [], max(found, key=lambda f: f[0])[1]
+            while up:
+                up, token = up
+                path.append(token)
+            return path[::-1]
+    path = []
     while True:  # down, as long as one child holds nearly all text
-        total = _totals(w)[0]
-        below = [(_totals(c)[0] - 2 * _totals(c)[1], c) for c in w[CHILDREN] if c[TOKEN] != "#" and c[TOKEN].split(" ")[0] in BLOCK and not _dropped(c[TOKEN], False)]
+        total = totals[id(w)][0]
+        below = [(totals[id(c)][0] - 2 * totals[id(c)][1], c) for c in w[CHILDREN] if c[TOKEN] != "#" and c[TOKEN].split(" ")[0] in BLOCK and id(c) in totals]
         score, c = max(below, key=lambda b: b[0], default=(0, None))
         if c is None or c[REPEATED] or score < 0.6 * total or c[TOKEN].split(" ")[0] in ("p", "pre", "blockquote", "ul", "ol", "table"):
             return path
-        path, w = [*path, c[TOKEN]], c
+        path.append(c[TOKEN])
+        w = c
 
 
 def _emit(node: Node, out: list[str]) -> None:
-    for c in node.children:
-        if c.tag is None:
+    todo: list[Node | str] = node.children[::-1]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag is None:
             out.append(c.text)
         elif not _dropped(_token(c), True):
-            block = c.tag in BLOCK
-            out.append(" " if block else "")
-            _emit(c, out)
-            out.append(" " if block else "")
+            edge = " " if c.tag in BLOCK else ""
+            out.append(edge)
+            todo.append(edge)
+            todo += reversed(c.children)
 
 
 def extract(page: Node, path: list[str]) -> str:
@@ -292,7 +362,7 @@ def host(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON, path to the content element) for each host of pages(host, html)."""
+    """(host, wrapper as flat JSON, path to the content element) for each host of pages(host, html)."""
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,15 +371,15 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 w = wrapper_of(parse(t.as_py() or ""))
                 h = h.as_py()
                 found[h] = merge(found[h], w) if h in found else w
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())], names=["host", "wrapper"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([dumped(w) for w in found.values()], pa.string())], names=["host", "wrapper"])
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, w = None, None
         for batch in batches:
             for h, one in zip(batch.column("host"), batch.column("wrapper"), strict=True):
-                key, one = h.as_py(), json.loads(one.as_py())
+                key, one = h.as_py(), loaded(one.as_py())
                 w = one if w is None else merge(w, one)
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([json.dumps(w)], pa.string()), pa.array([content_path(w)], pa.list_(pa.string()))],
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([dumped(w)], pa.string()), pa.array([content_path(w)], pa.list_(pa.string()))],
                                          names=["host", "wrapper", "path"])
 
     own = pages.select("host", "html").mapInArrow(infer, "host string, wrapper string")

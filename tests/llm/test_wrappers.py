@@ -56,3 +56,15 @@ def test_rows(spark):
     assert all(got[i] == want(i) for i in range(12))
     assert got[None] == "alone" and got[20] == got[21] == "" and got[22] == want(5, "long " * 40_000)
     assert op.main_text(df.limit(0)).collect() == []
+
+
+def test_deep_pages(spark):
+    """Pages nested deeper than Python's own stack, by hosts of their own and among others."""
+    deep = {1: "<font>" * 3000 + "inline", 2: "<article>" + "<div>" * 3000 + "text <b>below", 3: "<article>" + "<div><p>a</p>" * 3000}
+    rows = [(i, f"http://{h}.example/", html) for i, html in deep.items() for h in ("same", f"h{i}")] + [(9, "http://same.example/", page(9))]
+    got = {(r["page_id"], r["url"]): r["text"] for r in op.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+    assert len(got) == 7 and got[1, "http://h1.example/"] == "inline" and got[9, "http://same.example/"] == want(9)
+    assert got[2, "http://h2.example/"] == got[2, "http://same.example/"] == "text below"
+    assert got[3, "http://h3.example/"] == " ".join("a" * 3000)
+    w, _ = path_of([page(0), page(1, "<p>third"), deep[3]])
+    assert op.dumped(op.loaded(op.dumped(w))) == op.dumped(w) and op.regex(op.loaded(op.dumped(w))) == op.regex(w)
