@@ -14,9 +14,10 @@ are alike enough, a short prefix of each, in an order that both share, holds com
 
 Classes that share an index entry are candidates if their sizes fit and their sketches, the smallest hashes of a set, do not rule
 a link out. They are verified in full, in blocks of at most `BLOCK` sets: connected candidates form a group, a group's sets are
-dealt into blocks, and each pair of blocks is compared in one task, which emits only the links that connect something new. Where
-blocks would move more sets than the candidate pairs, pairs are verified instead. An entry of many sets is dealt into blocks
-before its sketches are compared. No candidate is dropped, whatever the size of a group.
+dealt into blocks, and each pair of blocks is compared in one task, which counts the links of each set and emits only those that
+connect something new. Where blocks would move more sets than the candidate pairs, pairs are verified instead. An entry of many
+sets is dealt into blocks before its sketches are compared. No candidate is dropped for the size of a group; a linked pair is
+lost to its sketches with a probability below `MISSED`.
 
 Nulls: a null text is empty; documents without words have size 0 and are linked with nothing. A null doc_id takes part; its
 component is the smallest id it reaches, null if there is none. Repeated rows are one class. An empty table gives an empty
@@ -25,7 +26,9 @@ table. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -45,8 +48,8 @@ FREQUENT = 16
 MAX_FREQUENT = 2_000_000
 MAX_SHARED = 4_000_000
 BLOCK = 512
-#: Hashes in a sketch, and how many of them linked sets have in common at least.
-SKETCH, MIN_COMMON = 32, 13
+#: Hashes in a sketch, and the probability that a linked pair has too few of them in common.
+SKETCH, MISSED = 32, 1e-12
 #: Entries of up to so many sets are compared pair by pair; larger ones are dealt into blocks.
 SMALL_ENTRY = 64
 #: Rows of ids sent to every task; beyond this number they are joined by shuffle.
@@ -113,7 +116,7 @@ def _groups(n: int) -> int:
 def signatures(own: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The index entries of a set: rare shingles of its prefix, and hashed pairs of frequent ones."""
     n = len(own)
-    if 100 * (n - 1) < percent * n:  # no other set can be linked
+    if 100 * n < percent * (n + 1):  # no other set can be linked, not even one of one more
         return np.empty(0, "u8")
     need = can_miss(n, percent) + 1
     at = np.searchsorted(frequent, own)
@@ -145,13 +148,25 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return np.r_[low, np.zeros(SKETCH - len(low), "<u4")]
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether pairs of sketches, row by row, may belong to linked sets.
+@cache
+def least_common(percent: int = PERCENT) -> int:
+    """How many hashes the sketches of linked sets have in common, but for a probability below `MISSED`.
 
-    Of the smallest hashes of two sets of likeness 0.85, about 27 of 32 are common; fewer than `MIN_COMMON` are so improbable
-    (below 1e-10) that such pairs need not be verified. Linked sets of up to about 100 hashes cannot have so few.
+    Those of the smallest hashes of the union that both sets have are in both sketches. Of `SKETCH` hashes each is such a one with
+    the sets' likeness, so their number is at least binomial: at 85 percent, fewer than 10 of 32 have 8e-13, fewer than 13 have 1e-9.
+    Linked sets of up to about 100 hashes cannot have so few.
     """
-    return (a[:, :, None] == b[:, None, :]).any(2).sum(1) >= MIN_COMMON
+    p, below = percent / 100, 0.0
+    for m in range(SKETCH + 1):
+        below += comb(SKETCH, m) * p**m * (1 - p)**(SKETCH - m)
+        if below >= MISSED:
+            return m
+    return SKETCH
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether pairs of sketches, row by row, may belong to linked sets."""
+    return (a[:, :, None] == b[:, None, :]).any(2).sum(1) >= least_common(percent)
 
 
 def _texts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -236,8 +251,9 @@ class _Forest:
         return i != j
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect all linked sets, as index pairs. If both sides (0 and 1) occur, only sets of different sides are compared."""
+def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect all linked sets, as index pairs, and the number of each set's links, connecting or not. If both sides
+    (0 and 1) occur, only sets of different sides are compared."""
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
@@ -246,6 +262,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) ->
     start = np.searchsorted(token[order], np.arange(token.max() + 2))
     begin = np.r_[0, np.cumsum(sizes)]
     forest, out, both = _Forest(len(sets)), [], side.any() and not side.all()
+    links = np.zeros(len(sets), "i8")
     for x in range(len(sets)):
         own = token[begin[x]:begin[x + 1]]
         a, n = start[own], start[own + 1] - start[own]
@@ -259,8 +276,10 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) ->
         fits[:x + 1] = False
         if both:
             fits &= side != side[x]
+        links[x] += fits.sum()
+        links += fits
         out += [(x, int(y)) for y in np.flatnonzero(fits) if forest.join(x, int(y))]
-    return out
+    return out, links
 
 
 def _candidates(entries: DataFrame, percent: int) -> DataFrame:
@@ -276,7 +295,7 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
                 i, j = (some[:, None] + x).ravel(), (some[:, None] + y).ravel()
                 fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
                 i, j = i[fit], j[fit]
-                same = alike(low[i], low[j])
+                same = alike(low[i], low[j], percent)
                 found.append(np.stack([np.minimum(ids[i], ids[j])[same], np.maximum(ids[i], ids[j])[same]], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), "i8")
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -298,7 +317,7 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
     return entries.select("sig", "id", "n", "sketch").repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "a long, b long").distinct()
 
 
-def _chains(entries: DataFrame) -> DataFrame:
+def _chains(entries: DataFrame, percent: int) -> DataFrame:
     """(a, b) that connect the sets of large entries whose sketches are alike; blocks of an entry meet pair by pair."""
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     dealt = entries.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
@@ -309,7 +328,7 @@ def _chains(entries: DataFrame) -> DataFrame:
         ids, part, out = pdf["id"].to_numpy(), np.arange(len(pdf)), []
         for x in range(len(pdf) - 1):
             rest = x + 1 + np.flatnonzero(part[x + 1:] != part[x])  # only what is not connected yet
-            for y in rest[alike(np.broadcast_to(low[x], (len(rest), SKETCH)), low[rest])] if len(rest) else ():
+            for y in rest[alike(np.broadcast_to(low[x], (len(rest), SKETCH)), low[rest], percent)] if len(rest) else ():
                 if part[y] != part[x]:
                     out.append((ids[x], ids[y]))
                     part[part == part[y]] = part[x]
@@ -319,7 +338,8 @@ def _chains(entries: DataFrame) -> DataFrame:
 
 
 def _in_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among members (id, own, group, blocks), each pair of blocks compared in one task."""
+    """Links (a, b) that connect the members (id, own, group, blocks), and rows (a, null, n) with numbers of links of a, to be
+    added up; each pair of blocks is compared in one task."""
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "own", "block")
@@ -328,12 +348,14 @@ def _in_blocks(members: DataFrame, percent: int) -> DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         side = (pdf["block"].to_numpy() == j) & (i != j)
         if i != j and (side.all() or not side.any()):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        ids = pdf["id"].to_numpy()
-        found = linked([np.frombuffer(o, "u8") for o in pdf["own"]], side, percent)
-        return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, dtype="int64")
+            return pd.DataFrame({"a": [], "b": [], "n": []}, dtype="Int64")
+        one = ~pdf["id"].duplicated().to_numpy()  # repeated rows are one set
+        ids, side = pdf["id"].to_numpy()[one], side[one]
+        found, n = linked([np.frombuffer(o, "u8") for o in pdf["own"][one]], side, percent)
+        pairs = pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found], "n": None}).astype("Int64")
+        return pd.concat([pairs, pd.DataFrame({"a": ids[n > 0], "b": None, "n": n[n > 0]}).astype("Int64")])
 
-    return dealt.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long, n long")
 
 
 def _in_pairs(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -353,8 +375,8 @@ def _in_pairs(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, class_id, n_links, stays) of each row.
 
-    Links are those of the class that connect its component. One document of each component stays: that of the smallest id,
-    ids before null, then of the smallest text hash.
+    n_links is the number of other classes that the document's class is linked with. One document of each component stays: that
+    of the smallest id, ids before null, then of the smallest text hash.
     """
     spark = docs.sparkSession
     rows = _texts(docs, text_col, id_col)
@@ -372,7 +394,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, per
     large = cut_lineage(entries.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("blocks"), F.count("*").alias("m"))
                         .filter(F.col("m") > SMALL_ENTRY).drop("m"))
     pairs = cut_lineage(_candidates(entries.join(_listed(large.select("sig")), "sig", "left_anti"), percent))
-    chains = cut_lineage(_chains(entries.join(_listed(large), "sig")))
+    chains = cut_lineage(_chains(entries.join(_listed(large), "sig"), percent))
     # connected candidates form a group
     edges = pairs.unionByName(chains).distinct()
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -394,10 +416,12 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, per
     links = _in_blocks(sets.filter("dense").drop("dense"), percent)
     if not members.filter("NOT dense").isEmpty():
         sparse = sets.filter("NOT dense").dropDuplicates(["id"])
-        links = links.unionByName(_in_pairs(sparse, pairs.join(members.filter("NOT dense").select(F.col("id").alias("a")), "a"), percent))
-    links = cut_lineage(links.filter("a <> b").distinct())  # repeated rows meet themselves
-    ends = links.select(F.explode(F.array("a", "b")).alias("node"))
-    n_links = ends.groupBy("node").agg(F.count("*").alias("n_links"))
+        found = cut_lineage(_in_pairs(sparse, pairs.join(members.filter("NOT dense").select(F.col("id").alias("a")), "a"), percent))
+        ends = found.select(F.explode(F.array("a", "b")).alias("a"))
+        links = links.unionByName(found.withColumn("n", F.lit(None).cast("long"))).unionByName(ends.withColumns({"b": F.lit(None).cast("long"), "n": F.lit(1).cast("long")}))
+    links = cut_lineage(links)
+    n_links = links.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    links = links.filter("b IS NOT NULL").select("a", "b").distinct()
     parts = connected_components(n_links.select("node"), links)
     # a row for each class: the first document of its component
     lowest = lowest.withColumnRenamed("first", "low")

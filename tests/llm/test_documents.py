@@ -114,6 +114,38 @@ def test_crowds_by_blocks_and_by_pairs(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in want})
 
 
+def brute_links(texts, words=4, percent=85):
+    """For each text, how many of the other distinct sets it is linked with."""
+    sets = []
+    for text in texts:
+        w = text.lower().split()
+        sets.append(frozenset(tuple(w[i:i + words]) for i in range(len(w) - words + 1)) or frozenset([tuple(w)] if w else []))
+    return [sum(100 * len(a & b) >= percent * len(a | b) for b in set(sets) - {a}) if a else 0 for a in sets]
+
+
+@pytest.mark.parametrize("block", [1, 32, 512])
+def test_all_links_are_counted(spark, monkeypatch, block):
+    texts = _crowd(70, 1, 200, 4) + _crowd(30, 2, 120, 2) + _crowd(12, 1, 30, 3)
+    nine = [f"n{i}" for i in range(10)]
+    texts += [" ".join(nine[:9]), " ".join(nine)]  # six shingles of seven
+    texts += texts[:3] + ["", ""]
+    df = spark.createDataFrame([*enumerate(texts), *enumerate(texts[:3])], "doc_id long, text string")  # and repeated rows
+    monkeypatch.setattr(op2_ngram_join, "BLOCK", block)
+    monkeypatch.setattr(op2_ngram_join, "SMALL_ENTRY", 24 if block == 32 else 1000)
+    want = brute_links(texts)
+    assert max(want) > 60 and want[112:114] == [1, 1]
+    found = op2_ngram_join.join(df).select("doc_id", "n_links", "class_id").collect()
+    assert len(found) == len(texts) + 3 and {(r["doc_id"], r["n_links"]) for r in found} == set(enumerate(want))
+    assert len({r["class_id"] for r in found}) == len(set(texts))
+
+
+def test_sketches_seldom_miss():
+    for percent in (80, 85, 95):
+        p, m = percent / 100, op2_ngram_join.least_common(percent)
+        assert sum(math.comb(32, k) * p**k * (1 - p)**(32 - k) for k in range(m)) < 1e-12
+    assert op2_ngram_join.least_common(80) < op2_ngram_join.least_common(85) == 10
+
+
 def test_signatures_meet():
     """Whatever is frequent, two linked sets share an entry."""
     r = np.random.default_rng(4)
