@@ -7,7 +7,8 @@ with a word has a fingerprint; texts without words share the empty one.
 
 Likeness is the Jaccard similarity of two sets. `near_duplicates` finds all pairs above a threshold: sets are partitioned by
 size, so that a set meets only those of its own and the next partition; inside, they are indexed by their globally rarest
-spots, as many as must hold a common one, and candidates are verified by size first and then in full.
+spots, as many as must hold a common one, and candidates are verified by size first and then in full. Equal sets form a class,
+which takes part once. An entry of many sets is dealt into blocks. The query does not call it, its columns are about neighbours.
 
 Everything is built-in functions. Equal texts have equal fingerprints.
 
@@ -17,15 +18,23 @@ table gives an empty table. Extra columns are ignored.
 """
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import successors, table, whole
 
 NAME = "op1_spotsigs"
 ORACLE_SQL = None
 #: One content word in so many, by its hash, is an anchor as well.
 SAMPLED = 8
+#: Likeness of near duplicates.
+PERCENT = 80
+#: Spots of more sets than this get their number by broadcast; entries of more sets than a block are dealt into blocks.
+HOT = 10_000
+BLOCK = 512
 #: Common words of the languages in the corpus, a parameter of every function here.
 ANCHORS = {
     "en": "the a an and of to in is are was be that it this for on as by with from at or not".split(),
@@ -92,6 +101,44 @@ def with_successor(docs: DataFrame) -> DataFrame:
     return own.select("i", "h", "doc_id", "text", "n", "sig").join(sent, ["i", "h"]).drop("i", "h")
 
 
+def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b), a < b: all pairs of `sets` (id, sig), distinct sets with distinct ids, of that likeness at least."""
+    spots = sets.select("id", F.size("sig").alias("n"), F.explode("sig").alias("spot"))
+    counts = cut_lineage(spots.groupBy("spot").agg(F.count("*").alias("c")).filter("c > 1"))  # a spot of one set joins nothing
+    hot = F.broadcast(counts.filter(F.col("c") > HOT))
+    known = spots.join(hot, "spot").unionByName(spots.join(hot, "spot", "left_anti").join(counts.filter(F.col("c") <= HOT), "spot"))
+    # the spots of one set alone come first in the order; of the rest the prefix has as many as are left
+    rare = known.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "spot"))).alias("order"))
+    need = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - (F.col("n") - F.size("order"))
+    rare = rare.withColumn("need", need.cast("int")).filter("need > 0")
+    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent)) + 1e-9) if percent < 100 else F.col("n")
+    rare = rare.select("id", "n", part.cast("long").alias("part"), F.explode(F.slice(F.col("order.spot"), F.lit(1), F.col("need"))).alias("spot"))
+    rare = cut_lineage(rare)
+    # a set is met in its own partition, and comes to the next one
+    large = rare.groupBy("part", "spot").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK)
+    large = cut_lineage(large.select("part", "spot", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks")))
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    met = rare.join(large, ["part", "spot"], "left").select("part", "spot", F.pmod(F.xxhash64("id"), blocks).alias("block"), F.col("id").alias("y"), F.col("n").alias("ny"))
+    comes = rare.withColumn("own", F.col("part")).withColumn("part", F.explode(F.array("part", F.col("part") + 1)))
+    comes = comes.join(large, ["part", "spot"], "left").select(
+        "part", "spot", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("id").alias("x"), F.col("n").alias("nx"), "own")
+    fits = (F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ((F.col("own") < F.col("part")) | (F.col("x") < F.col("y")))
+    pairs = comes.join(met, ["part", "spot", "block"]).filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return full.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_hash, class_id, n_links) of each row: documents of one fingerprint are a class; n_links is the number of other
+    classes of that likeness at least."""
+    rows = with_signatures(docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")), F.col("text"), "sig")
+    rows = cut_lineage(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64("sig").alias("class_id"), "sig"))
+    sets = cut_lineage(rows.groupBy(F.col("class_id").alias("id")).agg(F.first("sig").alias("sig")))
+    n_links = links(sets, percent).select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return rows.drop("sig").join(n_links, "class_id", "left").select("doc_id", "text_hash", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_successor(table(spark, sf_dir, "documents"))
     rows = with_signatures(rows.withColumn("edited", edited(F.col("text"), F.col("n"), F.col("following"))), F.col("edited"), "edited_sig")

@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from docs import prose
 from pyspark.sql import functions as F
 
 from parcelwise.llm import op1_spotsigs, op2_ngram_join, op3_pitman_yor, op4_secrets, op7_line_crf, op8_packing, op9_mixing
@@ -54,6 +55,27 @@ def test_spots_skip_common_words(spark):
     assert spot in out[0]["sa"] and spot not in out[0]["sb"]
 
 
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_near_duplicates(spark, docs, monkeypatch, percent):
+    monkeypatch.setattr(op1_spotsigs, "BLOCK", 7)
+    monkeypatch.setattr(op1_spotsigs, "HOT", 12)
+    r = np.random.default_rng(6)
+    texts = [t for _, t in rows_of(docs)]
+    for size, n in ((60, 30), (200, 20), (9, 10)):
+        base = prose(size, size).split()
+        for _ in range(n):  # some words changed, some cut off
+            words = [w if r.random() > 0.02 else f"new{r.integers(50)}" for w in base]
+            texts.append(" ".join(words[:len(words) - int(r.integers(0, size // 4))]))
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    sets = {x["doc_id"]: frozenset(x["sig"]) for x in op1_spotsigs.with_signatures(df, F.col("text"), "sig").collect()}
+    want = {i: sum(a != b and 100 * len(a & b) >= percent * len(a | b) for b in set(sets.values())) for i, a in sets.items()}
+    found = op1_spotsigs.near_duplicates(df, percent=percent).collect()
+    assert percent == 100 or max(want.values()) > 5
+    assert len(found) == len(texts) + 1 and {x["doc_id"]: x["n_links"] for x in found} == want
+    assert len({x["class_id"] for x in found}) == len(set(sets.values()))
+    assert op1_spotsigs.near_duplicates(df.limit(0)).collect() == []
+
+
 def brute_components(rows):
     sets = []
     for _, text in rows:
