@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from parcelwise.llm import op2_ngram_join, op7_line_crf, op8_packing, op9_mixing, op10_surrogates
 from parcelwise.llm.common import table, written
 
+#: Near duplicates have four fifths of their five-word shingles in common; op2's own query has a contract of its own.
+SHINGLE_WORDS, LIKENESS_PERCENT = 5, 80
+
 ORACLE_SQL = None  # the model of the first stage is not expressible; tests compare with a brute-force run
 
 
@@ -21,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op2_ngram_join.one_of_each(docs).select(*docs.columns)
+    return op2_ngram_join.one_of_each(docs, words=SHINGLE_WORDS, percent=LIKENESS_PERCENT).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

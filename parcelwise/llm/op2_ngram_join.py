@@ -1,6 +1,6 @@
 """Exact Jaccard join on word shingles, with token-combination prefixes.
 
-A document is the set of its hashed four-word shingles. Documents of one set form a class, which is joined once. If two sets
+A document is the set of its hashed shingles, of four words in the query. Documents of one set form a class, which is joined once. If two sets
 are alike enough, a short prefix of each, in an order that both share, holds common shingles:
 
 * the order puts rare shingles first. The frequent ones (met in more than `FREQUENT` prefixes; at most `MAX_FREQUENT` of them,
@@ -174,14 +174,14 @@ def _texts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return rows.withColumn("text_hash", F.xxhash64("text"))
 
 
-def _entries(rows: DataFrame, frequent, percent: int) -> DataFrame:
+def _entries(rows: DataFrame, frequent, percent: int, words: int) -> DataFrame:
     """(sig, id) of every row; without `frequent`, its plain prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs, ids = [], []
             for t in batch.column("text"):
-                own = shingles(t.as_py())
+                own = shingles(t.as_py(), words)
                 if len(own):
                     sigs.append(prefix(own, percent) if frequent is None else signatures(own, frequent.value, percent))
                     ids.append(np.full(len(sigs[-1]), class_id(own), "i8"))
@@ -201,7 +201,7 @@ def _held(df: DataFrame, column: str) -> np.ndarray:
     return np.sort(df.select(column).toArrow().column(column).to_numpy().view("u8"))
 
 
-def _classes(rows: DataFrame, frequent, shared, percent: int) -> DataFrame:
+def _classes(rows: DataFrame, frequent, shared, percent: int, words: int) -> DataFrame:
     """(doc_id, text_hash, id, n, sigs, sketch) of every row; only entries that are shared (or all, if `shared` is None)."""
     kinds = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sigs", pa.list_(pa.int64())),
                        ("sketch", pa.binary())])
@@ -210,7 +210,7 @@ def _classes(rows: DataFrame, frequent, shared, percent: int) -> DataFrame:
         for batch in batches:
             ids, sizes, entries, sketches = [], [], [], []
             for t in batch.column("text"):
-                own = shingles(t.as_py())
+                own = shingles(t.as_py(), words)
                 sigs = signatures(own, frequent.value, percent)
                 if shared is not None and len(sigs):
                     at = np.minimum(np.searchsorted(shared.value, sigs), max(0, len(shared.value) - 1))
@@ -225,11 +225,11 @@ def _classes(rows: DataFrame, frequent, shared, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, id long, n long, sigs array<long>, sketch binary")
 
 
-def _sets(rows: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, words: int) -> DataFrame:
     """(id, group, blocks, dense, own) of rows with their text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
+            own = pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "group", "blocks", "dense")), own], names=["id", "group", "blocks", "dense", "own"])
 
     return rows.select("id", "group", "blocks", "dense", "text").mapInArrow(run, "id long, group long, blocks long, dense boolean, own binary")
@@ -318,20 +318,26 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _chains(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that connect the sets of large entries whose sketches are alike; blocks of an entry meet pair by pair."""
+    """(a, b) that connect the sets of large entries whose sketches are alike; blocks of an entry meet pair by pair, and what a
+    block connects inside is put out once, where it meets itself."""
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     dealt = entries.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "sketch")
+    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "sketch", "block")
 
     def connect(pdf: pd.DataFrame) -> pd.DataFrame:
         low = np.frombuffer(b"".join(pdf["sketch"]), "<u4").reshape(-1, SKETCH)
-        ids, part, out = pdf["id"].to_numpy(), np.arange(len(pdf)), []
-        for x in range(len(pdf) - 1):
-            rest = x + 1 + np.flatnonzero(part[x + 1:] != part[x])  # only what is not connected yet
-            for y in rest[alike(np.broadcast_to(low[x], (len(rest), SKETCH)), low[rest], percent)] if len(rest) else ():
-                if part[y] != part[x]:
-                    out.append((ids[x], ids[y]))
-                    part[part == part[y]] = part[x]
+        ids, part, out, side = pdf["id"].to_numpy(), np.arange(len(pdf)), [], pdf["block"].to_numpy()
+        apart = bool((side != side[0]).any())
+        if not apart and pdf["i"].iloc[0] != pdf["j"].iloc[0]:
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for inside in (True, False) if apart else (True,):
+            for x in range(len(pdf) - 1):
+                rest = x + 1 + np.flatnonzero((part[x + 1:] != part[x]) & ((side[x + 1:] == side[x]) == inside))  # only what is not connected yet
+                for y in rest[alike(np.broadcast_to(low[x], (len(rest), SKETCH)), low[rest], percent)] if len(rest) else ():
+                    if part[y] != part[x]:
+                        if not (apart and inside):
+                            out.append((ids[x], ids[y]))
+                        part[part == part[y]] = part[x]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("sig", "i", "j").applyInPandas(connect, "a long, b long").distinct()
@@ -372,21 +378,21 @@ def _in_pairs(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInPandas(compare, "a long, b long")
 
 
-def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, class_id, n_links, stays) of each row.
+def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, class_id, n_links, stays) of each row, by shingles of so many words.
 
     n_links is the number of other classes that the document's class is linked with. One document of each component stays: that
     of the smallest id, ids before null, then of the smallest text hash.
     """
     spark = docs.sparkSession
     rows = _texts(docs, text_col, id_col)
-    counts = _entries(rows, None, percent).groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT)
+    counts = _entries(rows, None, percent, words).groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT)
     frequent = spark.sparkContext.broadcast(_held(counts.orderBy(F.desc("c"), "sig").limit(MAX_FREQUENT), "sig"))
-    met = _entries(rows, frequent, percent).groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("sig")
+    met = _entries(rows, frequent, percent, words).groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("sig")
     met = cut_lineage(met)
     small = met.count() <= MAX_SHARED
     shared = spark.sparkContext.broadcast(_held(met, "sig")) if small else None
-    classes = cut_lineage(_classes(rows, frequent, shared, percent))
+    classes = cut_lineage(_classes(rows, frequent, shared, percent, words))
     kept = cut_lineage(classes.filter(F.size("sigs") > 0).groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "sigs", "sketch")]))
     entries = kept.select("id", "n", "sketch", F.explode("sigs").alias("sig"))
     if not small:
@@ -412,7 +418,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, per
     lowest = cut_lineage(classes.groupBy("id").agg(first))
     members = lowest.join(group.join(size, "group"), "id").select("id", "group", "blocks", "dense", F.xxhash64("first.doc_id", "first.text_hash").alias("row"))
     members = cut_lineage(members)
-    sets = _sets(rows.withColumn("row", F.xxhash64("doc_id", "text_hash")).join(_listed(members), "row"))
+    sets = _sets(rows.withColumn("row", F.xxhash64("doc_id", "text_hash")).join(_listed(members), "row"), words)
     links = _in_blocks(sets.filter("dense").drop("dense"), percent)
     if not members.filter("NOT dense").isEmpty():
         sparse = sets.filter("NOT dense").dropDuplicates(["id"])
@@ -436,9 +442,9 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, per
                       F.col("id").alias("class_id"), "n_links", stays.alias("stays"))
 
 
-def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """docs without the documents of a component but its first. Of equal rows one stays; documents without words all stay."""
-    found = cut_lineage(join(docs, text_col, id_col, percent=percent).select("doc_id", "text_hash", "n_shingles", "stays"))
+    found = cut_lineage(join(docs, text_col, id_col, percent=percent, words=words).select("doc_id", "text_hash", "n_shingles", "stays"))
     key = ["__join_id", "__join_hash"]
 
     def listed(rows: DataFrame) -> DataFrame:

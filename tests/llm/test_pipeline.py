@@ -53,3 +53,22 @@ def test_stages(spark, corpus):
 
 def test_empty(spark, folder):
     assert corpus_pipeline.run(spark, str(folder / "none")).collect() == []
+
+
+def test_near_copies_of_four_fifths(spark):
+    """Five-word likeness of 0.80 to 0.85 links, less does not: a passage appended, words edited."""
+    rows, drop = [], set()
+    for i, added in enumerate((10, 18, 24, 25, 26, 40)):  # 100 shingles in 100 + added
+        text = " ".join(f"d{i}w{k}" for k in range(104))
+        rows += [(10 * i, text), (10 * i + 1, text + "".join(f" x{i}y{k}" for k in range(added)))]
+        drop |= {10 * i + 1} if added <= 25 else set()
+    for i, edits in enumerate((3, 4, 5), 10):  # each edit breaks 5 of 200 shingles: 185/215, 180/220, 175/225
+        words = [f"d{i}w{k}" for k in range(204)]
+        rows.append((10 * i, " ".join(words)))
+        for k in range(edits):
+            words[20 + 30 * k] = "edited"
+        rows.append((10 * i + 1, " ".join(words)))
+        drop |= {10 * i + 1} if edits <= 4 else set()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["n-gram join"](spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [d for d, _ in rows if d not in drop]
