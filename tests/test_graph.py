@@ -1,6 +1,6 @@
 import random
 
-from conftest import make_orders
+from order_rows import make_orders
 
 from parcelwise.operators import graph as G
 from parcelwise.operators.components import component_history, connected_components, final_labels
@@ -84,7 +84,7 @@ def test_subgraph_holds_the_neighbourhood(spark):
 def test_snapshot_hides_later_orders_and_outcomes(spark):
     from datetime import timedelta
 
-    from conftest import T0
+    from order_rows import T0
     rows = [("p1", "d1", "a1", None, "i0", True), ("p1", "d1", "a1", None, "i1", True), ("p9", "d9", "a9", None, "i2", False)]
     h = G.hashed_orders(make_orders(spark, rows, step=timedelta(days=3), lag=timedelta(days=1)))
     early = G.snapshot(h, T0 + timedelta(days=4), T0 + timedelta(days=2))

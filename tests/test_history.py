@@ -2,7 +2,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import make_orders
+from order_rows import make_orders
 from replay import ring_features, velocity as slow_velocity
 
 from parcelwise.functions.pincodes import with_pin_info

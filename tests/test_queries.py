@@ -20,7 +20,7 @@ def duck():
 
 
 def test_every_inventory_row_has_a_query():
-    have = {re.match(r"[a-k]\d+", n).group() for n in entry_point.queries()}
+    have = {found.group() for n in entry_point.queries() if (found := re.match(r"[a-k]\d+(?=_)", n))}
     want = {f"{s}{i}" for s, n in INVENTORY.items() for i in range(1, n + 1)}
     assert want - have == set()
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
