@@ -1,16 +1,14 @@
 """Connected components: the final ones, and the ones as they stood at any moment.
 
-Both are driver loops over distributed joins whose lineage is cut every round. Labels are the smallest
-node id of the component.
+Both are driver loops over distributed joins whose lineage is cut every round. A component is named after its
+smallest node id; over time it is known by its member of lowest priority, a random order.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import HOT_KEY_ROWS
 from ..session import cut_lineage
-from .running import hot_keys, running_by_key
 
 
 def _fingerprint(df: DataFrame, *cols: str) -> tuple:
@@ -44,45 +42,68 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .select(*nodes.columns, F.coalesce("_root", "node").alias("component")))
 
 
-def component_history(nodes: DataFrame, edges: DataFrame, *, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def priority(node: Column) -> Column:
+    """Random order of nodes: whatever order their ids come in, chains through it stay short."""
+    return F.struct(F.xxhash64(node).alias("h"), node.alias("node"))
+
+
+def _downward(a: Column, b: Column) -> list[Column]:
+    """An undirected edge as (u, v), v of lower priority."""
+    low, high = F.least(priority(a), priority(b)), F.greatest(priority(a), priority(b))
+    return [high["node"].alias("u"), low["node"].alias("v")]
+
+
+def merge_forest(edges: DataFrame) -> DataFrame:
+    """(node, parent, at): a forest that connects the same nodes at every moment as edges(a, b, ts, seq) do.
+
+    Every node keeps its earliest edge to a node of lower priority; its later ones are hung under the end of the earliest, which it
+    had reached by then. When no node has two such edges left, each has one parent, and the nodes connected at a moment are those
+    whose parents, followed over links no younger, end at the same one. Edges only get fewer and lower; a hub is one skewed join side.
+    """
+    lower = edges.filter("a <> b").select(*_downward(F.col("a"), F.col("b")), F.struct("ts", "seq").alias("at"))
+    lower = cut_lineage(lower.groupBy("u", "v").agg(F.min("at").alias("at")))
+    while True:  # an edge that moves has a lower end than before
+        first = lower.groupBy("u").agg(F.min(F.struct("at", "v")).alias("f"), F.count(F.lit(1)).alias("n"))
+        met = lower.join(first, "u")
+        stays = (F.col("n") == 1) | (F.col("v") == F.col("f.v"))
+        ends = _downward(F.col("f.v"), F.col("v"))
+        u = F.when(stays, F.col("u")).otherwise(ends[0])
+        v = F.when(stays, F.col("v")).otherwise(ends[1])
+        hung = met.select(u.alias("u"), v.alias("v"), "at", (~stays).alias("moved"))
+        lower = cut_lineage(hung.groupBy("u", "v").agg(F.min("at").alias("at"), F.max("moved").alias("moved")))
+        if lower.filter("moved").isEmpty():
+            return lower.select(F.col("u").alias("node"), F.col("v").alias("parent"), "at")
+        lower = lower.drop("moved")
+
+
+def component_history(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every label a node ever carries: (node, ts, seq, label), the label holding from (ts, seq) on.
 
-    nodes(node, ts, seq) gives each node's first appearance; edges(a, b, ts, seq) the moment each edge came
-    in. A label is the smallest node id reachable through edges no younger than that moment, so a node's
-    labels only fall over time: its history is the staircase of running minima, logarithmically short on
-    hashed ids. Staircases are improved from neighbours, then short-cut through the label's own staircase,
-    until nothing changes.
+    nodes(node, ts, seq) gives each node's first appearance; edges(a, b, ts, seq) the moment each edge came in. The label of a moment
+    is the member of the component of lowest priority: the last ancestor in the merge forest that is reached over links no younger.
+    All ancestors are found by doubling. With random priorities a node has logarithmically many, however ids and times agree.
     """
-    sym = (edges.select("a", "b", "ts", "seq").unionByName(
-        edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "ts", "seq"))
-        .select("a", "b", F.struct("ts", "seq").alias("_at")))
-    sym = cut_lineage(sym)
-    hot = hot_keys(sym.groupBy(F.col("a").alias("node")).count(), hot_rows)
-    hist = nodes.select("node", F.struct("ts", "seq").alias("at"), F.col("node").alias("label"))
-    hist = cut_lineage(hist.withColumn("fresh", F.lit(True)))
-    while True:  # staircases only improve, so the rounds end
-        # only what changed last round can improve a neighbour
-        fresh = hist.filter("fresh").select(F.col("node").alias("b"), "at", "label")
-        reached = sym.join(fresh, "b").select(F.col("a").alias("node"), F.greatest("_at", "at").alias("at"), "label")
-        # the label's own staircase: wherever it went next, its members went too
-        moved = hist.filter("node <> label")
-        onward = moved.select(F.col("node").alias("label"), F.col("at").alias("_at"), F.col("label").alias("_next"))
-        jumped = (moved.join(onward, "label")
-                  .select("node", F.greatest("_at", "at").alias("at"), F.col("_next").alias("label")))
-        known = hist.select("node", "at", "label", F.lit(False).alias("new"))
-        offered = reached.unionByName(jumped).withColumn("new", F.lit(True))
-        best = (known.unionByName(offered).groupBy("node", "at").agg(F.min(F.struct("label", "new")).alias("m"))
-                .select("node", "at.ts", "at.seq", "m.label", "m.new"))
-        stair = running_by_key(best, ["node"], ["ts", "seq"], {"_low": ("min", F.col("label"))}, hot=hot)
-        hist = cut_lineage(stair.filter(F.col("_low").isNull() | (F.col("label") < F.col("_low")))
-                           .select("node", F.struct("ts", "seq").alias("at"), "label", F.col("new").alias("fresh")))
-        if hist.filter("fresh").isEmpty():
-            return hist.select("node", "at.ts", "at.seq", "label")
+    above = merge_forest(edges).select("node", F.col("parent").alias("label"), "at", F.lit(0).alias("fresh"))
+    step = 0
+    while True:  # a path of 2^step links is covered after that many steps
+        via = above.select(F.col("node").alias("label"), F.col("label").alias("_up"), F.col("at").alias("_at"), F.col("fresh").alias("_fresh"))
+        # two paths make a new one if one of them is of the last step
+        longer = (above.join(via, "label").filter((F.col("fresh") == step) & (F.col("_fresh") >= step - 1) | (F.col("_fresh") == step))
+                  .select("node", F.col("_up").alias("label"), F.greatest("at", "_at").alias("at"), F.lit(step + 1).alias("fresh")))
+        above = cut_lineage(above.unionByName(longer).groupBy("node", "label").agg(F.min("at").alias("at"), F.min("fresh").alias("fresh")))
+        step += 1
+        if above.filter(F.col("fresh") == step).isEmpty():
+            break
+    first = nodes.select("node", F.col("node").alias("label"), F.struct("ts", "seq").alias("at"))
+    steps = first.unionByName(above.drop("fresh")).groupBy("node", "at").agg(F.min(priority(F.col("label"))).alias("p"))
+    return steps.select("node", "at.ts", "at.seq", F.col("p.node").alias("label"))
 
 
 def final_labels(history: DataFrame) -> DataFrame:
-    """(node, component) after the last event of a history."""
-    return history.groupBy("node").agg(F.min("label").alias("component"))
+    """(node, component) after the last event of a history; a component has the name of its smallest node."""
+    last = history.groupBy("node").agg(F.min(priority(F.col("label")))["node"].alias("label"))
+    names = last.groupBy("label").agg(F.min("node").alias("component"))
+    return last.join(names, "label").select("node", "component")
 
 
 def first_k(df: DataFrame, group: list[str], order: list[str], k: int) -> DataFrame:

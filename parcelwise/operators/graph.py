@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..config import HOT_KEY_ROWS
 from ..functions.text import node_id
 from ..session import cut_lineage
-from .components import component_history, connected_components, first_k
+from .components import component_history, connected_components, first_k, priority
 from .running import hot_keys, running_by_key
 
 # Node kinds in the order an order lists them, merge rules and ring rules.
-KINDS = ("phone", "device", "addr", "vpa", "ip")
+ALL_KINDS = ("phone", "device", "addr", "vpa", "card", "ip")
+KINDS = ("phone", "device", "addr", "vpa", "ip")  # kinds of sources without cards
 HARD_KINDS = ("phone", "device", "vpa", "card")
 ADDR_MERGE_CEILING = 6
 ADDR_PUBLIC_CEILING = 25
@@ -35,8 +36,13 @@ def kind_of(node: Column) -> Column:
     return F.substring_index(node, ":", 1)
 
 
-def order_entities(hashed: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def kinds_in(hashed: DataFrame) -> list[str]:
+    return [k for k in ALL_KINDS if k in hashed.columns]
+
+
+def order_entities(hashed: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """(order_id, seq, ts, kind, node) rows; empty identifiers are dropped."""
+    kinds = kinds or kinds_in(hashed)
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("node")) for k in kinds])
     return (hashed.select("order_id", "seq", "ts", F.inline(pairs)).filter(F.col("node").isNotNull()))
 
@@ -49,9 +55,9 @@ def _pair_rows(hashed: DataFrame, pairs: list[tuple[str, str]], a: str, b: str)
             .select(a, b, F.col("_f.ts").alias("ts"), F.col("_f.seq").alias("seq")))
 
 
-def edge_list(hashed: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """Undirected edges (a < b) with the first order that made them; at most ten pairs per order."""
-    present = [k for k in kinds if k in hashed.columns]
+def edge_list(hashed: DataFrame) -> DataFrame:
+    """Undirected edges (a < b) with the first order that made them; at most fifteen pairs per order."""
+    present = kinds_in(hashed)
     pairs = [(x, y) for i, x in enumerate(present) for y in present[i + 1:]]
     found = _pair_rows(hashed, pairs, "x", "y")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ts", "seq")
@@ -83,17 +89,53 @@ def shared_entities(degrees: DataFrame) -> DataFrame:
     return degrees.filter(is_shared(F.col("node"), F.col("degree"), F.col("phones")))
 
 
+def closed_addresses(hashed: DataFrame, ceiling: int = ADDR_MERGE_CEILING) -> DataFrame:
+    """(addr, closed): the order, as (ts, seq), from which an address is not bridged: its `ceiling`-th distinct phone's first."""
+    residents = _pair_rows(hashed, [("phone", "addr")], "a", "b")
+    return (first_k(residents, ["b"], ["ts", "seq"], ceiling).groupBy(F.col("b").alias("addr"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("ts", "seq")).alias("closed")).filter(F.col("_n") == ceiling).drop("_n"))
+
+
+def with_hub(hashed: DataFrame, *, guard: bool = True, ceiling: int = ADDR_MERGE_CEILING) -> DataFrame:
+    """Add `hub`, the first of an order's nodes that may merge then (its first node if none may), `head`, its first node, and
+    `bridge`, its address where that may merge.
+
+    An order with a phone has it as hub. Only orders without one ask whether their address was still open at their moment.
+    """
+    kinds = kinds_in(hashed)
+    head = F.coalesce(*[F.col(k) for k in kinds])
+    known = hashed.filter(F.col("phone").isNotNull()).withColumns({"hub": F.col("phone"), "head": F.col("phone"), "bridge": F.lit(None).cast("string")})
+    rest = hashed.filter(F.col("phone").isNull())
+    if guard:
+        rest = rest.join(closed_addresses(hashed, ceiling), "addr", "left")
+        rest = rest.withColumn("bridge", F.when(F.col("closed").isNull() | (F.struct("ts", "seq") < F.col("closed")), F.col("addr"))).drop("closed")
+        may = [F.col("bridge") if k == "addr" else F.col(k) for k in kinds if k in HARD_KINDS or k == "addr"]
+        rest = rest.withColumns({"hub": F.coalesce(*may, head), "head": head})
+    else:
+        rest = rest.withColumns({"hub": head, "head": head, "bridge": F.col("addr")})
+    return known.unionByName(rest.select(*known.columns))
+
+
 def merge_edges(hashed: DataFrame, *, guard: bool = True, ceiling: int = ADDR_MERGE_CEILING) -> DataFrame:
-    """Star edges (a, b, ts, seq) from each order's phone to every node it may merge with.
+    """Star edges (a, b, ts, seq) from each order's hub to every node it may merge with.
 
-    An address merges with the first `ceiling - 1` distinct phones seen at it: the phone that brings the
-    count to the ceiling, and everyone after, is not bridged. Without the guard every node merges.
+    The hub is the phone, or the first node that may merge where there is none. An address merges with the first `ceiling - 1`
+    distinct phones seen at it, and until then with orders without a phone: the phone that brings the count to the ceiling, and
+    everyone after, is not bridged. Without the guard every node merges.
     """
+    kinds = kinds_in(hashed)
+    rest = with_hub(hashed, guard=guard, ceiling=ceiling).filter(F.col("phone").isNull()).filter(F.col("hub").isNotNull())
     if not guard:
-        return _pair_rows(hashed, [("phone", k) for k in KINDS[1:]], "a", "b")
-    hard = _pair_rows(hashed, [("phone", k) for k in KINDS[1:] if k in HARD_KINDS], "a", "b")
+        known = _pair_rows(hashed, [("phone", k) for k in kinds if k != "phone"], "a", "b")
+        return known.unionByName(_stars(rest, [k for k in kinds if k != "phone"]))
+    hard = _pair_rows(hashed, [("phone", k) for k in kinds if k in HARD_KINDS and k != "phone"], "a", "b")
     residents = _pair_rows(hashed, [("phone", "addr")], "a", "b")
-    return hard.unionByName(first_k(residents, ["b"], ["ts", "seq"], ceiling - 1))
+    known = hard.unionByName(first_k(residents, ["b"], ["ts", "seq"], ceiling - 1))
+    return known.unionByName(_stars(rest, ["bridge" if k == "addr" else k for k in kinds if (k in HARD_KINDS or k == "addr") and k != "phone"]))
+
+
+def _stars(rows: DataFrame, ends: list[str]) -> DataFrame:
+    return _pair_rows(rows, [("hub", c) for c in ends], "a", "b").filter("a <> b")
 
 
 def node_table(hashed: DataFrame) -> DataFrame:
@@ -121,17 +163,20 @@ def rto_rate(rto: Column, delivered: Column) -> Column:
     return F.coalesce(F.try_divide(rto, rto + delivered), F.lit(0.0))
 
 
-def ring_statistics(hashed: DataFrame, comps: DataFrame) -> DataFrame:
-    """One row per component. An order and its outcome are booked to the component of the order's phone."""
+def ring_statistics(hashed: DataFrame, comps: DataFrame, *, guard: bool = True, ceiling: int = ADDR_MERGE_CEILING) -> DataFrame:
+    """One row per component. An order is booked to the component of its hub, its outcome to that of its first node."""
     kind = kind_of(F.col("node"))
     sizes = comps.groupBy("component").agg(
         F.count(F.lit(1)).alias("size"), F.count_if(kind == "phone").alias("phones"),
         F.count_if(kind == "device").alias("devices"), F.count_if(kind == "addr").alias("addrs"))
-    # pre-aggregate per phone, so the join carries one row per phone
-    by_phone = hashed.groupBy(F.col("phone").alias("node")).agg(
-        F.count(F.lit(1)).alias("orders"), F.count_if("rto").alias("rto"),
-        F.count_if(~F.col("rto")).alias("delivered"), F.sum("cart_gmv").alias("gmv"))
-    booked = by_phone.join(comps, "node").groupBy("component").agg(
+    # pre-aggregate per node, so the join carries one row per node
+    zero, one = F.lit(0), F.lit(1)
+    two = F.array(F.struct(F.col("hub").alias("node"), one.alias("orders"), F.col("cart_gmv").alias("gmv"), zero.alias("rto"), zero.alias("delivered")),
+                  F.struct(F.col("head").alias("node"), zero.alias("orders"), F.lit(0.0).alias("gmv"),
+                           F.when(F.col("rto"), 1).otherwise(0).alias("rto"), F.when(~F.col("rto"), 1).otherwise(0).alias("delivered")))
+    by_node = with_hub(hashed, guard=guard, ceiling=ceiling).select(F.inline(two)).filter(F.col("node").isNotNull()).groupBy("node").agg(
+        *[F.sum(c).alias(c) for c in ("orders", "rto", "delivered", "gmv")])
+    booked = by_node.join(comps, "node").groupBy("component").agg(
         *[F.sum(c).alias(c) for c in ("orders", "rto", "delivered", "gmv")])
     out = sizes.join(booked, "component", "left").na.fill(0, ["orders", "rto", "delivered"]).na.fill(0.0, ["gmv"])
     return out.withColumns({
@@ -166,7 +211,7 @@ _STATS = ("size", "phones", "devices", "addrs", "orders", "rto", "delivered")
 
 def _log_rows(df: DataFrame, key: str, kind: int | Column, sub: int, **cols: Column) -> DataFrame:
     """Rows of a mixed log; the columns a row does not carry are NULL."""
-    names = {"label": "string", "link": "int", "phone_link": "int", "read_seq": df.schema["seq"].dataType,
+    names = {"label": "struct<h: bigint, node: string>", "link": "int", "phone_link": "int", "read_seq": df.schema["seq"].dataType,
              **{s: "long" for s in _STATS}}
     k = F.lit(kind) if isinstance(kind, int) else kind
     return df.select(F.col(key).alias("key"), "ts", k.alias("kind"), "seq", F.lit(sub).alias("sub"),
@@ -197,17 +242,17 @@ def ring_features(hashed: DataFrame, *, published: bool = True, guard: bool = Tr
     # hashed once: every pass below reads it
     hashed = cut_lineage(hashed)
     hot = hot_keys(order_entities(hashed).groupBy("node").count(), hot_rows)
-    history = component_history(node_table(hashed), merge_edges(hashed, guard=guard, ceiling=ceiling),
-                                hot_rows=hot_rows)
+    history = component_history(node_table(hashed), merge_edges(hashed, guard=guard, ceiling=ceiling))
     links = both_ways(edge_list(hashed))
     readers = _readers(hashed, published, hot)
 
-    # pass 1, keyed by node: which label a node carries at each booking and reading, its degree, and what a
-    # phone had booked before each change of label
-    bookings = (_log_rows(hashed, "phone", 0, _BOOKING, orders=F.lit(1))
-                .unionByName(_log_rows(hashed.drop("ts").withColumnRenamed("outcome_ts", "ts"), "phone", 1, _BOOKING,
+    # pass 1, keyed by node: which label a node carries at each booking and reading (priorities only fall), its degree, and what
+    # had been booked to it before each change of label
+    booked_to = with_hub(hashed, guard=guard, ceiling=ceiling).filter(F.col("head").isNotNull())
+    bookings = (_log_rows(booked_to, "hub", 0, _BOOKING, orders=F.lit(1))
+                .unionByName(_log_rows(booked_to.drop("ts").withColumnRenamed("outcome_ts", "ts"), "head", 1, _BOOKING,
                                        rto=F.col("rto").cast("long"), delivered=(~F.col("rto")).cast("long"))))
-    changes = _log_rows(history, "node", 0, _CHANGE, label=F.col("label"))
+    changes = _log_rows(history, "node", 0, _CHANGE, label=priority(F.col("label")))
     seen = _log_rows(links, "node", 0, _CHANGE, link=F.lit(1),
                      phone_link=(kind_of(F.col("other")) == "phone").cast("int"))
     # written once: the second pass reads it four times
@@ -221,18 +266,19 @@ def ring_features(hashed: DataFrame, *, published: bool = True, guard: bool = Tr
     is_kind = lambda k: (kind == k).cast("long")
     # pass 2, keyed by label: a node that takes a label brings itself and its earlier bookings along
     joins = by_node.filter(F.col("label").isNotNull()).select(
-        F.col("label").alias("comp"), *_POSITION, F.lit(1).alias("size"), is_kind("phone").alias("phones"),
+        F.col("label.node").alias("comp"), *_POSITION, F.col("key").alias("member"), F.lit(1).alias("size"), is_kind("phone").alias("phones"),
         is_kind("device").alias("devices"), is_kind("addr").alias("addrs"), F.col("_orders").alias("orders"),
         F.col("_rto").alias("rto"), F.col("_del").alias("delivered"))
     booked = by_node.filter(F.col("sub") == _BOOKING).select(
-        F.col("_label").alias("comp"), *_POSITION, *[F.lit(0).alias(c) for c in ("size", "phones", "devices", "addrs")],
+        F.col("_label.node").alias("comp"), *_POSITION, F.lit(None).cast("string").alias("member"), *[F.lit(0).alias(c) for c in ("size", "phones", "devices", "addrs")],
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("orders", "rto", "delivered")])
     asked = by_node.filter(F.col("read_seq").isNotNull() & F.col("_label").isNotNull()).select(
-        F.col("_label").alias("comp"), *_POSITION, *[F.lit(0).alias(c) for c in _STATS],
+        F.col("_label.node").alias("comp"), *_POSITION, F.lit(None).cast("string").alias("member"), *[F.lit(0).alias(c) for c in _STATS],
         "read_seq", kind.alias("node_kind"), "_degree",
         is_shared(F.col("key"), F.col("_degree"), F.col("_phones")).alias("_shared"))
     log = joins.unionByName(booked).unionByName(asked, allowMissingColumns=True)
-    by_label = running_by_key(log, ["comp"], _POSITION, {f"r_{c}": ("sum", F.col(c)) for c in _STATS},
+    # a component's name is its smallest node so far
+    by_label = running_by_key(log, ["comp"], _POSITION, {**{f"r_{c}": ("sum", F.col(c)) for c in _STATS}, "r_name": ("min", F.col("member"))},
                               hot=hot_keys(log.groupBy("comp").count(), hot_rows))
     return _best_ring(hashed, by_label.filter(F.col("read_seq").isNotNull()))
 
@@ -249,13 +295,13 @@ def _readers(hashed: DataFrame, published: bool, hot: DataFrame | None) -> DataF
 
 
 def _best_ring(hashed: DataFrame, reads: DataFrame) -> DataFrame:
-    rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(-i))])
+    rank = F.create_map(*[x for i, k in enumerate(ALL_KINDS) for x in (F.lit(k), F.lit(-i))])
     ring = ring_predicate(*[F.col(f"r_{c}") for c in ("phones", "devices", "addrs", "rto", "delivered")])
     rate = rto_rate(F.col("r_rto"), F.col("r_delivered"))
     best = reads.groupBy(F.col("read_seq").alias("seq")).agg(
         F.max(F.struct(F.col("r_size").alias("size"), rate.alias("rate"), rank[F.col("node_kind")].alias("rank"),
                        F.col("r_phones").alias("phones"), F.col("r_devices").alias("devices"),
-                       F.col("r_orders").alias("orders"), ring.alias("is_ring"), F.col("comp").alias("ring_id"))).alias("b"),
+                       F.col("r_orders").alias("orders"), ring.alias("is_ring"), F.col("r_name").alias("ring_id"))).alias("b"),
         F.max("_degree").alias("entity_max_degree"), F.bool_or("_shared").alias("entity_shared"))
     real = F.coalesce(F.col("b.size") > 1, F.lit(False))
     pick = lambda c, other: F.when(real, F.col(f"b.{c}")).otherwise(other)
@@ -331,15 +377,15 @@ def detection_quality(flags: DataFrame) -> DataFrame:
 def phone_flags(hashed: DataFrame, truth: DataFrame, *, guard: bool, ceiling: int = ADDR_MERGE_CEILING) -> tuple[DataFrame, DataFrame]:
     """(per-phone flags, ring statistics) of one guard setting. truth(phone node, truth, resident)."""
     comps = components(hashed, guard=guard, ceiling=ceiling)
-    stats = ring_statistics(hashed, comps)
+    stats = ring_statistics(hashed, comps, guard=guard, ceiling=ceiling)
     flagged = comps.join(stats.select("component", F.col("is_ring").alias("flagged")), "component").select("node", "flagged")
     return truth.join(flagged, truth["phone"] == flagged["node"]).select("phone", "flagged", "truth", "resident"), stats
 
 
-def guard_comparison(hashed: DataFrame, truth: DataFrame, ceilings: tuple[int, ...] = (ADDR_MERGE_CEILING,)) -> DataFrame:
-    """Detection quality and component shape of the naive graph and of each merge ceiling."""
+def guard_comparison(hashed: DataFrame, truth: DataFrame, ceilings: tuple[int, ...] = (ADDR_MERGE_CEILING,), naive: bool = True) -> DataFrame:
+    """Detection quality and component shape of the naive graph, if wanted, and of each merge ceiling."""
     rows, hashed = [], cut_lineage(hashed)
-    for name, guard, ceiling in [("naive", False, ADDR_MERGE_CEILING)] + [(f"guarded@{c}", True, c) for c in ceilings]:
+    for name, guard, ceiling in [("naive", False, ADDR_MERGE_CEILING)] * naive + [(f"guarded@{c}", True, c) for c in ceilings]:
         flags, stats = phone_flags(hashed, truth, guard=guard, ceiling=ceiling)
         shape = stats.agg(F.count(F.lit(1)).alias("components"), F.count_if("is_ring").alias("rings"),
                           F.max("size").alias("largest_component"))

@@ -95,8 +95,6 @@ add("d13_graph_summary", graph_summary,
   count(*) FILTER (node LIKE 'addr:%' AND phones >= 6) AS non_bridging_addresses FROM degrees)""", "g_stats", "degrees"))
 add("d14_ring_lookup", lambda s, d: (lambda h, c, st: G.ring_lookup(c, st).select("node", "component", "size", "is_ring"))(*stats(s, d)),
     sql("SELECT node, component, size, is_ring FROM g_comps JOIN g_stats USING (component)", "g_comps", "g_stats"))
-add("d15_live_ring_features", lambda s, d: G.ring_features(hashed(s, d), published=False))
-add("d16_published_ring_features", lambda s, d: G.ring_features(hashed(s, d)))
 
 
 def _seed(edges: DataFrame) -> str:
@@ -144,7 +142,7 @@ FROM (SELECT count(*) AS phones, count(*) FILTER (truth) AS ring_phones_true, co
 
 add("d19_detection_quality", lambda s, d: G.detection_quality(G.phone_flags(hashed(s, d), truth(s, d), guard=True)[0]).select(
     *QUALITY, *[F.round(c, 6).alias(c) for c in RATES]), sql(_quality("g_"), "truth", "g_comps", "g_stats"))
-add("d20_ceiling_sweep", lambda s, d: G.guard_comparison(hashed(s, d), truth(s, d), (3, 6, 10)).filter("variant <> 'naive'").select(
+add("d20_ceiling_sweep", lambda s, d: G.guard_comparison(hashed(s, d), truth(s, d), (3, 6, 10), naive=False).select(
     "variant", "components", "rings", "largest_component", *QUALITY, *[F.round(c, 6).alias(c) for c in RATES]),
     sql(" UNION ALL ".join(f"SELECT 'guarded@{c}' AS variant, * FROM (SELECT count(*) AS components, count(*) FILTER (is_ring) AS rings, max(size) AS largest_component FROM {p}stats), ({_quality(p)})"
                            for c, p in ((3, "g3_"), (6, "g_"), (10, "g10_"))), "truth", *[f"{p}{x}" for p in ("g3_", "g_", "g10_") for x in ("comps", "stats")]))

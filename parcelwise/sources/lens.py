@@ -77,6 +77,13 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_orders(spark, sf_dir).filter(F.col("status").isin("F", "O")).drop("status")
 
 
+def partial_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sources without complete identities give them: some lack phone, device, address or network, some carry a card."""
+    k = F.col("seq")
+    gone = {"phone": k % 3 == 0, "device": k % 7 < 3, "addr": k % 11 == 0, "ip": k % 5 == 0}
+    return orders(spark, sf_dir).withColumns({**{c: F.when(~g, F.col(c)) for c, g in gone.items()}, "card": F.col("card_token")})
+
+
 def address_entity(df: DataFrame) -> DataFrame:
     """Address entity taken from the text, for sources that carry no address key of their own."""
     return df.withColumn("addr", normalise_address(F.col("shipping_address"), F.col("delivery_pin")))

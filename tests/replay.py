@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-KINDS = ("phone", "device", "addr", "vpa", "ip")
+KINDS = ("phone", "device", "addr", "vpa", "card", "ip")
 
 
 def events(rows):
@@ -57,11 +57,11 @@ class Graph:
             soft = n.startswith(("addr:", "ip:"))
             if soft and ((n.startswith("addr:") and phones(n) >= 25) or len(self.near[n]) >= 50):
                 self.shared.add(n)
-        ok = [n for n in nodes if not self.guard or n.startswith(("phone:", "device:", "vpa:")) or (n.startswith("addr:") and phones(n) < self.ceiling)]
+        ok = [n for n in nodes if not self.guard or n.startswith(("phone:", "device:", "vpa:", "card:")) or (n.startswith("addr:") and phones(n) < self.ceiling)]
         for n in ok[1:]:
             self.bridges[ok[0]].add(n)
             self.bridges[n].add(ok[0])
-        self.booked[nodes[0]][0] += 1
+        self.booked[ok[0] if ok else nodes[0]][0] += 1
 
     def resolve(self, nodes, rto):
         self.booked[nodes[0]][1 if rto else 2] += 1
@@ -89,7 +89,7 @@ class Graph:
 
 def ring_features(rows, published=True, guard=True, ceiling=6):
     g, board, out = Graph(guard, ceiling), {}, {}
-    nodes_of = lambda r: [f"{k}:{r[k]}" for k in KINDS if r[k]]
+    nodes_of = lambda r: [f"{k}:{r[k]}" for k in KINDS if r.get(k)]
     for _, kind, seq, r in events(rows):
         nodes = nodes_of(r)
         if kind == 0:
@@ -102,8 +102,9 @@ def ring_features(rows, published=True, guard=True, ceiling=6):
                 best = {"size": 0, "phones": 0, "rate": 0.0, "is_ring": False}
             out[seq] = (best["size"], best["phones"], round(best["rate"], 9), best["is_ring"],
                         max([s["degree"] for s in known], default=0), any(s["shared"] for s in known))
-            g.place(nodes)
-        else:
+            if nodes:
+                g.place(nodes)
+        elif nodes:
             g.resolve(nodes, r["rto"])
         for n in nodes:
             board[n] = g.stats(n)

@@ -3,14 +3,14 @@ import random
 from order_rows import make_orders
 
 from parcelwise.operators import graph as G
-from parcelwise.operators.components import component_history, connected_components, final_labels
+from parcelwise.operators.components import component_history, connected_components, final_labels, merge_forest
 from pyspark.sql import functions as F
 
 
 def built(spark, rows, **kw):
     h = G.hashed_orders(make_orders(spark, rows))
     comps = G.components(h, **kw)
-    return h, comps, {r["component"]: r for r in G.ring_statistics(h, comps).collect()}
+    return h, comps, {r["component"]: r for r in G.ring_statistics(h, comps, **kw).collect()}
 
 
 def comp_of(spark, comps, kind, raw):
@@ -40,6 +40,42 @@ def test_components_of_random_graphs(spark):
     assert {r["node"]: r["component"] for r in final_labels(history).collect()} == got
 
 
+def test_forest_keeps_every_moment_of_a_line_whose_ids_follow_time(spark):
+    """Ids and times rise together: the forest has one link a node and every node few labels."""
+    n = 300
+    names = [f"n{i:04d}" for i in range(n)]
+    edges = spark.createDataFrame([(names[i], names[i + 1], n - i, i) for i in range(n - 1)], "a string, b string, ts long, seq long")
+    assert merge_forest(edges).count() == n - 1
+    nodes = spark.createDataFrame([(x, 0, -1) for x in names], "node string, ts long, seq long")
+    history = {}
+    rows = component_history(nodes, edges).collect()
+    for r in rows:
+        history.setdefault(r["node"], []).append((r["ts"], r["seq"], r["label"]))
+    assert len(rows) < 20 * n
+    for t in (0, 1, 37, 150, 299):
+        labels = [max(x for x in history[m] if x[0] <= t)[2] for m in names]
+        split = n - 1 - t  # edges from here on are in
+        assert len(set(labels[max(0, split + 1):])) <= 1 and len(set(labels)) == max(1, split + 2) - (t == 0)
+
+
+def test_orders_without_a_phone_merge_and_are_booked(spark):
+    rows = [(None, "d1", "a1", "v1", "n", True), ("", "d2", "a2", "v1", "n", True), (None, None, None, None, "n", False), (None, None, "a1", None, None, True)]
+    h, comps, stats = built(spark, rows)
+    ring = stats[comp_of(spark, comps, "device", "d1")]
+    assert ring["component"] == comp_of(spark, comps, "addr", "a2") and (ring["size"], ring["phones"], ring["orders"], ring["rto"]) == (5, 0, 3, 3)
+    net = stats[comp_of(spark, comps, "ip", "n")]
+    assert (net["size"], net["orders"], net["delivered"]) == (1, 1, 1)
+
+
+def test_a_closed_address_is_no_bridge_without_a_phone_either(spark):
+    rows = [(f"p{i}", f"d{i}", "hostel", None, None, False) for i in range(6)] + [(None, None, "hostel", "v9", None, True), (None, None, "hostel", None, "n", True)]
+    h, comps, stats = built(spark, rows)
+    assert stats[comp_of(spark, comps, "vpa", "v9")]["size"] == 1 and stats[comp_of(spark, comps, "vpa", "v9")]["orders"] == 1
+    hostel = stats[comp_of(spark, comps, "addr", "hostel")]
+    # outcomes go to the first node, the last order to the address as nothing of it merges
+    assert (hostel["phones"], hostel["orders"], hostel["rto"]) == (5, 6, 2)
+
+
 def test_household_is_not_a_ring_but_a_syndicate_is(spark):
     rows = [("h1", "home", "homeaddr", None, None, False), ("h2", "home", "homeaddr", None, None, False)]
     rows += [(f"b{i}", f"dev{i % 2}", "drop", None, None, True) for i in range(10)]

@@ -63,6 +63,24 @@ def test_ring_features_equal_replay(spark, published, guard, hot_rows):
     assert got == ring_features(rows, published=published, guard=guard)
 
 
+def holes(orders, seed):
+    """The same orders with identifiers missing at random, and a card on some."""
+    gone = lambda i, share: F.pmod(F.xxhash64(F.lit(seed + i), "seq"), F.lit(100)) < share
+    return orders.withColumns({**{c: F.when(~gone(i, share), F.col(c)) for i, (c, share) in enumerate((("phone", 45), ("device", 50), ("addr", 45), ("ip", 40)))},
+                               "card": F.when(gone(9, 30), F.concat(F.lit("c"), F.col("seq") % 7))})
+
+
+@pytest.mark.parametrize("published,guard,hot_rows,seed", [(True, True, 1_000_000, 1), (False, True, 10, 2), (False, False, 1_000_000, 3)])
+def test_rings_without_phones_equal_replay(spark, published, guard, hot_rows, seed):
+    orders = holes(make_orders(spark, crowd(110, 5 + seed)), seed)
+    rows = [r.asDict() for r in orders.collect()]
+    assert any(not any(r[k] for k in ("phone", "device", "addr", "vpa", "card")) for r in rows)
+    hashed = graph.hashed_orders(orders, graph.ALL_KINDS)
+    got = {r["seq"]: (r["ring_size"], r["ring_phones"], round(r["ring_rto_rate"], 9), r["is_ring"], r["entity_max_degree"], r["entity_shared"])
+           for r in graph.ring_features(hashed, published=published, guard=guard, hot_rows=hot_rows).collect()}
+    assert got == ring_features(rows, published=published, guard=guard)
+
+
 def test_new_phone_on_a_ring_device_sees_the_ring_first(spark):
     rows = [(f"b{i}", "dev", "drop", None, None, True) for i in range(6)] + [("new", "dev", "fresh", None, None, False)]
     last = [r for r in graph.ring_features(graph.hashed_orders(make_orders(spark, rows))).collect() if r["seq"] == 6][0]
