@@ -313,6 +313,25 @@ def _best_ring(hashed: DataFrame, reads: DataFrame) -> DataFrame:
         F.coalesce("entity_shared", F.lit(False)).alias("entity_shared")))
 
 
+def published_rings(hashed: DataFrame, *, guard: bool = True, ceiling: int = ADDR_MERGE_CEILING) -> DataFrame:
+    """What the graph publishes of each node after all of `hashed`: its ring's numbers and its own degree."""
+    hashed = cut_lineage(hashed)
+    comps = components(hashed, guard=guard, ceiling=ceiling)
+    stats = ring_statistics(hashed, comps, guard=guard, ceiling=ceiling)
+    numbers = stats.select(F.col("component").alias("comp"), *[F.col(c).alias(f"r_{c}") for c in _STATS])
+    own = node_degrees(edge_list(hashed))
+    shared = is_shared(F.col("node"), F.col("degree"), F.col("phones"))
+    return (comps.withColumnRenamed("component", "comp").join(numbers, "comp").join(own, "node", "left")
+            .select("node", "comp", F.col("comp").alias("r_name"), *[f"r_{c}" for c in _STATS], F.coalesce("degree", F.lit(0)).alias("_degree"),
+                    F.coalesce(shared, F.lit(False)).alias("_shared")))
+
+
+def looked_up_rings(hashed: DataFrame, published: DataFrame) -> DataFrame:
+    """Ring features of orders from numbers published before, as the serving side reads them."""
+    reads = order_entities(hashed).select(F.col("seq").alias("read_seq"), F.col("kind").alias("node_kind"), "node").join(published, "node")
+    return _best_ring(hashed, reads)
+
+
 def degrees_over_time(hashed: DataFrame, *, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Degree of each of an order's nodes just before the order."""
     links = both_ways(edge_list(hashed)).select("node", "ts", "seq", F.lit(1).alias("sub"), F.lit(1).alias("link"))

@@ -143,6 +143,11 @@ def velocity(orders: DataFrame, *, cutoff: datetime | None = None, hot_rows: int
         at("pin", "_n").alias("pin_orders"), at("pin", "_gmv").alias("_pin_gmv"),
         at("pin", "_rto").alias("_pin_rto"), at("pin", "_delivered").alias("_pin_del"),
     )
+    return velocity_columns(wide)
+
+
+def velocity_columns(wide: DataFrame) -> DataFrame:
+    """Velocity features from the counts that an order's entities had just before it, one row per order."""
     rate = {e: smoothed_rate(F.col(f"_{e}_rto"), F.col(f"_{e}_del"), GLOBAL_RTO_PRIOR, K_ENTITY)
             for e in ("phone", "device", "addr")}
     attempts = F.col("_pin_rto") + F.col("_pin_del")

@@ -1,5 +1,5 @@
 """Registered queries, by section, with their oracle SQL."""
-from . import history, ingest, learning, models, moments, policy, rings  # noqa: F401
+from . import history, ingest, learning, models, moments, policy, rings, vectors  # noqa: F401
 from .policy import flagship
 from .registry import ORACLES, QUERIES
 

@@ -106,5 +106,3 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = pit.point_in_time_inputs(lens.orders(spark, sf_dir))
     return pit.assemble_features(orders, pit.velocity(orders), graph.ring_features(graph.hashed_orders(orders)))
 
-
-add("c14_feature_vector", lambda s, d: features(s, d).select("order_id", *pit.FEATURE_NAMES))

@@ -174,18 +174,6 @@ add("a18_status_counts", lambda s, d: lens.raw_orders(s, d).select(F.expr(MARKET
     sql('SELECT "Status" AS status, count(*) AS n FROM market GROUP BY 1', "market"))
 
 
-def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order with its feature vector; written by month and read back."""
-    orders = pit.point_in_time_inputs(lens.orders(spark, sf_dir))
-    features = pit.assemble_features(orders, pit.velocity(orders), graph.ring_features(graph.hashed_orders(orders)))
-    clash = [c for c in features.columns if c in orders.columns and c != "seq"]
-    full = orders.drop(*clash).join(features, "seq").withColumnRenamed("phone_is_new", "is_new_customer")
-    path = run_folder(spark, "features")
-    full.withColumn("order_month", F.date_format("ts", "yyyy-MM")).write.partitionBy("order_month").parquet(path)
-    return spark.read.parquet(path)
-
-
-add("a19_feature_table", feature_table)
 add("a20_world_summary", lambda s, d: lens.orders(s, d).agg(
     F.count("*").alias("orders"), F.countDistinct("phone").alias("phones"), F.countDistinct("device").alias("devices"),
     F.round(F.avg((F.col("payment_method") == "COD").cast("double")), 6).alias("cod_share"),

@@ -210,25 +210,6 @@ add("j2_rolling_hour_streamed", lambda s, d: stream_windows(s, d, J.rolling_hour
     sql("SELECT k AS bucket, " + _counts + " FROM ev, LATERAL (SELECT unnest(range(bucket, bucket + 12)) AS k) GROUP BY 1", "ev"))
 
 
-def streamed_decisions(spark: SparkSession, sf_dir: str, again: int | None = None) -> DataFrame:
-    """Events as orders: parsed, scored, decided per micro-batch and written to the ledger; each `again`-th order is sent twice."""
-    def decide_batch(df: DataFrame) -> DataFrame:
-        o = df.withColumns({"cart_gmv": F.col("value") * 5, "merchant_margin": F.lit(0.18), "cac": F.lit(300.0), "is_new_customer": F.lit(False),
-                            "weight_grams": F.lit(450.0), "addr_defect_score": F.lit(0.0), "in0": F.col("p") <= Q0, "in1": (1.0 - F.col("p")) <= Q1})
-        return decide.resolve(price_orders(o)).select("order_id", "ts", "p", "certainty", "action", F.round("saving_vs_allow", 4).alias("saving_vs_allow"))
-
-    sent = event_stream(spark, sf_dir)
-    if again:
-        sent = sent.unionByName(event_stream(spark, sf_dir).filter(F.col("seq") % again == 0))
-    stream = J.unique_orders(sent.withColumn("order_id", F.concat(F.lit("e"), "seq")), horizon="60 days")
-    return spark.read.parquet(drained(spark, "score", stream, "append", lambda path: J.scoring_sink(decide_batch, path))).drop("batch_id")
-
-
-add("j8_streamed_decisions", streamed_decisions)
-add("j13_duplicates_suppressed", lambda s, d: streamed_decisions(s, d, again=10).agg(F.count("*").alias("orders"), F.countDistinct("order_id").alias("order_ids")),
-    "SELECT count(DISTINCT event_id) AS orders, count(DISTINCT event_id) AS order_ids FROM events")
-
-
 def stretched(ev: DataFrame, times: int) -> DataFrame:
     """Events spread over `times` as long a span, from 2024 on."""
     start = 1_704_067_200_000_000

@@ -98,35 +98,6 @@ add("g16_propensity", lambda s, d: served(s, d).select("order_id", F.round("prop
 add("g17_ipw_weight", lambda s, d: served(s, d).select("order_id", F.round(D.ipw_weight(F.col("served_action"), F.col("propensity")), 9).alias("weight")),
     sql("SELECT order_id, CASE WHEN served_action = 'ALLOW_COD' THEN least(20e0, round(1 / propensity, 9)) ELSE 0e0 END AS weight FROM served", "served"))
 
-# a fixed linear score stands in for a fitted one
-COEFFICIENTS = {"gmv_log": 0.35, "pin_tier": 0.25, "addr_defect_score": 1.8, "addr_has_house_no": -0.4, "coupon_applied": 0.2,
-                "checkout_seconds_log": -0.3, "hour_sin": 0.5, "hour_cos": 0.45, "is_cod": 0.1}
-MEANS = {"gmv_log": 7.0, "pin_tier": 2.5, "addr_defect_score": 0.5, "addr_has_house_no": 0.5, "coupon_applied": 0.33, "checkout_seconds_log": 4.5, "is_cod": 0.7}
-
-
-def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reason codes of every order that meets friction; an allowed order needs none."""
-    df = decided(spark, sf_dir).filter(F.col("action") != "ALLOW_COD").withColumns({
-        "gmv_log": pit.log1p_floor(F.col("cart_gmv")), "checkout_seconds_log": pit.log1p_floor(F.col("checkout_seconds")),
-        "hour_sin": F.sin(pit.hour_angle(F.col("hour_of_day"))), "hour_cos": F.cos(pit.hour_angle(F.col("hour_of_day"))), "is_cod": F.lit(1.0)})
-    return D.reason_codes(df, D.linear_contributions(COEFFICIENTS, MEANS), ["order_id", "action"])
-
-
-_feature_sql = {"gmv_log": "ln(1 + cart_gmv)", "pin_tier": "CAST(pin_tier AS DOUBLE)", "addr_defect_score": "addr_defect_score", "addr_has_house_no": "CAST(house AS DOUBLE)",
-                "coupon_applied": "CAST(coupon_applied AS DOUBLE)", "checkout_seconds_log": "ln(1 + checkout_seconds)", "hour_sin": "sin(2 * pi() * hour_of_day / 24)",
-                "hour_cos": "cos(2 * pi() * hour_of_day / 24)", "is_cod": "1e0"}
-_codes = {f: code for f, code, _ in D.REASON_CODES}
-_rank = {f: i for i, (f, _, _) in enumerate(D.REASON_CODES)}
-cte("contrib", " UNION ALL ".join(
-    f"SELECT order_id, action, '{_codes[f]}' AS code, '{f}' AS feature, {_rank[f]} AS i, {e} AS v, {COEFFICIENTS[f]}e0 * ({e} - {MEANS.get(f, 0.0)}e0) AS c FROM decided WHERE action <> 'ALLOW_COD'"
-    for f, e in _feature_sql.items()), "decided")
-add("g18_reason_codes", lambda s, d: explained(s, d).select("order_id", "rank", "code", "feature", "direction", "contribution"),
-    sql("""SELECT order_id, rank, code, feature, CASE WHEN c > 0 THEN 'RISK_UP' ELSE 'RISK_DOWN' END AS direction, round(c, 4) AS contribution FROM (
- SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY abs(c) DESC, i) AS rank FROM (
-  SELECT * FROM contrib WHERE abs(c) >= 0.05e0 QUALIFY row_number() OVER (PARTITION BY order_id, code ORDER BY abs(c) DESC, i) = 1)) WHERE rank <= 4""", "contrib"))
-add("g19_explained_only_when_frictioned", lambda s, d: explained(s, d).groupBy("action").agg(F.countDistinct("order_id").alias("orders")),
-    sql("SELECT action, count(DISTINCT order_id) AS orders FROM contrib WHERE abs(c) >= 0.05e0 GROUP BY 1", "contrib"))
-
 # ------------------------------------------------------------------ H
 SUMMARY = {"n": None, "pnl_total": 2, "pnl_per_order": 4, "pnl_per_1000_gmv": 4, "n_allow": None, "n_stepup": None, "n_prepaid": None, "friction_share": 6,
            "rto_shipped": 4, "rto_prevented": 4, "good_lost": 4, "good_frictioned": None, "bad_frictioned": None, "pnl_good": 2, "pnl_bad": 2}

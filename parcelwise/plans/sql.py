@@ -16,6 +16,12 @@ def cte(name: str, body: str, *needs: str) -> None:
     _CTES[name] = (needs, body)
 
 
+def again(name: str, new: str, old_source: str, new_source: str) -> None:
+    """A known table expression over another source."""
+    needs, body = _CTES[name]
+    cte(new, body.replace(old_source, new_source), *[new_source if n == old_source else n for n in needs])
+
+
 def sql(select: str, *needs: str) -> str:
     """SELECT with the tables it needs, and theirs, in front."""
     order: list[str] = []

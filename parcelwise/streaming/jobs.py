@@ -10,7 +10,9 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +57,26 @@ def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, off the heap; each remembers its provider."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    former = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if former is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, former)
+
+
+def state_rows(query: StreamingQuery) -> int:
+    """Rows that a query's state holds, over its operators, as of its last progress."""
+    return sum(op.numRowsTotal for op in query.lastProgress.stateOperators) if query.lastProgress else 0
+
+
 def batch_folder_sink(path: str) -> Callable[[DataFrame, int], None]:
     """Each micro-batch owns one partition folder, so a replayed batch overwrites itself."""
     def write(df: DataFrame, batch_id: int) -> None:
@@ -160,6 +182,110 @@ def late_splitter(on_time: str, late: str, clock: str, delay_seconds: int, ts: s
     return route
 
 
+# ------------------------------------------------------------------ orders scored with what their entities did before
+#: Times in payloads keep their microseconds.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+#: Look-back of the recent count by entity, in microseconds.
+LOOK_BACK = {"phone": 30 * 86_400_000_000, "device": 86_400_000_000}
+READ_SCHEMA = "seq long, entity string, n long, recent long, rto long, delivered long, gmv double, first_at long, links long, payload string"
+
+
+class EntityReads(StatefulProcessor):
+    """For each order of one (entity, key): what the entity had done just before it. Then the order and its outcome are taken in.
+
+    Rows of a micro-batch are taken in event order, batches as they come. A micro-batch's rows of one key are held at once, so the
+    trigger's size bounds them; between batches only counts, the 40 latest times and the related ids stay, off the heap.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "orders long, rto long, delivered long, gmv double, first_at long")
+        self.recent = handle.getListState("recent", "at long")
+        self.others = handle.getMapState("others", "other string", "seen boolean")
+        self.links = handle.getValueState("links", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["at", "kind", "seq"], kind="stable")
+        n0, r0, d0, g0, first = self.counts.get() if self.counts.exists() else (0, 0, 0, 0.0, None)
+        past = np.array([x[0] for x in self.recent.get()] if self.recent.exists() else [], np.int64)
+        links0 = self.links.get()[0] if self.links.exists() else 0
+        placed, at = (pdf["kind"] == 0).to_numpy(), pdf["at"].to_numpy(np.int64)
+        bad, good = ((pdf["kind"].eq(1) & pdf["rto"].eq(v)).to_numpy() for v in (True, False))
+        gmv = np.where(placed, pdf["gmv"].to_numpy(float), 0.0)
+        before = lambda x: np.cumsum(x) - x
+        fresh = np.zeros(len(pdf), bool)
+        named = placed & pdf["other"].notna().to_numpy()
+        new = pdf["other"].where(named).drop_duplicates().dropna()
+        unknown = set(o for o in new if not self.others.containsKey((o,)))
+        if unknown:
+            met = set()
+            for i in np.flatnonzero(named):
+                o = pdf["other"].iat[i]
+                if o in unknown and o not in met:
+                    met.add(o)
+                    fresh[i] = True
+                    self.others.updateValue((o,), (True,))
+        times = np.concatenate([past, at[placed]])
+        index = len(past) + np.arange(placed.sum())
+        oldest = np.searchsorted(times, at[placed] - LOOK_BACK.get(key[0], 0), "left")
+        recent = np.minimum(RECENT_CAP, index - oldest) if key[0] in LOOK_BACK else np.zeros(len(index), np.int64)
+        start = first if first is not None else (int(at[placed][0]) if placed.any() else None)
+        had = n0 + before(placed.astype(np.int64))[placed]
+        if placed.any():
+            yield pd.DataFrame({
+                "seq": pdf["seq"].to_numpy()[placed], "entity": key[0], "n": had, "recent": recent, "rto": r0 + before(bad.astype(np.int64))[placed],
+                "delivered": d0 + before(good.astype(np.int64))[placed], "gmv": g0 + before(gmv)[placed],
+                "first_at": pd.array([start if h else None for h in had], "Int64"), "links": links0 + before(fresh.astype(np.int64))[placed],
+                "payload": pdf["payload"].to_numpy()[placed]})
+        self.counts.update((n0 + int(placed.sum()), r0 + int(bad.sum()), d0 + int(good.sum()), g0 + float(gmv.sum()), start))
+        self.links.update((links0 + int(fresh.sum()),))
+        if len(times):
+            self.recent.put([(int(t),) for t in np.sort(times)[-RECENT_CAP:]])
+
+    def close(self) -> None:
+        pass
+
+
+def read_events(placed: DataFrame, resolved: DataFrame, payload: list[str]) -> DataFrame:
+    """Rows for `EntityReads` from a stream of orders and one of outcomes.
+
+    Both carry seq, phone, device, addr and delivery_pin; orders (ts, cart_gmv), outcomes (ts, rto). The phone's row takes the
+    order's columns in `payload` along as JSON.
+    """
+    def rows(df: DataFrame, kind: int, gmv: Column, rto: Column, body: Column) -> DataFrame:
+        def of(entity: str, c: str, other: str | None) -> Column:
+            return F.struct(F.lit(entity).alias("entity"), F.coalesce(F.col(c), F.lit("")).alias("key"),
+                            (F.coalesce(F.col(other), F.lit("")) if other else F.lit(None).cast("string")).alias("other"),
+                            (body if entity == "phone" else F.lit(None).cast("string")).alias("payload"))
+        each = F.inline(F.array(of("phone", "phone", "device"), of("device", "device", "phone"), of("addr", "addr", "phone"), of("pin", "delivery_pin", None)))
+        return df.select("seq", F.lit(kind).alias("kind"), F.unix_micros("ts").alias("at"), gmv.cast("double").alias("gmv"), rto.cast("boolean").alias("rto"), each)
+
+    none = F.lit(None)
+    orders = rows(placed, 0, F.col("cart_gmv"), none, F.to_json(F.struct(*payload), _JSON))
+    return orders.unionByName(rows(resolved, 1, none, F.col("rto"), none.cast("string")))
+
+
+def entity_reads_stream(events: DataFrame) -> DataFrame:
+    """A row for each order and entity with what was known before. Needs the RocksDB state store."""
+    return events.groupBy("entity", "key").transformWithStateInPandas(
+        statefulProcessor=EntityReads(), outputStructType=READ_SCHEMA, outputMode="Append", timeMode="None")
+
+
+def order_reads(reads: DataFrame, payload: StructType) -> tuple[DataFrame, DataFrame]:
+    """(orders, counts per order as `pit.velocity_columns` takes them) of a micro-batch of reads."""
+    def at(entity: str, col: str) -> Column:
+        return F.max(F.when(F.col("entity") == entity, F.col(col)))
+
+    own = {"phone": "phone_distinct_devices", "device": "device_distinct_phones", "addr": "addr_distinct_phones"}
+    wide = reads.groupBy("seq").agg(
+        F.max("payload").alias("_payload"), at("phone", "n").alias("phone_orders_total"), at("phone", "recent").alias("_phone_recent"),
+        F.timestamp_micros(at("phone", "first_at")).alias("_phone_first"), at("device", "recent").alias("_device_recent"),
+        *[at(e, c).alias(f"_{e}_{'rto' if c == 'rto' else 'del'}") for e in ("phone", "device", "addr", "pin") for c in ("rto", "delivered")],
+        *[at(e, "links").alias(name) for e, name in own.items()], at("pin", "n").alias("pin_orders"), at("pin", "gmv").alias("_pin_gmv"))
+    wide = wide.withColumn("_o", F.from_json("_payload", payload, _JSON)).drop("_payload")
+    orders = wide.select("seq", "_o.*")
+    return orders, wide.withColumns({"order_id": F.col("_o.order_id"), "ts": F.col("_o.ts")}).drop("_o")
+
+
 # ------------------------------------------------------------------ entity state
 STATE_SCHEMA = ("entity string, key string, salt int, orders long, rto long, delivered long, gmv double, first_ts double, "
                 "last_ts double, recent array<double>, new_others array<string>")

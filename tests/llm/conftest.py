@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-import docs as _docs  # noqa: E402
+import awkward_docs as _docs  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -9,7 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from docs import prose
+from awkward_docs import prose
 from pyspark.sql import functions as F
 
 from parcelwise.llm import op1_spotsigs, op2_ngram_join, op3_pitman_yor, op4_secrets, op7_line_crf, op8_packing, op9_mixing

@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from docs import prose
+from awkward_docs import prose
 from test_documents import brute_components
 
 from parcelwise.llm import op7_line_crf
