@@ -15,6 +15,7 @@ from ..operators import response as R
 from ..operators.running import with_position
 from ..session import cut_lineage
 from ..sources import lens
+from ..sources.state_table import StateTable
 from ..streaming import jobs as J
 from .models import decided, split_frame
 from .registry import add
@@ -78,6 +79,18 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("a28_estimate_state_merge", lambda s, d: merged(s, d).select("segment", *R.COUNTS, *_r(R.SUMS, 6)), sql(f"SELECT segment, n_stepup, n_paid, n_prepaid, {_rq(R.SUMS, 6)} FROM rstats", "rstats"))
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums kept as versioned state: three batches, of which the second comes three times, once after the third."""
+    o = cut_lineage(observations(spark, sf_dir))
+    state = StateTable(spark, J.run_folder(spark, "estimates"), lambda rows: R.merge_statistics(rows.limit(0), rows), max_parts=2)
+    for batch in (0, 1, 1, 2, 1):
+        state.commit(R.statistics(o.filter(F.col("seq") % 3 == batch)), "outcomes", batch)
+    head = state.head()
+    return state.read(head).withColumn("version", F.lit(head["version"]).cast("bigint"))
+
+
+add("a28_estimate_state_replayed", lambda s, d: replayed(s, d).select("segment", "version", *R.COUNTS, *_r(R.SUMS, 6)),
+    sql(f"SELECT segment, 3 AS version, n_stepup, n_paid, n_prepaid, {_rq(R.SUMS, 6)} FROM rstats", "rstats"))
 add("i1_sufficient_statistics", lambda s, d: stats(s, d).select("segment", "n_stepup", "n_prepaid", *_r(("s11", "s12", "s22", "t1", "t2", "q11", "q12", "q22", "u1", "u2"), 6)),
     sql(f"SELECT segment, n_stepup, n_prepaid, {_rq(('s11', 's12', 's22', 't1', 't2', 'q11', 'q12', 'q22', 'u1', 'u2'), 6)} FROM rstats", "rstats"))
 add("i2_residual_statistics", lambda s, d: stats(s, d).select("segment", "n_paid", *_r(("ww", "wr"), 6)), sql("SELECT segment, n_paid, round(ww, 6) AS ww, round(wr, 6) AS wr FROM rstats", "rstats"))
@@ -247,6 +260,27 @@ add("j11_expired_orders", lambda s, d: s.read.parquet(drained(s, "join", joined_
 WHERE (event_id % 4 = 0 OR event_id % 40 > 30) AND t + INTERVAL 30 DAY < (
  SELECT least(max(t), max(t + to_days(CAST(event_id % 40 AS INTEGER))) FILTER (event_id % 4 <> 0)) - INTERVAL 1 DAY
  FROM (SELECT event_id, TIMESTAMP '2024-01-01' + to_microseconds((epoch_us(ts) - 1704067200000000) * 3) AS t FROM events WHERE event_type <> 'error'))""")
+
+
+def bounded_pending(spark: SparkSession, sf_dir: str, limit: int = 25, ranges: int = 16) -> DataFrame:
+    """Fates under a small bound: every fourth order never has an outcome, the others have one within seven hours."""
+    ev = event_stream(spark, sf_dir).filter("event_type <> 'error'")
+    own = [(F.col("seq") % ranges).alias("range"), F.concat(F.lit("e"), "seq").alias("order_id")]
+    orders = ev.select(*own, F.lit(0).alias("kind"), F.unix_micros("ts").alias("at"), "seq", F.lit(None).cast("boolean").alias("rto"), F.col("value").cast("string").alias("payload"))
+    late = F.unix_micros("ts") + (F.col("seq") % 7 + 1) * 3_600_000_000
+    ev2 = event_stream(spark, sf_dir).filter("event_type <> 'error' and seq % 4 <> 0")
+    outcomes = ev2.select(*own, F.lit(1).alias("kind"), late.alias("at"), "seq", (F.col("seq") % 5 == 0).alias("rto"), F.lit(None).cast("string").alias("payload"))
+    with J.state_in_rocksdb(spark):
+        return spark.read.parquet(drained(spark, "pending", J.pending_stream(orders.unionByName(outcomes), limit), "append")).drop("batch_id")
+
+
+cte("waits", """SELECT event_id AS seq, event_id % 16 AS r, epoch_us(ts) AS at, CASE WHEN event_id % 4 <> 0 THEN epoch_us(ts) + (event_id % 7 + 1) * 3600000000 END AS done,
+ row_number() OVER (PARTITION BY event_id % 16 ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'error'""")
+cte("pushed", """SELECT DISTINCT seq FROM (SELECT k.seq, row_number() OVER (PARTITION BY j.r, j.n ORDER BY k.n DESC) AS newer FROM waits j JOIN waits k
+ ON j.r = k.r AND k.n <= j.n AND (k.done IS NULL OR k.done >= j.at)) WHERE newer > 25""", "waits")
+add("j11_retention_by_count", lambda s, d: bounded_pending(s, d).filter("fate <> 'unknown'").select("order_id", "fate", "rto"),
+    sql("""SELECT 'e' || seq AS order_id, 'evicted' AS fate, NULL AS rto FROM pushed UNION ALL
+SELECT 'e' || seq, 'outcome', seq % 5 = 0 FROM waits WHERE done IS NOT NULL AND seq NOT IN (SELECT seq FROM pushed)""", "waits", "pushed"))
 add("j12_expired_windows", lambda s, d: s.read.parquet(drained(s, "closed", J.drift_window_stream(scored_events(event_stream(s, d))), "append")).select("bucket", *MEASURES),
     sql(f"SELECT bucket, {_counts} FROM ev GROUP BY 1 HAVING (bucket + 1) * 300 <= (SELECT epoch(max(ts)) FROM ev) - 70 * 60", "ev"))
 
@@ -268,21 +302,14 @@ UNION ALL SELECT 'response', count(*) FILTER (event_id % 3 <> 0) FROM events WHE
 
 
 def entity_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entity state kept by a stateful stream over the events lens, merged over its salts."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    former = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        ev = event_stream(spark, sf_dir).select(
-            F.concat(F.lit("e"), "seq").alias("order_id"), (F.col("event_type") == "error").cast("int").alias("kind"), "ts", F.col("user").alias("phone"), "device",
-            F.col("user").alias("addr"), F.lit("110001").alias("delivery_pin"), F.col("value").alias("cart_gmv"), (F.col("seq") % 2 == 0).alias("rto"))
-        out = drained(spark, "entities", J.entity_state_stream(ev, salts=4), "update")
-    finally:
-        if former is None:
-            spark.conf.unset(provider)
-        else:
-            spark.conf.set(provider, former)
-    return J.merge_entity_state(spark.read.parquet(out))
+    """Entity state that a stream adds to batch by batch; the source is read in pieces, so that there are several."""
+    ev = event_stream(spark, sf_dir).select(
+        F.concat(F.lit("e"), "seq").alias("order_id"), (F.col("event_type") == "error").cast("int").alias("kind"), "ts", F.col("user").alias("phone"), "device",
+        F.col("user").alias("addr"), F.lit("110001").alias("delivery_pin"), F.col("value").alias("cart_gmv"), (F.col("seq") % 2 == 0).alias("rto"))
+    folder = J.run_folder(spark, "entities")
+    state = StateTable(spark, f"{folder}/state", J.merge_entity_rows)
+    J.start(ev, state.sink("events", J.entity_delta), f"{folder}/ckpt").awaitTermination()
+    return J.entity_states(state.read())
 
 
 _state = lambda e, k, o: f"""SELECT '{e}' AS entity, {k} AS key, count(*) FILTER (event_type <> 'error') AS orders, count(*) FILTER (event_type = 'error' AND event_id % 2 = 0) AS rto,

@@ -15,7 +15,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -286,82 +286,107 @@ def order_reads(reads: DataFrame, payload: StructType) -> tuple[DataFrame, DataF
     return orders, wide.withColumns({"order_id": F.col("_o.order_id"), "ts": F.col("_o.ts")}).drop("_o")
 
 
-# ------------------------------------------------------------------ entity state
-STATE_SCHEMA = ("entity string, key string, salt int, orders long, rto long, delivered long, gmv double, first_ts double, "
-                "last_ts double, recent array<double>, new_others array<string>")
-_COUNTS = "orders long, rto long, delivered long, gmv double, first_ts double, last_ts double"
+# ------------------------------------------------------------------ pending orders, bounded by count
+PENDING_SCHEMA = "range long, order_id string, fate string, rto boolean, payload string"
+MAX_PENDING = 50_000
 
 
-class EntityState(StatefulProcessor):
-    """Counts, the 40 latest order times and the related ids of one (entity, key, salt).
+class PendingOrders(StatefulProcessor):
+    """Orders of one key range that wait for their outcome, at most `limit` of them: the oldest still unclaimed goes first.
 
-    Every part combines regardless of arrival order, so a hot key may be spread over several salts and a
-    micro-batch needs no sorting. A related id is emitted once, when it is first seen.
+    Emits an order with its outcome, an order that is evicted, and an outcome whose order is not (or no longer) known. An order that
+    comes again moves to the end. The state of a range is at most `limit` rows, read and written once for each micro-batch.
     """
 
+    def __init__(self, limit: int = MAX_PENDING):
+        self.limit = limit
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", _COUNTS)
-        self.recent = handle.getListState("recent", "ts double")
-        self.others = handle.getMapState("others", "other string", "seen boolean")
+        self.open = handle.getListState("open", "order_id string, payload string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        o, r, d, g, first, last = self.counts.get() if self.counts.exists() else (0, 0, 0, 0.0, None, None)
-        recent = [x[0] for x in self.recent.get()] if self.recent.exists() else []
-        fresh: list[str] = []
-        for pdf in rows:
-            placed = pdf[pdf["kind"] == 0]
-            r += int((pdf["kind"].eq(1) & pdf["rto"].eq(True)).sum())
-            d += int((pdf["kind"].eq(1) & pdf["rto"].eq(False)).sum())
-            if len(placed):
-                o, g = o + len(placed), g + float(placed["gmv"].sum())
-                lo, hi = float(placed["ts"].min()), float(placed["ts"].max())
-                first, last = (lo if first is None else min(first, lo)), (hi if last is None else max(last, hi))
-                recent = sorted(recent + placed["ts"].nlargest(RECENT_CAP).tolist())[-RECENT_CAP:]
-                for other in placed["other"].dropna().unique():
-                    if not self.others.containsKey((other,)):
-                        self.others.updateValue((other,), (True,))
-                        fresh.append(other)
-        self.counts.update((o, r, d, g, first, last))
-        if recent:
-            self.recent.put([(t,) for t in recent])
-        yield pd.DataFrame([{
-            "entity": key[0], "key": key[1], "salt": key[2], "orders": o, "rto": r, "delivered": d, "gmv": g, "first_ts": first,
-            "last_ts": last, "recent": recent, "new_others": fresh}])
+        waiting = dict(self.open.get()) if self.open.exists() else {}  # a dict keeps the order of arrival
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["at", "kind", "seq"], kind="stable").itertuples(index=False):
+            if r.kind == 0:
+                waiting.pop(r.order_id, None)
+                waiting[r.order_id] = r.payload
+                if len(waiting) > self.limit:
+                    oldest = next(iter(waiting))
+                    out.append((oldest, "evicted", None, waiting.pop(oldest)))
+            elif r.order_id in waiting:
+                out.append((r.order_id, "outcome", r.rto, waiting.pop(r.order_id)))
+            else:
+                out.append((r.order_id, "unknown", r.rto, None))
+        if waiting:
+            self.open.put(list(waiting.items()))
+        else:
+            self.open.clear()
+        if out:
+            pdf = pd.DataFrame(out, columns=["order_id", "fate", "rto", "payload"])
+            pdf.insert(0, "range", key[0])
+            pdf["rto"] = pdf["rto"].astype("boolean")
+            yield pdf
 
     def close(self) -> None:
         pass
 
 
-def entity_events(events: DataFrame, salts: int = 8) -> DataFrame:
-    """Orders (kind 0) and outcomes (kind 1) per entity: entity, key, salt, kind, ts seconds, gmv, rto, other.
+def pending_stream(events: DataFrame, limit: int = MAX_PENDING) -> DataFrame:
+    """Fates of orders, from a stream of (range, order_id, kind 0 order or 1 outcome, at micros, seq, rto, payload)."""
+    return events.groupBy("range").transformWithStateInPandas(
+        statefulProcessor=PendingOrders(limit), outputStructType=PENDING_SCHEMA, outputMode="Append", timeMode="None")
+
+
+# ------------------------------------------------------------------ entity state
+_SUMS = ("orders", "rto", "delivered", "gmv")
 
-    events: order_id, kind, ts, phone, device, addr, delivery_pin, cart_gmv, rto. An order is salted by its id.
+
+def entity_events(events: DataFrame) -> DataFrame:
+    """Orders (kind 0) and outcomes (kind 1) per entity: entity, key, kind, ts seconds, gmv, rto, other.
+
+    events: order_id, kind, ts, phone, device, addr, delivery_pin, cart_gmv, rto.
     """
     def of(entity: str, c: str, other: str | None) -> Column:
         return F.struct(F.lit(entity).alias("entity"), F.coalesce(F.col(c), F.lit("")).alias("key"),
                         (F.col(other) if other else F.lit(None)).cast("string").alias("other"))
     rows = F.inline(F.array(of("phone", "phone", "device"), of("device", "device", "phone"), of("addr", "addr", "phone"),
                             of("pin", "delivery_pin", None)))
-    return events.select(F.pmod(F.xxhash64("order_id"), F.lit(salts)).cast("int").alias("salt"), "kind",
-                         (F.unix_micros("ts") / 1e6).alias("ts"), F.col("cart_gmv").alias("gmv"), "rto", rows)
-
-
-def entity_state_stream(events: DataFrame, salts: int = 8) -> DataFrame:
-    """Latest partial state per (entity, key, salt) after each micro-batch. Needs the RocksDB state store."""
-    return (entity_events(events, salts).groupBy("entity", "key", "salt")
-            .transformWithStateInPandas(statefulProcessor=EntityState(), outputStructType=STATE_SCHEMA,
-                                        outputMode="Update", timeMode="None"))
-
-
-def merge_entity_state(emitted: DataFrame) -> DataFrame:
-    """Whole state per entity, from every emitted row (with its `batch_id`)."""
-    last = emitted.groupBy("entity", "key", "salt").agg(
-        F.max(F.struct("batch_id", "orders", "rto", "delivered", "gmv", "first_ts", "last_ts", "recent")).alias("s"))
-    sums = last.groupBy("entity", "key").agg(
-        *[F.sum(f"s.{c}").alias(c) for c in ("orders", "rto", "delivered", "gmv")],
-        F.min("s.first_ts").alias("first_ts"), F.max("s.last_ts").alias("last_ts"),
-        # at most salts x 40 times
-        F.slice(F.sort_array(F.flatten(F.collect_list("s.recent")), asc=False), 1, RECENT_CAP).alias("recent"))
-    distinct = (emitted.select("entity", "key", F.explode("new_others").alias("o")).distinct()
-                .groupBy("entity", "key").agg(F.count(F.lit(1)).alias("distinct_others")))
-    return sums.join(distinct, ["entity", "key"], "left").na.fill(0, ["distinct_others"])
+    return events.select("kind", (F.unix_micros("ts") / 1e6).alias("ts"), F.col("cart_gmv").alias("gmv"), "rto", rows)
+
+
+def entity_delta(events: DataFrame) -> DataFrame:
+    """What a batch of events adds to the state of its entities.
+
+    Counts are summed before the shuffle, times are limited to the 40 latest of a key before it, related ids made distinct before it:
+    however many of a batch's events one key has, a task hands on one row, 40 times and its distinct ids.
+    """
+    rows = entity_events(events)
+    placed, done = F.col("kind") == 0, F.col("kind") == 1
+    sums = rows.groupBy("entity", "key").agg(
+        F.count_if(placed).alias("orders"), F.count_if(done & F.col("rto")).alias("rto"), F.count_if(done & ~F.col("rto")).alias("delivered"),
+        F.coalesce(F.sum(F.when(placed, F.col("gmv"))), F.lit(0.0)).alias("gmv"), F.min(F.when(placed, F.col("ts"))).alias("first_ts"),
+        F.max(F.when(placed, F.col("ts"))).alias("last_ts"))
+    latest = Window.partitionBy("entity", "key").orderBy(F.desc("ts"))
+    recent = (rows.filter(placed).select("entity", "key", "ts").withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= RECENT_CAP)
+              .groupBy("entity", "key").agg(F.sort_array(F.collect_list("ts"), asc=False).alias("recent")))
+    links = rows.filter(placed & F.col("other").isNotNull()).select("entity", "key", "other").distinct()
+    return sums.join(recent, ["entity", "key"], "left").unionByName(links, allowMissingColumns=True)
+
+
+def merge_entity_rows(rows: DataFrame) -> DataFrame:
+    """Rows of several deltas as one delta."""
+    sums = rows.filter(F.col("other").isNull()).groupBy("entity", "key").agg(
+        *[F.sum(c).alias(c) for c in _SUMS], F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+        # 40 times from each part that is left
+        F.slice(F.sort_array(F.flatten(F.collect_list("recent")), asc=False), 1, RECENT_CAP).alias("recent"))
+    links = rows.filter(F.col("other").isNotNull()).select("entity", "key", "other").distinct()
+    return sums.unionByName(links, allowMissingColumns=True)
+
+
+def entity_states(rows: DataFrame) -> DataFrame:
+    """One row for each entity of a merged state."""
+    distinct = rows.filter(F.col("other").isNotNull()).groupBy("entity", "key").agg(F.count(F.lit(1)).alias("distinct_others"))
+    own = rows.filter(F.col("other").isNull()).drop("other")
+    own = own.withColumn("recent", F.coalesce("recent", F.array().cast("array<double>")))
+    return own.join(distinct, ["entity", "key"], "left").na.fill(0, ["distinct_others"])
