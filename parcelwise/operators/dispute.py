@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DAY_SECONDS, HOT_KEY_ROWS
+from ..functions.canonical import canonical_json
 from ..functions.text import entity_hash
 from .components import first_k
 from .running import hot_keys, running_by_key
@@ -18,6 +19,10 @@ PRIMARY, SECONDARY = ("ip_hash", "device_hash"), ("addr_hash", "account_id")
 DEFAULT_DELAY_DAYS = 45
 FRAUD_REASON = "10.4"
 STANDARD = "Visa CE3.0"
+CRITERIA = ("reason_code_10_4", "prior_txns_in_120_365d_window", "prior_txns_undisputed", "prior_txns_with_2_matching_elements_incl_ip_or_device")
+NARRATIVE = ("Cardholder credential %s has %d undisputed prior transactions 120–365 days before the dispute, each sharing device fingerprint / IP "
+             "and shipping/account identifiers with the disputed transaction. Liability shift requested under Visa CE3.0.")
+NO_NARRATIVE = "CE3.0 criteria not satisfied; respond with standard compelling evidence."
 BUCKET_SECONDS = 35 * DAY_SECONDS
 
 
@@ -69,7 +74,7 @@ def prior_transactions(disputes: DataFrame, ledger: DataFrame) -> DataFrame:
     out = joined.withColumn("matched_elements", elements)
     return out.withColumn("qualifies", ~F.col("t_disputed") & (F.size("matched_elements") >= MIN_MATCH_ELEMENTS) & primary).select(
         "transaction_id", "d_ts", "t_transaction_id", "t_ts", "t_seq", "t_amount", "t_items", "t_delivered", "t_disputed",
-        "matched_elements", "qualifies", _days_before().alias("days_before_dispute"))
+        *[f"t_{e}" for e in PRIMARY + SECONDARY], "matched_elements", "qualifies", _days_before().alias("days_before_dispute"))
 
 
 def _window(d_ts: Column) -> tuple[Column, Column]:
@@ -172,12 +177,7 @@ def criteria(disputes: DataFrame, ledger: DataFrame, hot_rows: int = HOT_KEY_ROW
     net = lambda a, b: F.coalesce(F.col(a) - F.col(b), F.lit(0)).cast("bigint")
     j = j.withColumns({"in_window": net("_w", "_sw"), "undisputed": net("_u", "_su"), "matched": net("_m", "_sm")})
     found = F.col("d_ts").isNotNull()
-    flags = {
-        "reason_code_10_4": F.col("reason_code") == FRAUD_REASON,
-        "prior_txns_in_120_365d_window": F.col("in_window") >= MIN_PRIOR_TXNS,
-        "prior_txns_undisputed": F.col("undisputed") >= MIN_PRIOR_TXNS,
-        "prior_txns_with_2_matching_elements_incl_ip_or_device": F.col("matched") >= MIN_PRIOR_TXNS,
-    }
+    flags = dict(zip(CRITERIA, (F.col("reason_code") == FRAUD_REASON, *[F.col(n) >= MIN_PRIOR_TXNS for n in ("in_window", "undisputed", "matched")]), strict=True))
     ok = found
     for c in flags.values():
         ok = ok & c
@@ -218,26 +218,55 @@ def _days_before() -> Column:
     return F.round((F.unix_seconds("d_ts") - F.unix_seconds("t_ts")) / DAY_SECONDS).cast("int")
 
 
+def _listed(matches: DataFrame) -> DataFrame:
+    """Matches of each dispute as an array, newest first."""
+    hashes = F.struct(*[F.when(F.array_contains("matched_elements", e), F.col(f"t_{e}")).alias(e) for e in PRIMARY + SECONDARY])
+    item = F.struct((-F.unix_micros("t_ts")).alias("newest_first"), (-F.col("t_seq")).alias("last_first"), F.col("t_transaction_id").alias("transaction_id"),
+                    F.date_format("t_ts", "yyyy-MM-dd").alias("date"), "days_before_dispute", F.col("t_amount").alias("amount_inr"),
+                    F.col("t_items").alias("items"), F.col("t_delivered").alias("delivered"), "matched_elements", hashes.alias("element_hashes"))
+    return matches.groupBy("transaction_id").agg(F.sort_array(F.collect_list(item)).alias("_l")).select(
+        "transaction_id", F.transform("_l", lambda x: x.dropFields("newest_first", "last_first")).alias("prior_transactions"))
+
+
 def evidence(disputes: DataFrame, ledger: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Criteria with the two newest qualifying transactions, newest first, and for an eligible dispute the number of further ones.
+    """Criteria, the disputed transaction, its matches newest first, the number of further ones and the narrative.
 
-    A dispute with fewer than two shows what it has. An ineligible one has no further ones to count; its matches, of which a busy
-    card has many, are `matched` in number and listed as rows by `prior_transactions`.
+    An eligible dispute shows its two newest matches and counts the others. An ineligible one shows all: fewer than two, found by
+    number like those, unless it fails by its reason code alone; only such disputes meet their card's window row by row.
     """
-    m = newest_matches(disputes, ledger, hot_rows=hot_rows)
-    item = F.struct((-F.unix_micros("t_ts")).alias("newest_first"), F.col("t_transaction_id").alias("transaction_id"),
-                    F.date_format("t_ts", "yyyy-MM-dd").alias("date"), "days_before_dispute", F.col("t_amount").alias("amount"),
-                    F.col("t_items").alias("items"), F.col("t_delivered").alias("delivered"), "matched_elements")
-    # at most two rows per dispute are collected
-    lists = m.groupBy("transaction_id").agg(F.sort_array(F.collect_list(item)).alias("_l")).select(
-        "transaction_id", F.transform("_l", lambda x: x.dropFields("newest_first")).alias("prior_transactions"))
-    c = criteria(disputes, ledger, hot_rows).join(lists, "transaction_id", "left")
-    return c.withColumn("additional_prior_transactions", 
-                        F.when(F.col("eligible"), F.greatest(F.lit(0), F.col("matched") - MIN_PRIOR_TXNS)).otherwise(0).cast("bigint"))
+    c = criteria(disputes, ledger, hot_rows)
+    other_code = c.filter(~F.col("eligible") & (F.col("matched") > MIN_PRIOR_TXNS)).select("transaction_id")
+    full = prior_transactions(disputes.join(other_code, "transaction_id", "left_semi"), ledger).filter("qualifies")
+    few = newest_matches(disputes, ledger, hot_rows=hot_rows).join(other_code, "transaction_id", "left_anti")
+    shown = [c for c in few.columns if c in full.columns]
+    lists = _listed(few.select(*shown).unionByName(full.select(*shown)))
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    credential = F.concat(F.left("card_token", F.lit(8)), F.lit("…"))
+    about = _located(disputes, ledger).select("transaction_id", F.struct(
+        "transaction_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("amount").alias("amount_inr"), "items", credential.alias("credential"),
+        F.struct(*[text(e).alias(e) for e in PRIMARY + SECONDARY]).alias("elements")).alias("disputed_transaction"))
+    j = c.join(lists, "transaction_id", "left").join(about, "transaction_id", "left")
+    further = F.when(F.col("eligible"), F.greatest(F.lit(0), F.col("matched") - MIN_PRIOR_TXNS)).otherwise(0).cast("bigint")
+    story = F.format_string(NARRATIVE, F.col("disputed_transaction.credential"), F.col("matched"))
+    none = F.array().cast(lists.schema["prior_transactions"].dataType)
+    return j.withColumns({"prior_transactions": F.coalesce("prior_transactions", none), "additional_prior_transactions": further,
+                          "merchant_narrative": F.when(F.col("eligible"), story).otherwise(NO_NARRATIVE)})
+
+
+def packet() -> Column:
+    """The packet of an evidence row as a struct."""
+    passed = lambda n: F.col(f"pass_{n}").alias("pass")
+    counted = lambda n, c: F.struct(passed(n), F.col(c).alias("count")).alias(n)
+    window = F.struct(passed(CRITERIA[1]), F.col("in_window").alias("count"), F.array("window_from", "window_to").alias("window")).alias(CRITERIA[1])
+    criteria_ = F.struct(F.struct(passed(CRITERIA[0]), F.col("reason_code").alias("value")).alias(CRITERIA[0]), window,
+                         counted(CRITERIA[2], "undisputed"), counted(CRITERIA[3], "matched"))
+    shown = F.struct("disputed_transaction", "dispute_date", "prior_transactions", "additional_prior_transactions", "merchant_narrative")
+    return F.struct("transaction_id", F.lit(STANDARD).alias("standard"), criteria_.alias("criteria"), shown.alias("evidence"))
 
 
 def packets(disputes: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Evidence with its content hash: SHA-256 of the canonical JSON of the packet."""
-    e = evidence(disputes, ledger)
-    body = F.to_json(F.struct(*[F.col(c) for c in sorted(e.columns)], F.lit(STANDARD).alias("standard")))
-    return e.withColumn("packet_hash", F.when(F.col("dispute_date").isNull(), "").otherwise(F.sha2(body, 256)))
+    """Evidence with its packet as canonical JSON and the SHA-256 of that; a dispute without a transaction has neither."""
+    e = evidence(disputes, ledger).withColumn("_packet", packet())
+    text = canonical_json(F.col("_packet"), e.schema["_packet"].dataType, ("element_hashes",))
+    e = e.withColumn("packet", F.when(F.col("dispute_date").isNotNull(), text)).drop("_packet")
+    return e.withColumn("packet_hash", F.coalesce(F.sha2("packet", 256), F.lit("")))

@@ -369,7 +369,6 @@ FROM located d JOIN cards t ON t.card_token = d.card_token AND t.transaction_id
 cte("verdict", """SELECT *, NOT found AS missing, found AND reason_code = '10.4' AND in_window >= 2 AND undisputed >= 2 AND matched >= 2 AS eligible FROM (
  SELECT c.transaction_id, c.reason_code, l.d_ts, l.d_ts IS NOT NULL AS found, coalesce(w, 0) AS in_window, coalesce(u, 0) AS undisputed, coalesce(m, 0) AS matched FROM claims c LEFT JOIN located l USING (transaction_id)
  LEFT JOIN (SELECT transaction_id, count(*) AS w, count(*) FILTER (NOT t_disputed) AS u, count(*) FILTER (qualifies) AS m FROM prior GROUP BY 1) USING (transaction_id))""", "claims", "located", "prior")
-cte("shown", "SELECT * FROM prior WHERE qualifies QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY t_ts DESC, t_seq DESC) <= 2", "prior")
 add("k1_card_ledger", lambda s, d: ledger(s, d).select("transaction_id", "card_token", "ip_hash", "device_hash", "addr_hash", "account_id", "amount", "items", "disputed", "delivered"),
     sql("SELECT transaction_id, card_token, ip_hash, device_hash, addr_hash, account_id, amount, items, disputed, delivered FROM cards", "cards"))
 add("k2_dispute_candidates", lambda s, d: K.disputable(ledger(s, d)), sql("SELECT card_token, txns, transaction_id FROM latest", "latest"))
@@ -385,10 +384,28 @@ add("k6_criteria", lambda s, d: K.criteria(disputes(s, d), ledger(s, d)).select(
     sql("""SELECT transaction_id, reason_code, in_window, undisputed, matched, strftime(d_ts - to_days(365), '%Y-%m-%d') AS window_from, strftime(d_ts - to_days(120), '%Y-%m-%d') AS window_to, eligible,
  CASE WHEN missing THEN 'transaction not found in ledger' WHEN eligible THEN 'eligible: two or more qualifying prior transactions' WHEN reason_code <> '10.4' THEN 'failed: reason_code_10_4'
   WHEN in_window < 2 THEN 'failed: prior_txns_in_120_365d_window' WHEN undisputed < 2 THEN 'failed: prior_txns_undisputed' ELSE 'failed: prior_txns_with_2_matching_elements_incl_ip_or_device' END AS reason FROM verdict""", "verdict"))
+cte("shown", """SELECT p.* FROM prior p JOIN verdict v USING (transaction_id) WHERE qualifies QUALIFY NOT v.eligible OR row_number() OVER (PARTITION BY transaction_id ORDER BY t_ts DESC, t_seq DESC) <= 2""", "prior", "verdict")
+cte("told", f"""SELECT v.*, CASE WHEN eligible THEN replace(replace('{K.NARRATIVE}', '%s', substr(card_token, 1, 8) || '…'), '%d', matched::VARCHAR) ELSE '{K.NO_NARRATIVE}' END AS story
+FROM verdict v LEFT JOIN cards c ON c.transaction_id = v.transaction_id""", "verdict", "cards")
 add("k7_evidence", lambda s, d: K.evidence(disputes(s, d), ledger(s, d)).select(
-    "transaction_id", "eligible", "additional_prior_transactions",
-    F.coalesce(F.array_join(F.transform("prior_transactions", lambda x: F.concat(x["transaction_id"], F.lit("@"), x["date"], F.lit("/"), x["days_before_dispute"].cast("string"), F.lit("/"),
-               F.array_join(x["matched_elements"], "+"))), ","), F.lit("")).alias("evidence")),
-    sql("""SELECT transaction_id, eligible, CASE WHEN eligible THEN greatest(0, matched - 2) ELSE 0 END AS additional_prior_transactions, coalesce((SELECT string_agg(t_id || '@' || strftime(t_ts, '%Y-%m-%d') || '/' ||
- CAST(CAST(round(epoch(s.d_ts - t_ts) / 86400) AS INTEGER) AS VARCHAR) || '/' || array_to_string(el, '+'), ',' ORDER BY t_ts DESC, t_seq DESC) FROM shown s WHERE s.transaction_id = v.transaction_id), '') AS evidence FROM verdict v""", "verdict", "shown"))
-add("k8_packets", lambda s, d: K.packets(disputes(s, d), ledger(s, d)).select("transaction_id", "eligible", "packet_hash"))
+    "transaction_id", "eligible", "additional_prior_transactions", "merchant_narrative", "disputed_transaction.credential", F.col("disputed_transaction.amount_inr").alias("amount_inr"),
+    F.array_join(F.transform("prior_transactions", lambda x: F.concat(x["transaction_id"], F.lit("@"), x["date"], F.lit("/"), x["days_before_dispute"].cast("string"), F.lit("/"),
+                 F.array_join(x["matched_elements"], "+"))), ",").alias("evidence")),
+    sql("""SELECT v.transaction_id, eligible, CASE WHEN eligible THEN greatest(0, matched - 2) ELSE 0 END AS additional_prior_transactions, coalesce((SELECT string_agg(t_id || '@' || strftime(t_ts, '%Y-%m-%d') || '/' ||
+ CAST(CAST(round(epoch(s.d_ts - t_ts) / 86400) AS INTEGER) AS VARCHAR) || '/' || array_to_string(el, '+'), ',' ORDER BY t_ts DESC, t_seq DESC) FROM shown s WHERE s.transaction_id = v.transaction_id), '') AS evidence,
+ story AS merchant_narrative, substr(card_token, 1, 8) || '…' AS credential, amount AS amount_inr FROM told v LEFT JOIN cards c ON c.transaction_id = v.transaction_id""", "told", "shown", "cards"))
+_bool = lambda x: f"CASE WHEN {x} THEN 'true' ELSE 'false' END"
+_ELEMENTS = ("account_id", "addr_hash", "device_hash", "ip_hash")
+_pairs = lambda p, only: "concat_ws(',', " + ", ".join(f"CASE WHEN {only(e)} THEN '\"{e}\":\"' || {p}{e} || '\"' END" for e in _ELEMENTS) + ")"
+cte("items", f"""SELECT s.transaction_id, s.t_ts, s.t_seq, '{{"amount_inr":' || t.amount || ',"date":"' || strftime(t.ts, '%Y-%m-%d') || '","days_before_dispute":' || CAST(round(epoch(s.d_ts - s.t_ts) / 86400) AS INTEGER) ||
+ ',"delivered":' || {_bool('t.delivered')} || ',"element_hashes":{{' || {_pairs('t.', lambda e: f"list_contains(el, '{e}')")} || '}},"items":"' || t.items || '","matched_elements":["' || array_to_string(el, '","') ||
+ '"],"transaction_id":"' || t_id || '"}}' AS item FROM shown s JOIN cards t ON t.transaction_id = s.t_id""", "shown", "cards")
+add("k8_packets", lambda s, d: K.packets(disputes(s, d), ledger(s, d)).select("transaction_id", "eligible", "packet_hash", "packet"),
+    sql(f"""SELECT transaction_id, eligible, packet, coalesce(sha256(packet), '') AS packet_hash FROM (SELECT v.transaction_id, eligible, CASE WHEN found THEN
+ '{{"criteria":{{"prior_txns_in_120_365d_window":{{"count":' || in_window || ',"pass":' || {_bool('in_window >= 2')} || ',"window":["' || strftime(d_ts - to_days(365), '%Y-%m-%d') || '","' || strftime(d_ts - to_days(120), '%Y-%m-%d') ||
+ '"]}},"prior_txns_undisputed":{{"count":' || undisputed || ',"pass":' || {_bool('undisputed >= 2')} || '}},"prior_txns_with_2_matching_elements_incl_ip_or_device":{{"count":' || matched || ',"pass":' || {_bool('matched >= 2')} ||
+ '}},"reason_code_10_4":{{"pass":' || {_bool("reason_code = '10.4'")} || ',"value":"' || reason_code || '"}}}},"evidence":{{"additional_prior_transactions":' || CASE WHEN eligible THEN greatest(0, matched - 2) ELSE 0 END ||
+ ',"dispute_date":"' || strftime(d_ts, '%Y-%m-%d') || '","disputed_transaction":{{"amount_inr":' || c.amount || ',"credential":"' || substr(card_token, 1, 8) || '…","date":"' || strftime(c.ts, '%Y-%m-%d') || '","elements":{{' ||
+ {_pairs('c.', lambda e: 'true')} || '}},"items":"' || c.items || '","transaction_id":"' || v.transaction_id || '"}},"merchant_narrative":"' || story || '","prior_transactions":[' ||
+ coalesce((SELECT string_agg(item, ',' ORDER BY t_ts DESC, t_seq DESC) FROM items i WHERE i.transaction_id = v.transaction_id), '') || ']}},"standard":"Visa CE3.0","transaction_id":"' || v.transaction_id || '"}}' END AS packet
+FROM told v LEFT JOIN cards c ON c.transaction_id = v.transaction_id)""", "told", "items", "cards"))

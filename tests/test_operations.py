@@ -184,6 +184,29 @@ def test_each_criterion_breaks_alone(spark):
     assert null["matched"] == 1
 
 
+def test_the_packet_is_what_python_would_serialise(spark):
+    import hashlib
+    import json
+    r = case(spark, txn(1, 150), txn(2, 200), txn(3, 300, acct="other"))
+    day = lambda n: (T + timedelta(days=45 - n)).strftime("%Y-%m-%d")
+    own = {"ip_hash": "ip", "device_hash": "dev", "addr_hash": "addr", "account_id": "acct"}
+    prior = [{"transaction_id": f"t{i}", "date": day(n), "days_before_dispute": n, "amount_inr": 9.0, "items": "1 item", "delivered": True,
+              "matched_elements": list(own), "element_hashes": own} for i, n in ((1, 150), (2, 200))]
+    criteria = {"reason_code_10_4": {"pass": True, "value": "10.4"}, "prior_txns_in_120_365d_window": {"pass": True, "count": 3, "window": [day(365), day(120)]},
+                "prior_txns_undisputed": {"pass": True, "count": 3}, "prior_txns_with_2_matching_elements_incl_ip_or_device": {"pass": True, "count": 3}}
+    shown = {"disputed_transaction": {"transaction_id": "t0", "date": day(45), "amount_inr": 9.0, "items": "1 item", "credential": "tok…", "elements": own},
+             "dispute_date": day(0), "prior_transactions": prior, "additional_prior_transactions": 1, "merchant_narrative": K.NARRATIVE % ("tok…", 3)}
+    text = json.dumps({"transaction_id": "t0", "standard": "Visa CE3.0", "criteria": criteria, "evidence": shown}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert r["packet"] == text and r["packet_hash"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_an_ineligible_dispute_shows_all_its_matches(spark):
+    r = case(spark, txn(1, 150), txn(2, 200), txn(3, 250), txn(4, 160, disputed=True), txn(5, 300, acct="other", addr="far"), reason="10.1")
+    assert [x["transaction_id"] for x in r["prior_transactions"]] == ["t1", "t2", "t3", "t5"] and r["additional_prior_transactions"] == 0
+    assert r["prior_transactions"][3]["element_hashes"].asDict() == {"ip_hash": "ip", "device_hash": "dev", "addr_hash": None, "account_id": None}
+    assert len(case(spark, txn(1, 150))["prior_transactions"]) == 1
+
+
 def test_late_dispute_date_never_counts_the_transaction_itself(spark):
     r = case(spark, txn(1, 150), when=T + timedelta(days=150))
     assert (r["in_window"], r["matched"]) == (1, 1)
