@@ -1,12 +1,17 @@
 """Training on Spark ML: weighted trees, isotonic calibration, ablations and the node scorer."""
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +23,9 @@ from .decide import resolve
 from .evaluate import simulate
 from .metrics import calibration_error, ranking_metrics, score_curve, with_constant
 
+# the pooling step travels with the job, so executors need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_TREES, DEPTH, STEP, SUBSAMPLE = 60, 5, 0.1, 0.85
 
 
@@ -51,19 +59,64 @@ def score_trees(model, df: DataFrame, features: list[str], out: str = "p_raw") -
     return scored.withColumn(out, F.round(vector_to_array("probability")[1], 6)).drop(*drop)
 
 
-def fit_isotonic(df: DataFrame, score: str = "p_raw", y: str = "rto", weight: str | None = None) -> IsotonicRegressionModel:
-    """Monotone calibration. Rows are pooled per distinct (six-decimal) score first, which leaves the fit
-    unchanged and bounds what the solver sees."""
+@dataclass(frozen=True)
+class IsotonicFit:
+    """A monotone fit by the ends of its pools: constant inside a pool, a line from one to the next, constant outside."""
+
+    xs: tuple[float, ...]
+    ys: tuple[float, ...]
+
+    def of(self, score: Column) -> Column:
+        xs, ys = np.array(self.xs), np.array(self.ys)
+
+        @F.pandas_udf("double")
+        def value(p: pd.Series) -> pd.Series:
+            return pd.Series(np.interp(p, xs, ys)).where(p.notna().to_numpy())
+
+        return value(score.cast("double"))
+
+
+def pool_adjacent(points: Iterable[tuple[float, float, float, float]], pools: list[list[float]] | None = None) -> list[list[float]]:
+    """Points or pools (first score, last score, label sum, weight) in rising order as pools of rising means.
+
+    Pooling in any order ends at the same pools, so those of neighbouring ranges can be pooled again.
+    """
+    pools = [] if pools is None else pools
+    for low, high, total, weight in points:
+        pools.append([low, high, total, weight])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+            _, high, total, weight = pools.pop()
+            pools[-1][1] = high
+            pools[-1][2] += total
+            pools[-1][3] += weight
+    return pools
+
+
+def fit_isotonic(df: DataFrame, score: str = "p_raw", y: str = "rto", weight: str | None = None) -> IsotonicFit:
+    """Monotone calibration: ranges of scores are pooled where they lie, what is left of each is pooled once more.
+
+    Rows are summed per distinct (six-decimal) score first, which leaves the fit unchanged.
+    """
     w = F.col(weight) if weight else F.lit(1.0)
-    pooled = df.groupBy(F.col(score).alias("features")).agg(
-        (F.sum(w * F.col(y).cast("double")) / F.sum(w)).alias("label"), F.sum(w).alias("weight"))
-    return IsotonicRegression(weightCol="weight").fit(pooled)
+    points = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).cast("double").alias("x")).agg(
+        F.sum(w * F.col(y).cast("double")).alias("s"), F.sum(w).alias("w"))
+
+    def of_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pools: list[list[float]] = []
+        for pdf in batches:
+            pool_adjacent(zip(pdf["x"], pdf["x"], pdf["s"], pdf["w"], strict=True), pools)
+        if pools:
+            yield pd.DataFrame(pools, columns=["low", "high", "s", "w"])
+
+    ranges = points.repartitionByRange("x").sortWithinPartitions("x").mapInPandas(of_range, "low double, high double, s double, w double")
+    pools = pool_adjacent(tuple(r) for r in ranges.orderBy("low").collect())
+    ends = [(x, total / weight) for low, high, total, weight in pools for x in sorted({low, high})]
+    return IsotonicFit(tuple(x for x, _ in ends), tuple(v for _, v in ends))
 
 
-def knots(model: IsotonicRegressionModel) -> tuple[list[float], list[float]]:
+def knots(model: IsotonicFit) -> tuple[list[float], list[float]]:
     """The model as (x, y) knots, y clipped to [0.001, 0.999]."""
-    ys = [min(P_CEIL, max(P_FLOOR, v)) for v in model.predictions.toArray().tolist()]
-    return model.boundaries.toArray().tolist(), ys
+    return list(model.xs), [min(P_CEIL, max(P_FLOOR, v)) for v in model.ys]
 
 
 def apply_knots(p: Column, xs: list[float], ys: list[float]) -> Column:
@@ -76,10 +129,9 @@ def apply_knots(p: Column, xs: list[float], ys: list[float]) -> Column:
             .otherwise(y0 + (p - x0) * (y1 - y0) / (x1 - x0)))
 
 
-def calibrated(model: IsotonicRegressionModel, df: DataFrame, score: str = "p_raw", out: str = "p") -> DataFrame:
+def calibrated(model: IsotonicFit, df: DataFrame, score: str = "p_raw", out: str = "p") -> DataFrame:
     """Raw score -> calibrated and clipped probability."""
-    scored = model.setFeaturesCol(score).setPredictionCol("_iso").transform(df)
-    return scored.withColumn(out, F.round(clip(F.col("_iso"), P_FLOOR, P_CEIL), 6)).drop("_iso")
+    return df.withColumn(out, F.round(clip(model.of(F.col(score)), P_FLOOR, P_CEIL), 6))
 
 
 def candidate(data: DataFrame, features: list[str], gamma: float, **tree_args) -> tuple[DataFrame, DataFrame, object]:

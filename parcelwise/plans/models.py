@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..config import CONFORMAL_ALPHAS
 from ..functions.economics import price_orders
 from ..operators import conformal as C
-from ..operators import decide, evaluate, training
+from ..operators import decide, evaluate, pit, training
 from ..operators import metrics as M
 from ..session import cut_lineage
 from ..sources import lens
+from .history import features
 from .registry import add
 from .sql import best_action, cte, pnl, quantile, sql
 
@@ -18,16 +19,15 @@ from .sql import best_action, cte, pnl, quantile, sql
 def split_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priced COD orders with their chronological split and a second, flatter score."""
     priced = price_orders(lens.scored_cod(spark, sf_dir)).withColumn("p_base", 0.5 * F.col("p") + 0.125)
-    return M.chronological_split(priced.select(*[c for c in (*POLICY_COLUMNS, *MODEL_ONLY) if c in priced.columns]))
+    return M.chronological_split(priced.select(*[c for c in POLICY_COLUMNS if c in priced.columns]))
 
 
-# what pricing, policies and explanations read, and what only the learners read
+# what pricing, policies and explanations read
 POLICY_COLUMNS = (
     "order_id", "seq", "ts", "rto", "phone", "merchant_id", "acquisition_channel", "pin_tier", "p", "p_base", "cart_gmv", "merchant_margin", "cac",
     "is_new_customer", "weight_grams", "addr_defect_score", "addr_has_house_no", "coupon_applied", "checkout_seconds", "hour_of_day",
     "margin", "addr_attribution", "shadow_price", "cost_fn", "cost_fp", "rho_stepup", "rho_prepaid", "tau_star", "tau_soft",
     "cost_allow", "cost_stepup", "cost_prepaid", "position", "split")
-MODEL_ONLY = ("addr_tokens", "items_count", "payment_switch_from")
 
 
 def part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,17 +59,15 @@ add("e1_chronological_split", lambda s, d: split_frame(s, d).select("order_id",
 add("e2_instance_weights", lambda s, d: training.instance_weights(part(s, d, "train"), 0.5).select("order_id", F.round("weight", 6).alias("weight")),
     sql("SELECT order_id, round(w / avg(w) OVER (), 6) AS weight FROM (SELECT order_id, power(CASE WHEN rto THEN cost_fn ELSE cost_fp END, 0.5e0) AS w FROM train)", "train"))
 
-MODEL_FEATURES = ["addr_defect_score", "pin_tier", "addr_tokens", "cart_gmv", "items_count", "weight_grams", "checkout_seconds",
-                  "hour_of_day", "house", "switched"]
+MODEL_FEATURES = list(pit.FEATURE_NAMES)  # the whole vector, as known just before each order
 TREES = {"max_trees": training.MAX_TREES, "depth": training.DEPTH}  # early stopping on the valid slice ends most fits sooner
 
 
 def modelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The split frame with numeric features, written once because training reads it many times."""
-    df = split_frame(spark, sf_dir).withColumns({
-        "house": F.col("addr_has_house_no").cast("double"), "switched": F.col("payment_switch_from").isNotNull().cast("double")})
-    keep = ["order_id", "seq", "ts", "rto", "split", "position", "merchant_margin", "cac", "is_new_customer", "cost_fn", "cost_fp", "p_base"]
-    return cut_lineage(df.select(*dict.fromkeys(keep + MODEL_FEATURES)))
+    """The split frame with the feature vector of each order, written once because training reads it many times."""
+    keep = ["order_id", "seq", "ts", "rto", "split", "position", "cart_gmv", "merchant_margin", "cac", "is_new_customer", "cost_fn", "cost_fp", "p_base"]
+    vector = features(spark, sf_dir).select("order_id", *MODEL_FEATURES)
+    return cut_lineage(split_frame(spark, sf_dir).select(*keep).join(vector, "order_id"))
 
 
 def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +84,21 @@ def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def isotonic_knots(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = training.fit_isotonic(part(spark, sf_dir, "calib"), "p")
     xs, ys = training.knots(model)
-    return spark.createDataFrame(list(zip(xs, ys)), "x double, y double")
+    return spark.createDataFrame(list(zip(xs, ys)), "x double, y double").select(F.round("x", 6).alias("x"), F.round("y", 9).alias("y"))
+
+
+def _isotonic(p: str, source: str, where: str) -> None:
+    """The isotonic fit of `rto` on `p` by its max-min formula, and its knots."""
+    cte(f"{p}points", f"""SELECT *, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS ss, sum(w) OVER (ORDER BY x) AS ww
+ FROM (SELECT p AS x, count(*) FILTER (rto) AS s, count(*) AS w FROM {source} WHERE {where} GROUP BY 1)""", source)
+    cte(f"{p}least", f"""SELECT a.i AS a, b.i AS b, min((b.ss - a.ss + a.s) / CAST(b.ww - a.ww + a.w AS DOUBLE)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS m
+ FROM {p}points a JOIN {p}points b ON a.i <= b.i""", f"{p}points")
+    cte(f"{p}fitted", f"SELECT x, v, sum(fresh) OVER (ORDER BY x) AS pool FROM (SELECT x, v, CASE WHEN round(v, 9) = round(lag(v) OVER (ORDER BY x), 9) THEN 0 ELSE 1 END AS fresh "
+        f"FROM (SELECT any_value(x) AS x, max(m) AS v FROM {p}least JOIN {p}points ON i = b GROUP BY b))", f"{p}least", f"{p}points")
+    cte(f"{p}knots", f"SELECT DISTINCT unnest([lo, hi]) AS x, v FROM (SELECT min(x) AS lo, max(x) AS hi, max(v) AS v FROM {p}fitted GROUP BY pool)", f"{p}fitted")
+
+
+_isotonic("iso_", "split", "split = 'calib'")
 
 
 KNOTS = ([0.05, 0.2, 0.35, 0.5, 0.7, 0.95], [0.001, 0.12, 0.12, 0.41, 0.66, 0.999])
@@ -94,7 +106,7 @@ _segments = " ".join(f"WHEN p < {x1}e0 THEN {y0}e0 + (p - {x0}e0) * ({y1}e0 - {y
                      for x0, x1, y0, y1 in zip(KNOTS[0], KNOTS[0][1:], KNOTS[1], KNOTS[1][1:]))
 add("e3_tree_scores", lambda s, d: tree_scores(s, d).select("order_id", "split", "p_raw"))
 add("e4_candidate_selection", lambda s, d: training.sweep(modelling(s, d), MODEL_FEATURES, price_orders, **TREES))
-add("e5_isotonic_knots", isotonic_knots)
+add("e5_isotonic_knots", isotonic_knots, sql("SELECT round(x, 6) AS x, round(least(0.999e0, greatest(0.001e0, v)), 9) AS y FROM iso_knots", "iso_knots"))
 add("e6_knot_application", lambda s, d: split_frame(s, d).select("order_id", F.round(training.apply_knots(F.col("p"), *KNOTS), 9).alias("p_cal")),
     sql(f"SELECT order_id, round(CASE WHEN p < 0.05e0 THEN 0.001e0 {_segments} ELSE 0.999e0 END, 9) AS p_cal FROM split", "split"))
 add("e7_batch_scores", lambda s, d: calibrated_scores(s, d).select("order_id", "split", "p_raw", "p"))
@@ -246,4 +258,10 @@ cte("regime", "SELECT *, row_number() OVER (ORDER BY position) - 1 < floor(0.3e0
 cte("regime_q", f"SELECT {quantile('1e0 - (1e0 - p)', 'regime', 'fresh AND NOT rto')} AS r0, {quantile('1e0 - p', 'regime', 'fresh AND rto')} AS r1", "regime")
 add("f11_recalibrated_quantiles", lambda s, d: recalibrated(s, d, False),
     sql(f"SELECT {_metric_sql} FROM (SELECT rto, p <= r0 AS in0, (1e0 - p) <= r1 AS in1 FROM regime, regime_q WHERE NOT fresh)", "regime", "regime_q"))
-add("f11_recalibrated_scores", lambda s, d: recalibrated(s, d, True))
+_isotonic("fresh_", "regime", "fresh")
+cte("lined", """SELECT x AS x0, v AS v0, coalesce(lead(x) OVER (ORDER BY x), x + 1) AS x1, coalesce(lead(v) OVER (ORDER BY x), v) AS v1 FROM fresh_knots
+UNION ALL (SELECT -1, v, x, v FROM fresh_knots ORDER BY x LIMIT 1)""", "fresh_knots")
+cte("relearnt", """SELECT r.* REPLACE (round(least(0.999e0, greatest(0.001e0, v0 + (r.p - x0) * ((v1 - v0) / (x1 - x0)))), 6) AS p) FROM regime r ASOF JOIN lined ON r.p >= x0""", "regime", "lined")
+cte("relearnt_q", f"SELECT {quantile('1e0 - (1e0 - p)', 'relearnt', 'fresh AND NOT rto')} AS r0, {quantile('1e0 - p', 'relearnt', 'fresh AND rto')} AS r1", "relearnt")
+add("f11_recalibrated_scores", lambda s, d: recalibrated(s, d, True),
+    sql(f"SELECT {_metric_sql} FROM (SELECT rto, p <= r0 AS in0, (1e0 - p) <= r1 AS in1 FROM relearnt, relearnt_q WHERE NOT fresh)", "relearnt", "relearnt_q"))
