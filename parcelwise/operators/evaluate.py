@@ -149,16 +149,25 @@ def training_pool(decisions: DataFrame, outcomes: DataFrame, weight: Column, win
     return labelled.filter("weight > 0")
 
 
+BOUNDARY_BINS = 8
+
+
 def retraining_bias(pool: DataFrame, by: list[str], *, p: str = "p", p_true: str = "p_true", boundary: float = 0.5) -> DataFrame:
-    """Label rate, boundary gap, friction share and control count per cycle and regime."""
+    """Label rate, boundary gap and calibration error, friction share, training rows and control count per cycle and regime."""
     hb = F.col(p_true) >= boundary
     y = F.col("rto").cast("double")
-    return pool.groupBy(*by).agg(
-        (F.sum(F.col("weight") * y) / F.sum("weight")).alias("weighted_rto_rate"), F.count_if(hb).alias("boundary_n"),
-        F.avg(F.when(hb, F.col(p))).alias("boundary_pred"), F.avg(F.when(hb, y)).alias("boundary_actual"),
-        (F.avg(F.when(hb, y)) - F.avg(F.when(hb, F.col(p)))).alias("boundary_gap"),
-        F.avg((F.col("served_action") != ALLOW).cast("double")).alias("friction_share"),
-        F.count_if((F.col("served_action") == ALLOW) & (F.col("action") != ALLOW)).alias("n_control"))
+    # a row for each score bin, then one for each group
+    bins = pool.groupBy(*by, F.least(F.lit(BOUNDARY_BINS - 1), F.floor(F.col(p) * BOUNDARY_BINS).cast("int")).alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("weight") * y).alias("_wy"), F.sum("weight").alias("_w"), F.count_if(F.col("weight") > 0).alias("_rows"),
+        F.count_if(hb).alias("_hb"), F.coalesce(F.sum(F.when(hb, F.col(p))), F.lit(0.0)).alias("_hp"), F.coalesce(F.sum(F.when(hb, y)), F.lit(0.0)).alias("_hy"),
+        F.count_if(F.col("served_action") != ALLOW).alias("_friction"),
+        F.count_if((F.col("served_action") == ALLOW) & (F.col("action") != ALLOW)).alias("_control"))
+    share = lambda a, b: F.try_divide(F.sum(a).cast("double"), F.sum(b))
+    return bins.groupBy(*by).agg(
+        share("_wy", "_w").alias("weighted_rto_rate"), F.sum("_hb").alias("boundary_n"), share("_hp", "_hb").alias("boundary_pred"),
+        share("_hy", "_hb").alias("boundary_actual"), (share("_hy", "_hb") - share("_hp", "_hb")).alias("boundary_gap"),
+        F.try_divide(F.sum(F.abs(F.col("_hp") - F.col("_hy"))), F.sum("_hb")).alias("boundary_ece"), share("_friction", "_n").alias("friction_share"),
+        F.sum("_rows").alias("training_rows"), F.sum("_control").alias("n_control"))
 
 
 def control_band_cost(served: DataFrame, by: list[str] | None = None) -> DataFrame:

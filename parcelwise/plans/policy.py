@@ -16,7 +16,7 @@ from ..sources import lens
 from .ingest import supplier_config
 from .models import decided, split_frame, with_sets
 from .registry import add, made
-from .sql import best_action, cte, entity_hash as hash_sql, pnl, quantile, sql, summary
+from .sql import q, best_action, cte, entity_hash as hash_sql, pnl, quantile, sql, summary
 
 
 def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,31 @@ add("g11_resolver", lambda s, d: decided(s, d).select("order_id", "action", F.ro
     sql("SELECT order_id, action, round(cost_allow - CASE action WHEN 'ALLOW_COD' THEN cost_allow WHEN 'STEP_UP_DEPOSIT' THEN cost_stepup ELSE cost_prepaid END, 4) AS saving_vs_allow FROM decided", "decided"))
 add("g12_budget_changed", lambda s, d: D.resolve(with_sets(split_frame(s, d)), F.lit(60.0)).select("order_id", "action", "budget_changed_action"),
     sql(f"SELECT order_id, priced AS action, priced <> action AS budget_changed_action FROM (SELECT order_id, action, {best_action('60e0')} AS priced FROM decided)", "decided"))
-add("g13_rationale", lambda s, d: D.with_rationale(decided(s, d)).select("order_id", "action", "action_label", "rationale"))
+_f2 = lambda x: f"CAST(CAST(round(CAST({x} AS DECIMAL(30, 12)), 2) AS DECIMAL(30, 2)) AS VARCHAR)"
+_f0 = lambda x: f"CAST(CAST(round(CAST({x} AS DECIMAL(30, 10)), 0) AS BIGINT) AS VARCHAR)"
+
+
+def _told(template: str, *parts: str) -> str:
+    """A sentence with its gaps filled, as SQL."""
+    pieces = [q(x) for x in template.split("%s")]
+    return " || ".join(x for pair in zip(pieces, [*parts, "''"], strict=True) for x in pair)
+
+
+_reason = f"""CASE WHEN certainty = 'CERTIFIED_LOW' THEN {_told('Conformal set {0}: deliverability certified at 1-α. P(RTO)=%s ≤ τ*=%s. Frictionless COD.', _f2('p'), _f2('tau_star'))}
+ WHEN certainty = 'CERTIFIED_HIGH' THEN {_told('Conformal set {1}: RTO certified at 1-α. P(RTO)=%s > τ*=%s. %s minimises expected loss (₹%s vs ₹%s on ALLOW).', _f2('p'), _f2('tau_star'),
+    "CASE WHEN action = 'STEP_UP_DEPOSIT' THEN 'Soft step-up' ELSE 'Prepaid mandate' END",
+    _f0("CASE action WHEN 'ALLOW_COD' THEN cost_allow WHEN 'STEP_UP_DEPOSIT' THEN cost_stepup ELSE cost_prepaid END"), _f0('cost_allow'))}
+ WHEN certainty = 'NOVEL' THEN {_told('Conformal set ∅: neither label conforms at α — pattern is outside the calibrated support (novel syndicate signature). Escalating to %s rather than guessing.',
+    "CASE WHEN action = 'STEP_UP_DEPOSIT' THEN 'step-up' ELSE 'prepaid' END")}
+ WHEN action = 'ALLOW_COD' THEN {_told('Conformal set {0,1}: ambiguous. P(RTO)=%s ≤ τ_soft=%s — CAC insult (₹%s) outweighs shipping exposure (₹%s). Allowing COD, flagged for post-delivery review.',
+    _f2('p'), _f2('tau_soft'), _f0('cost_fp'), _f0('cost_fn'))}
+ WHEN action = 'STEP_UP_DEPOSIT' THEN {_told('Conformal set {0,1}: ambiguous. P(RTO)=%s is %s the hard-block point τ*=%s but above τ_soft=%s. A refundable ₹49 UPI deposit costs ₹%s expected vs ₹%s on ALLOW, without the ₹%s insult of a hard block.',
+    _f2('p'), "CASE WHEN p <= tau_star THEN 'below' ELSE 'above' END", _f2('tau_star'), _f2('tau_soft'), _f0('cost_stepup'), _f0('cost_allow'), _f0('cost_fp'))}
+ ELSE {_told('Conformal set {0,1} but P(RTO)=%s ≫ τ*=%s; expected loss under step-up (₹%s) still exceeds prepaid (₹%s). Prepaid mandate.', _f2('p'), _f2('tau_star'), _f0('cost_stepup'), _f0('cost_prepaid'))} END
+ || CASE WHEN action = 'FORCE_PREPAID' AND attr >= 0.4e0 THEN {_told(" A deposit buys commitment, not deliverability: %s%% of this order's risk is attributed to the address, so step-up residual RTO is %s%%.".replace('%%', '%'),
+    _f0('attr * 100'), _f0('rho_s * 100'))} ELSE '' END"""
+add("g13_rationale", lambda s, d: D.with_rationale(decided(s, d)).select("order_id", "action", "action_label", "rationale"),
+    sql(f"""SELECT order_id, action, CASE action {' '.join(f"WHEN {q(a)} THEN {q(t)}" for a, t in D.ACTION_LABELS.items())} END AS action_label, {_reason} AS rationale FROM decided""", "decided"))
 
 
 def valid_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,16 +229,23 @@ add("h10_training_pool", lambda s, d: pool(s, d).select("order_id", "rto", F.rou
 
 
 def bias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighted = cycles(spark, sf_dir).withColumn("weight", D.ipw_weight(F.col("served_action"), F.col("propensity")))
+    """Each cycle as three regimes see it: without a control band, with one and inverse weights, and with every label."""
+    allowed = lambda c: F.when(F.col(c) == "ALLOW_COD", 1.0).otherwise(0.0)
+    regime = lambda name, seen, weight: F.struct(F.lit(name).alias("regime"), F.col(seen).alias("served"), weight.alias("weight"))
+    seen = F.inline(F.array(regime("naive", "action", allowed("action")), regime("ipw", "served_action", D.ipw_weight(F.col("served_action"), F.col("propensity"))),
+                            regime("oracle", "action", F.lit(1.0))))
+    weighted = cycles(spark, sf_dir).drop("regime").select("cycle", "action", "rto", "p", "p_base", seen).withColumnRenamed("served", "served_action")
     return V.retraining_bias(weighted, ["cycle", "regime"], p_true="p_base")
 
 
-BIAS = ("weighted_rto_rate", "boundary_pred", "boundary_actual", "boundary_gap", "friction_share")
-add("h11_retraining_bias", lambda s, d: bias(s, d).select("cycle", "regime", "boundary_n", "n_control", *[F.round(c, 9).alias(c) for c in BIAS]),
-    sql("""SELECT cycle, 'ipw' AS regime, count(*) FILTER (hb) AS boundary_n, count(*) FILTER (served_action = 'ALLOW_COD' AND action <> 'ALLOW_COD') AS n_control,
- round(sum(weight * y) / sum(weight), 9) AS weighted_rto_rate, round(avg(p) FILTER (hb), 9) AS boundary_pred, round(avg(y) FILTER (hb), 9) AS boundary_actual,
- round(avg(y) FILTER (hb) - avg(p) FILTER (hb), 9) AS boundary_gap, round(avg(CASE WHEN served_action <> 'ALLOW_COD' THEN 1e0 ELSE 0e0 END), 9) AS friction_share
-FROM (SELECT *, CAST(rto AS DOUBLE) AS y, 0.5e0 * p + 0.125e0 >= 0.5e0 AS hb FROM cyc) GROUP BY 1""", "cyc"))
+BIAS = ("weighted_rto_rate", "boundary_pred", "boundary_actual", "boundary_gap", "boundary_ece", "friction_share")
+cte("regimes", """SELECT cycle, action, p, CAST(rto AS DOUBLE) AS y, 0.5e0 * p + 0.125e0 >= 0.5e0 AS hb, least(7, CAST(floor(p * 8) AS INTEGER)) AS bin, unnest(['naive', 'ipw', 'oracle']) AS regime,
+ unnest([action, served_action, action]) AS seen, unnest([CASE WHEN action = 'ALLOW_COD' THEN 1e0 ELSE 0e0 END, weight, 1e0]) AS w FROM cyc""", "cyc")
+add("h11_retraining_bias", lambda s, d: bias(s, d).select("cycle", "regime", "boundary_n", "n_control", "training_rows", *[F.round(c, 9).alias(c) for c in BIAS]),
+    sql("""SELECT * EXCLUDE (e, n), round(e / nullif(n, 0), 9) AS boundary_ece FROM (SELECT cycle, regime, count(*) FILTER (hb) AS boundary_n, count(*) FILTER (seen = 'ALLOW_COD' AND action <> 'ALLOW_COD') AS n_control, count(*) FILTER (w > 0) AS training_rows,
+ round(sum(w * y) / nullif(sum(w), 0), 9) AS weighted_rto_rate, round(avg(p) FILTER (hb), 9) AS boundary_pred, round(avg(y) FILTER (hb), 9) AS boundary_actual,
+ round(avg(y) FILTER (hb) - avg(p) FILTER (hb), 9) AS boundary_gap, round(avg(CASE WHEN seen <> 'ALLOW_COD' THEN 1e0 ELSE 0e0 END), 9) AS friction_share, count(*) FILTER (hb) AS n FROM regimes GROUP BY 1, 2)
+ LEFT JOIN (SELECT cycle, regime, sum(abs(d)) AS e FROM (SELECT cycle, regime, bin, sum(p - y) AS d FROM regimes WHERE hb GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (cycle, regime)""", "regimes"))
 add("h12_control_band_cost", lambda s, d: V.control_band_cost(cycles(s, d), ["cycle"]).select("cycle", "control_orders", F.round("exploration_cost", 2).alias("exploration_cost")),
     sql(f"SELECT cycle, count(*) AS control_orders, round(sum({pnl('action')} - {pnl(repr('ALLOW_COD'))}), 2) AS exploration_cost FROM cyc WHERE control GROUP BY 1", "cyc"))
 
