@@ -52,15 +52,42 @@ def quotas(sizes: dict, weights: dict, budget: Fraction, max_copies: int = MAX_C
     return quota
 
 
+def _apart(patterns: list[tuple[tuple, int]]) -> list[list[int]]:
+    """Numbers of patterns whose sources hang together, group by group."""
+    above: dict = {}
+
+    def top(s):
+        while above[s] != s:
+            above[s] = above[above[s]]
+            s = above[s]
+        return s
+
+    for members, _ in patterns:
+        for s in members:
+            above.setdefault(s, s)
+            above[top(s)] = top(members[0])
+    groups: dict = {}
+    for i, (members, _) in enumerate(patterns):
+        groups.setdefault(top(members[0]) if members else (i,), []).append(i)
+    return list(groups.values())
+
+
 def flow(patterns: list[tuple[tuple, int]], quota: dict, max_copies: int = MAX_COPIES) -> list[int]:
     """Words to take from each pattern (members, words), filling integer quotas at the least repetition cost.
 
-    Successive shortest paths. Patterns of one source need no search: they are served in closed form after the
-    overlapping ones are known to be absent; otherwise all take part.
+    Sources that no pattern ties together do not touch each other's flow, so each group has a flow of its own.
     """
-    need = {s: int(q) for s, q in quota.items()}
-    if all(len(members) == 1 for members, _ in patterns):
-        return [min(need.get(members[0], 0), max_copies * words) for members, words in patterns]
+    taken = [0] * len(patterns)
+    for group in _apart(patterns):
+        some = [patterns[i] for i in group]
+        sources = dict.fromkeys(s for members, _ in some for s in members)
+        for i, words in zip(group, _flow(some, {s: int(quota.get(s, 0)) for s in sources}, max_copies), strict=True):
+            taken[i] = words
+    return taken
+
+
+def _flow(patterns: list[tuple[tuple, int]], need: dict, max_copies: int) -> list[int]:
+    """Successive shortest paths with potentials; the n-th copy of a word costs n squared."""
     # residual graph: start -> pattern (max_copies arcs of rising cost) -> source -> end
     arcs: list[list[int]] = []  # to, capacity, cost
     out: dict[object, list[int]] = {}

@@ -387,3 +387,20 @@ def test_mix_over_overlapping_sources(spark):
     out = op9_mixing.mix(df, F.col("m"), F.col("words"), [F.col("doc_id")], budget=Fraction(1)).collect()
     assert sum(r["copies"] * r["size"] for r in out) == pytest.approx(sum(r["size"] for r in out), abs=4)
     assert all(0 <= r["copies"] <= 2 for r in out)
+
+
+def test_flow_by_groups_of_sources():
+    """Many sources that no pattern ties together: as many small flows, equal to one over all of them."""
+    import random as _random
+    import time as _time
+    from parcelwise.llm import op9_mixing as op9
+
+    r = _random.Random(8)
+    patterns = [((f"s{i}",), r.randrange(0, 900)) for i in range(20_000)] + [(("a", "b"), 50), (("b", "c"), 70), (("c",), 10), (("d", None), 30)]
+    quota = {s: r.randrange(0, 2 * w + 1) for (s, *_), w in patterns[:20_000]} | {"a": 60, "b": 90, "c": 80, "d": 5, None: 40}
+    begin = _time.perf_counter()
+    taken = op9.flow(patterns, quota)
+    assert _time.perf_counter() - begin < 20
+    assert taken[:20_000] == [min(quota[m[0]], 2 * w) for m, w in patterns[:20_000]]
+    assert taken[20_000:] == op9._flow(patterns[20_000:], {s: quota[s] for s in ("a", "b", "c", "d", None)}, 2)
+    assert op9.flow([], {}) == [] and op9.flow([((), 5)], {}) == [0]
