@@ -147,12 +147,21 @@ def surrogate(kind: Column, norm: Column, draw_no: Column, key: str = KEY) -> Co
     ip = (F.when(norm.rlike(r"^(10|127)\."), F.concat_ws(".", F.substring_index(norm, ".", 1), *octets[1:]))
           .when(norm.rlike(r"^(192\.168|172\.(1[6-9]|2[0-9]|3[01]))\."), F.concat_ws(".", F.substring_index(norm, ".", 2), *octets[2:]))
           .otherwise(F.concat_ws(".", (d.at(0) % 100 + 11).cast("string"), *octets[1:])))
-    parts, name = F.size(F.split(F.substring(norm, F.lit(3), F.length(norm)), "[ -]")), None
+    gaps, name = F.regexp_replace(F.substring(norm, F.lit(3), F.length(norm)), "[^ -]", ""), None  # one or two, or none
+    parts = F.length(gaps) + 1
     for script, test in (("cyrillic", r"\p{IsCyrillic}"), ("greek", r"\p{IsGreek}"), ("latin", "")):
         given = [F.when(norm.startswith("f:"), d.pick(GIVEN[script]["f"], i)).otherwise(d.pick(GIVEN[script]["m"], i)) for i in (10, 11)]
-        # later draws add a syllable, so that no number of names exhausts them
-        family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2) + F.floor(draw_no / 2).cast("int")), lambda i: d.pick(SYLLABLES[script], i)), ""))
-        full = F.concat(F.left(norm, F.lit(2)), F.lower(F.concat_ws(" ", F.when(parts > 2, given[1]), F.when(parts > 1, given[0]), family)))
+
+        def family(start: int, script: str = script) -> Column:
+            # later draws add a syllable, so that no number of names exhausts them
+            upto = F.lit(start + 2) + F.floor(draw_no / 2).cast("int")
+            return F.array_join(F.transform(F.sequence(F.lit(start), upto), lambda i: d.pick(SYLLABLES[script], i)), "")
+
+        # what a hyphen ties to the last word is a family name too
+        middle = F.when(F.endswith(gaps, F.lit("-")), family(48)).otherwise(given[1])
+        front = F.when(parts == 1, "").when(parts == 2, F.concat(F.when(gaps == "-", family(48)).otherwise(given[0]), gaps))
+        front = front.otherwise(F.concat(given[0], F.left(gaps, F.lit(1)), middle, F.right(gaps, F.lit(1))))
+        full = F.concat(F.left(norm, F.lit(2)), F.lower(F.concat(front, family(0))))
         name = F.when(norm.rlike(test), full) if name is None else name.when(norm.rlike(test), full)
     return (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "ssn", ssn)
             .when(kind == "ip", ip).when(kind == "name", name))
@@ -165,8 +174,10 @@ def written(kind: Column, raw: Column, chosen: Column) -> Column:
             source, F.length(F.regexp_replace(F.left(raw, i + 1), letters.replace("[", "[^"), "")), F.lit(1))).otherwise(c)), "")
 
     title = F.concat(F.regexp_extract(raw, r"^([^ ]+) ", 1), F.lit(" "))
+    apart = F.replace(F.substring(chosen, F.lit(3), F.length(chosen)), F.lit("-"), F.lit("- "))
+    capitals = F.replace(F.initcap(apart), F.lit("- "), F.lit("-"))
     return (F.when(kind == "email", F.when(raw == F.upper(raw), F.upper(chosen)).otherwise(chosen)).when(kind == "iban", fill("[A-Z0-9]", chosen))
-            .when(kind == "ip", chosen).when(kind == "name", F.concat(title, F.initcap(F.substring(chosen, F.lit(3), F.length(chosen)))))
+            .when(kind == "ip", chosen).when(kind == "name", F.concat(title, capitals))
             .otherwise(fill("[0-9]", digits(chosen))))
 
 
