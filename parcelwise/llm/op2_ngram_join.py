@@ -317,30 +317,72 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
     return entries.select("sig", "id", "n", "sketch").repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "a long, b long").distinct()
 
 
+def _tie(low: np.ndarray, part: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows with sketches alike that connect the parts (in place), of different sides if there are any."""
+    found = []
+    for x in range(len(part) - 1):
+        rest = part[x + 1:] != part[x]  # only what is not connected yet
+        if side is not None:
+            rest &= side[x + 1:] != side[x]
+        rest = x + 1 + np.flatnonzero(rest)
+        for y in rest[alike(np.broadcast_to(low[x], (len(rest), SKETCH)), low[rest], percent)] if len(rest) else ():
+            if part[y] != part[x]:
+                found.append((x, int(y)))
+                part[part == part[y]] = part[x]
+    return found
+
+
+def _low(sketches: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), "<u4").reshape(-1, SKETCH)
+
+
 def _chains(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that connect the sets of large entries whose sketches are alike; blocks of an entry meet pair by pair, and what a
-    block connects inside is put out once, where it meets itself."""
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    dealt = entries.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "sketch", "block")
-
-    def connect(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = np.frombuffer(b"".join(pdf["sketch"]), "<u4").reshape(-1, SKETCH)
-        ids, part, out, side = pdf["id"].to_numpy(), np.arange(len(pdf)), [], pdf["block"].to_numpy()
-        apart = bool((side != side[0]).any())
-        if not apart and pdf["i"].iloc[0] != pdf["j"].iloc[0]:
-            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        for inside in (True, False) if apart else (True,):
-            for x in range(len(pdf) - 1):
-                rest = x + 1 + np.flatnonzero((part[x + 1:] != part[x]) & ((side[x + 1:] == side[x]) == inside))  # only what is not connected yet
-                for y in rest[alike(np.broadcast_to(low[x], (len(rest), SKETCH)), low[rest], percent)] if len(rest) else ():
-                    if part[y] != part[x]:
-                        if not (apart and inside):
-                            out.append((ids[x], ids[y]))
-                        part[part == part[y]] = part[x]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("sig", "i", "j").applyInPandas(connect, "a long, b long").distinct()
+    """(a, b) that connect the sets of large entries whose sketches are alike.
+
+    A block of an entry first connects its own sets to parts. Every part then meets the entry's largest one; near copies of one text
+    all end there, so that a group of them costs its length. Only sets of parts that stay apart meet the others block by block.
+    """
+    dealt = entries.select("sig", "id", "sketch", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = np.arange(len(pdf))
+        _tie(_low(pdf["sketch"]), part, None, percent)
+        return pd.DataFrame({"sig": pdf["sig"], "id": pdf["id"], "part": pdf["id"].to_numpy()[part], "sketch": pdf["sketch"]})
+
+    kind = entries.schema["sig"].dataType.simpleString()
+    parts = cut_lineage(dealt.groupBy("sig", "block").applyInPandas(inside, f"sig {kind}, id long, part long, sketch binary"))
+    of_part = parts.groupBy("sig", "part").agg(F.count("*").alias("n"), F.max(F.when(F.col("id") == F.col("part"), F.col("sketch"))).alias("sketch"))
+    main = of_part.groupBy("sig").agg(F.max(F.struct("n", "part", "sketch")).alias("m")).select("sig", F.col("m.part").alias("main"), F.col("m.sketch").alias("main_sketch"))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                near = alike(_low(pdf["sketch"]), _low(pdf["main_sketch"]), percent) | (pdf["part"] == pdf["main"]).to_numpy()
+                yield pd.DataFrame({"sig": pdf["sig"], "part": pdf["part"], "main": pdf["main"], "near": near})
+
+    met = cut_lineage(of_part.join(main, "sig").mapInPandas(meet, f"sig {kind}, part long, main long, near boolean"))
+    edges = parts.filter("id <> part").select(F.col("part").alias("a"), F.col("id").alias("b"))
+    edges = edges.unionByName(met.filter("near AND part <> main").select(F.col("main").alias("a"), F.col("part").alias("b")))
+    apart = parts.join(met.select("sig", "part", "near"), ["sig", "part"])
+    n_blocks = F.ceil(F.count_if(~F.col("near")) / BLOCK).cast("bigint"), F.ceil(F.count_if("near") / BLOCK).cast("bigint")
+    some = apart.groupBy("sig").agg(n_blocks[0].alias("far_blocks"), n_blocks[1].alias("near_blocks")).filter("far_blocks > 0")
+    apart = apart.join(_listed(cut_lineage(some)), "sig")
+    far, number = apart.filter("NOT near"), F.xxhash64("id")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    own, other = F.pmod(number, F.col("far_blocks")), "_other"
+    among = far.withColumn(other, each("far_blocks")).select("sig", "part", "id", "sketch", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), own.alias("side"))
+    with_near = far.withColumn(other, each("near_blocks")).select("sig", "part", "id", "sketch", own.alias("i"), (-F.col(other) - 1).alias("j"), F.lit(0).cast("bigint").alias("side"))
+    near = apart.filter("near").withColumn("i", each("far_blocks")).select(
+        "sig", "part", "id", "sketch", "i", (-F.pmod(number, F.col("near_blocks")) - 1).alias("j"), F.lit(1).cast("bigint").alias("side"))
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = pdf["side"].to_numpy() if pdf["i"].iloc[0] != pdf["j"].iloc[0] else None
+        ids = pdf["id"].to_numpy()
+        found = _tie(_low(pdf["sketch"]), pdf["part"].to_numpy(copy=True), side, percent)
+        return pd.DataFrame([(ids[x], ids[y]) for x, y in found], columns=["a", "b"], dtype="int64")
+
+    crossed = among.unionByName(with_near).unionByName(near).groupBy("sig", "i", "j").applyInPandas(between, "a long, b long")
+    return edges.unionByName(crossed).distinct()
 
 
 def _in_blocks(members: DataFrame, percent: int) -> DataFrame:
@@ -393,6 +435,9 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, per
     small = met.count() <= MAX_SHARED
     shared = spark.sparkContext.broadcast(_held(met, "sig")) if small else None
     classes = cut_lineage(_classes(rows, frequent, shared, percent, words))
+    for sent in (frequent, shared):  # nothing reads them again
+        if sent is not None:
+            sent.destroy()
     kept = cut_lineage(classes.filter(F.size("sigs") > 0).groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "sigs", "sketch")]))
     entries = kept.select("id", "n", "sketch", F.explode("sigs").alias("sig"))
     if not small:
