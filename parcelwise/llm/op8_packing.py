@@ -14,13 +14,15 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.running import with_position
 from ..session import cut_lineage
@@ -30,8 +32,12 @@ NAME = "op8_binary_packing"
 MAX_LENGTH = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept with their ids by a task; a full store starts anew.
-STORE = 600_000
+#: Bytes of words and their ids that a Python worker keeps, with `OVERHEAD` for each entry: half of them new, half from before,
+#: which stay if they are met again.
+STORE = 56 << 20
+OVERHEAD = 200
+#: Pieces that a task hands on at once.
+ROWS = 8192
 ORACLE_SQL = None  # tokens are not expressible; tests compare with a plain encoder and cut
 
 #: What the vocabulary's splitter cuts a word into, said for the letters below: letters, one digit, contractions, the rest.
@@ -66,35 +72,40 @@ class WordEncoder:
         self._whole = Tokenizer.from_file(path)
         self._model = self._whole.model
         self._letters = _byte_letters()
-        self._parts: dict[str, bytes] = {}
-        self._words: dict[bytes, bytes] = {}
+        self._young: dict[str | bytes, bytes] = {}
+        self._old: dict[str | bytes, bytes] = {}
+        self._held = 0
+
+    def _learn(self, word: str | bytes, make: Callable[[str | bytes], bytes]) -> bytes:
+        ids = self._old.get(word)
+        if ids is None:
+            ids = make(word)
+        if 2 * self._held > STORE:
+            self._old, self._young, self._held = self._young, {}, 0
+        self._young[word] = ids
+        self._held += OVERHEAD + len(word) + len(ids)
+        return ids
 
     def _merge(self, part: str) -> bytes:
         shown = part if part.isascii() else part.encode().decode("latin-1").translate(self._letters)
-        ids = self._parts[part] = array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
-        return ids
+        return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
 
     def _plain(self, word: str) -> bytes:
-        known = self._parts.get
-        found = _PARTS.findall(word)
-        ids = b"".join([known(p) or self._merge(p) for p in found])
-        if len(found) > 1:
-            self._parts[word] = ids
-        return ids
+        found, known = _PARTS.findall(word), self._young.get
+        if len(found) == 1:
+            return self._merge(word)
+        return b"".join([known(p) or self._learn(p, self._merge) for p in found])
 
     def _encode(self, word: bytes) -> bytes:
-        ids = self._words[word] = array("I", self._whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-        return ids
+        return array("I", self._whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        if len(self._parts) + len(self._words) > STORE:
-            self._parts.clear()
-            self._words.clear()
         if _OTHER.search(text) or "<|" in text:
-            known, learn, words = self._words.get, self._encode, text.encode("utf-8", "replace").split()
+            make, words = self._encode, text.encode("utf-8", "replace").split()
         else:
-            known, learn, words = self._parts.get, self._plain, text.lower().split()
-        return np.frombuffer(b"".join([known(w) or learn(w) for w in words]), "u4")
+            make, words = self._plain, text.lower().split()
+        known = self._young.get
+        return np.frombuffer(b"".join([known(w) or self._learn(w, make) for w in words]), "u4")
 
 
 @cache
@@ -114,21 +125,26 @@ def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, p
     """(id, start, length, ids_crc32, doc_tokens) for each piece of each row."""
     name = path
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(name or vocabulary_path()).ids
-        for pdf in batches:
-            out = []
-            for key, text in zip(pdf["id"], pdf["text"], strict=True):
-                ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
-                start = 0
+    schema = T.StructType.fromDDL("id string, start long, length long, ids_crc32 long, doc_tokens long")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, kinds, out = encoder(name or vocabulary_path()).ids, to_arrow_schema(schema), []
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time
+                ids = np.append(encode(text.as_py()), np.uint32(end_id)).astype("<u4")
+                key, start = key.as_py(), 0
                 for length in piece_lengths(len(ids), max_length):
                     out.append((key, start, length, zlib.crc32(ids[start:start + length].tobytes()), len(ids)))
                     start += length
-            yield pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens"])
+                    if len(out) == ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).cast("string").alias("id"), whole(text_col).alias("text"))
-    made = rows.mapInPandas(cut, "id string, start long, length long, ids_crc32 long, doc_tokens long")
+    made = rows.mapInArrow(cut, schema)
     return made.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
