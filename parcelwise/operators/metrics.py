@@ -5,6 +5,9 @@ label counts and the counts of everything below it.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +26,69 @@ def with_constant(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("_k", F.lit(1)).join(F.broadcast(row.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
 
-def chronological_split(df: DataFrame, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
-    """Add `position` (0-based in time order) and `split` (60/10/10/10/10 by position)."""
-    placed = with_position(df, list(order))
-    n = placed.agg(F.count(F.lit(1)).alias("_n"))
-    edge, cuts = F.lit(0.0), []
-    for name, share in SPLITS[:-1]:
-        edge = edge + F.bround(F.lit(share) * F.col("_n"), 0)
-        cuts.append((name, edge))
-    split = F.lit(SPLITS[-1][0])
-    for name, upto in reversed(cuts):
-        split = F.when(F.col("position") < upto, name).otherwise(split)
-    return with_constant(placed, n).withColumn("split", split).drop("_n")
+#: Buckets of a histogram that selects a rank, and rows among which the rank is looked up in the end.
+RANK_BUCKETS, RANK_ROWS = 4096, 4096
+
+
+def at_ranks(df: DataFrame, keys: list[Column], ranks_of: Callable[[int], list[int]]) -> list[tuple[int, ...] | None]:
+    """The keys of the rows at 0-based ranks by whole-number keys, without a sort; None beyond the last row.
+
+    `ranks_of` gives the ranks for a number of rows.
+
+    A histogram over the first key tells the bucket of each rank, one over that bucket a finer one, and so on through the keys,
+    until a bucket has few rows. Every scan reads the keys alone and hands on at most a row for each bucket.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*[k.cast("bigint").alias(n) for k, n in zip(keys, names, strict=True)])
+    ends = rows.agg(F.count(F.lit(1)).alias("n"), *[f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max)]).first()
+    span, ranks = [(ends[f"min{n}"], ends[f"max{n}"]) for n in names], ranks_of(ends["n"])
+    found: list[tuple[int, ...] | None] = [None] * len(ranks)
+    # rank, its number inside the interval, keys known, interval of the next one
+    open_ = [[i, r, (), *span[0], ends["n"]] for i, r in enumerate(ranks) if r < ends["n"]]
+
+    def inside(known: tuple, low: int, high: int) -> Column:
+        cond = F.col(names[len(known)]).between(low, high)
+        for n, v in zip(names, known, strict=False):
+            cond = cond & (F.col(n) == v)
+        return cond
+
+    while any(o[5] > RANK_ROWS for o in open_):
+        wide = [o for o in open_ if o[5] > RANK_ROWS]
+        widths = [-(-(high - low + 1) // RANK_BUCKETS) for _, _, _, low, high, _ in wide]
+        marks = [F.when(inside(known, low, high), F.struct(F.lit(k).alias("k"), F.floor((F.col(names[len(known)]) - low) / w).cast("bigint").alias("b")))
+                 for k, ((_, _, known, low, high, _), w) in enumerate(zip(wide, widths, strict=True))]
+        counts = rows.select(F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m")).groupBy("m.k", "m.b").count().collect()
+        for k, (o, w) in enumerate(zip(wide, widths, strict=True)):
+            for _, b, n in sorted(tuple(c) for c in counts if c["k"] == k):
+                if o[1] < n:
+                    low = o[3] + b * w
+                    o[3:] = [low, min(o[4], low + w - 1), n]
+                    break
+                o[1] -= n
+            if o[3] == o[4]:  # the key is known; rows that agree in all keys are alike
+                o[2] = (*o[2], o[3])
+                o[3:] = [*span[len(o[2])], o[5]] if len(o[2]) < len(names) else [0, 0, 0]
+    for i, _, known, *_ in [o for o in open_ if len(o[2]) == len(names)]:
+        found[i] = known
+    few = [o for o in open_ if len(o[2]) < len(names)]
+    if few:
+        marks = [F.when(inside(known, low, high), F.lit(k)) for k, (_, _, known, low, high, _) in enumerate(few)]
+        picked = rows.select(*names, F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("k")).collect()
+        for k, (i, r, *_) in enumerate(few):
+            found[i] = sorted(tuple(x)[:-1] for x in picked if x["k"] == k)[r]
+    return found
+
+
+def chronological_split(df: DataFrame, ts: str = "ts", seq: str = "seq", *, position: bool = False) -> DataFrame:
+    """Add `split` (60/10/10/10/10 in time order), and on request `position` (0-based), which alone needs the rows in order."""
+    keys = [F.unix_micros(ts), F.col(seq).cast("bigint")]
+    at, split = F.struct(*keys), F.lit(SPLITS[-1][0])
+    edges = at_ranks(df, keys, lambda n: list(accumulate(round(share * n) for _, share in SPLITS[:-1])))
+    for (name, _), edge in reversed(list(zip(SPLITS[:-1], edges, strict=True))):
+        before = F.lit(True) if edge is None else at < F.struct(*[F.lit(v).cast("bigint") for v in edge])
+        split = F.when(before, name).otherwise(split)
+    placed = with_position(df, [ts, seq]) if position else df
+    return placed.withColumn("split", split)
 
 
 def score_curve(df: DataFrame, score: str, label: str, by: list[str] | None = None, blocks: int = 1000) -> DataFrame:

@@ -16,10 +16,10 @@ from .registry import add
 from .sql import best_action, cte, pnl, quantile, sql
 
 
-def split_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Priced COD orders with their chronological split and a second, flatter score."""
+def split_frame(spark: SparkSession, sf_dir: str, position: bool = False) -> DataFrame:
+    """Priced COD orders with their chronological split and a second, flatter score; their position in time only on request."""
     priced = price_orders(lens.scored_cod(spark, sf_dir)).withColumn("p_base", 0.5 * F.col("p") + 0.125)
-    return M.chronological_split(priced.select(*[c for c in POLICY_COLUMNS if c in priced.columns]))
+    return M.chronological_split(priced.select(*[c for c in POLICY_COLUMNS if c in priced.columns]), position=position)
 
 
 # what pricing, policies and explanations read
@@ -30,8 +30,9 @@ POLICY_COLUMNS = (
     "cost_allow", "cost_stepup", "cost_prepaid", "position", "split")
 
 
-def part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return split_frame(spark, sf_dir).filter(F.col("split") == name)
+def part(spark: SparkSession, sf_dir: str, name: str, position: bool = False) -> DataFrame:
+    """One slice, written once: its users read it several times."""
+    return cut_lineage(split_frame(spark, sf_dir, position).filter(F.col("split") == name))
 
 
 def with_sets(df: DataFrame, variants: tuple[str, ...] = ("class",), alphas: tuple[float, ...] = (0.10,)) -> DataFrame:
@@ -44,8 +45,8 @@ def with_sets(df: DataFrame, variants: tuple[str, ...] = ("class",), alphas: tup
     return C.apply_sets(df, C.calibrate(df.filter("split = 'conf'"), alphas, variants=variants))
 
 
-def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.resolve(with_sets(split_frame(spark, sf_dir)))
+def decided(spark: SparkSession, sf_dir: str, position: bool = False) -> DataFrame:
+    return decide.resolve(with_sets(split_frame(spark, sf_dir, position)))
 
 
 cte("train", "SELECT * FROM split WHERE split = 'train'", "split")
@@ -55,7 +56,7 @@ cte("test", "SELECT *, 0.5e0 * p + 0.125e0 AS p_base FROM decided WHERE split =
 cte("tested", "SELECT p, rto, count(*) OVER () AS n, count(*) FILTER (rto) OVER () AS np FROM test", "test")
 
 # ------------------------------------------------------------------ E
-add("e1_chronological_split", lambda s, d: split_frame(s, d).select("order_id", "position", "split"), sql("SELECT order_id, position, split FROM split", "split"))
+add("e1_chronological_split", lambda s, d: split_frame(s, d, True).select("order_id", "position", "split"), sql("SELECT order_id, position, split FROM split", "split"))
 add("e2_instance_weights", lambda s, d: training.instance_weights(part(s, d, "train"), 0.5).select("order_id", F.round("weight", 6).alias("weight")),
     sql("SELECT order_id, round(w / avg(w) OVER (), 6) AS weight FROM (SELECT order_id, power(CASE WHEN rto THEN cost_fn ELSE cost_fp END, 0.5e0) AS w FROM train)", "train"))
 
@@ -65,7 +66,7 @@ TREES = {"max_trees": training.MAX_TREES, "depth": training.DEPTH}  # early stop
 
 def modelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split frame with the feature vector of each order, written once because training reads it many times."""
-    keep = ["order_id", "seq", "ts", "rto", "split", "position", "cart_gmv", "merchant_margin", "cac", "is_new_customer", "cost_fn", "cost_fp", "p_base"]
+    keep = ["order_id", "seq", "ts", "rto", "split", "cart_gmv", "merchant_margin", "cac", "is_new_customer", "cost_fn", "cost_fp", "p_base"]
     vector = features(spark, sf_dir).select("order_id", *MODEL_FEATURES)
     return cut_lineage(split_frame(spark, sf_dir).select(*keep).join(vector, "order_id"))
 
@@ -245,7 +246,7 @@ add("f10_rto_by_certainty", lambda s, d: C.rto_by_certainty(with_sets(split_fram
 
 def recalibrated(spark: SparkSession, sf_dir: str, isotonic: bool) -> DataFrame:
     """Fit on the first 30 % of the TEST regime, report coverage on the rest."""
-    regime = part(spark, sf_dir, "test")
+    regime = part(spark, sf_dir, "test", True)
     n = regime.agg(F.floor(0.3 * F.count("*")).alias("_cut"), F.min("position").alias("_first"))
     marked = M.with_constant(regime, n).withColumn("fresh", F.col("position") - F.col("_first") < F.col("_cut"))
     if isotonic:

@@ -106,9 +106,9 @@ add("g14_budget_to_shadow_price", lambda s, d: D.budget_price(supplier_config(s,
 FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN (s_suppkey % 13) / 10e0 END AS budget FROM supplier)""", "front_valid"))
 
 
-def served(spark: SparkSession, sf_dir: str) -> DataFrame:
+def served(spark: SparkSession, sf_dir: str, position: bool = False) -> DataFrame:
     """Decided orders with a five-percent control band and one shadow merchant."""
-    df = decided(spark, sf_dir).withColumn("phone_h", entity_hash("phone", F.col("phone")))
+    df = decided(spark, sf_dir, position).withColumn("phone_h", entity_hash("phone", F.col("phone")))
     return D.serve(df, shadow=F.col("merchant_id") == "trial_store")
 
 
@@ -143,10 +143,10 @@ add("h2_summary_by_action", flagship, sql(summary("action", "decided"), "decided
 add("h2_summary_by_split", lambda s, d: tidy(V.simulate(decided(s, d), ["split"]), "split"), sql(summary("split", "decided"), "decided"))
 
 
-def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def policies(spark: SparkSession, sf_dir: str, position: bool = False) -> DataFrame:
     """Every policy's action for every TEST order; thresholds and budget price are tuned on VALID."""
     # thresholds, frontier and policies all read these two slices
-    df = cut_lineage(with_sets(split_frame(spark, sf_dir)).filter("split in ('valid', 'test')"))
+    df = cut_lineage(with_sets(split_frame(spark, sf_dir, position)).filter("split in ('valid', 'test')"))
     valid, test = df.filter("split = 'valid'"), df.filter("split = 'test'")
     choices = M.with_constant(V.tuned_thresholds(valid), V.budget_choice(V.frontier(valid)))
     return V.policy_actions(test, choices)
@@ -213,7 +213,7 @@ add("h9_candidate_table", lambda s, d: tidy(candidates(s, d), "tag"),
 
 # ---- logged decisions: four cycles by position, the latest orders still without an outcome
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = cut_lineage(served(spark, sf_dir))
+    df = cut_lineage(served(spark, sf_dir, True))
     n = df.agg(F.count("*").alias("_n"))
     return M.with_constant(df, n).withColumn("cycle", F.least(F.lit(3), F.floor(F.col("position") * 4 / F.col("_n"))).cast("int")).drop("_n").withColumn("regime", F.lit("ipw"))
 
@@ -284,7 +284,7 @@ cte("walk", f"SELECT policy, position + 1 AS orders, sum({pnl('action')}) OVER (
 
 
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = cut_lineage(policies(spark, sf_dir))
+    a = cut_lineage(policies(spark, sf_dir, True))
     first = a.agg(F.min("position").alias("_f"))
     return V.pnl_trajectory(M.with_constant(a, first).withColumn("position", F.col("position") - F.col("_f")))
 

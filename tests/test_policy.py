@@ -127,6 +127,33 @@ def test_ranking_metrics_equal_pair_counting(spark):
     assert m["pr_auc"] == pytest.approx(ap)
 
 
+@pytest.mark.parametrize("buckets,few", [(4096, 4096), (4, 10), (2, 0)])
+def test_ranks_are_found_without_a_sort(spark, monkeypatch, buckets, few):
+    """Ties in time, negative and far keys; the same keys as after a sort."""
+    import random
+    from parcelwise.operators import metrics
+    monkeypatch.setattr(metrics, "RANK_BUCKETS", buckets)
+    monkeypatch.setattr(metrics, "RANK_ROWS", few)
+    r = random.Random(6)
+    rows = [(r.choice([-5, 0, 7, 7, 7, 10 ** 12]), r.randrange(-20, 20)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    want = sorted(rows)
+    ranks = [0, 1, 29, 30, 59, 60, 99]
+    assert metrics.at_ranks(df, [F.col("a"), F.col("b")], lambda n: ranks) == [want[k] if k < 60 else None for k in ranks]
+    assert metrics.at_ranks(df.limit(0), [F.col("a")], lambda n: [0]) == [None]
+
+
+def test_split_by_edges_equals_split_by_position(spark):
+    from datetime import datetime, timedelta
+    from parcelwise.operators import metrics
+    for n in (1, 2, 5, 37):
+        rows = [(datetime(2024, 1, 1) + timedelta(days=i * 7 % 4), i) for i in range(n)]
+        out = metrics.chronological_split(spark.createDataFrame(rows, "ts timestamp, seq long"), position=True).collect()
+        ends = [round(0.6 * n) + k * round(0.1 * n) for k in range(4)]
+        for x in out:
+            assert x["split"] == ["train", "valid", "calib", "conf", "test"][sum(x["position"] >= e for e in ends)]
+
+
 def test_isotonic_is_monotone_and_interpolates(spark):
     df, _ = sample(spark, 1000)
     model = training.fit_isotonic(df, "p")
