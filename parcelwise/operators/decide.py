@@ -197,17 +197,21 @@ def reason_codes(df: DataFrame, contributions: dict[str, Column], keep: list[str
     known = [(f, code, text) for f, code, text in REASON_CODES if f in contributions]
     items = F.array(*[F.struct(
         F.abs(contributions[f]).alias("size"), F.lit(-i).alias("first"), F.lit(code).alias("code"), F.lit(f).alias("feature"),
-        F.round(F.col(f).cast("double"), 4).alias("value"), F.round(contributions[f], 4).alias("contribution"),
-        F.when(contributions[f] > 0, "RISK_UP").otherwise("RISK_DOWN").alias("direction"),
-        _human(f, text, F.col(f).cast("double")).alias("human")) for i, (f, code, text) in enumerate(known)])
-    ranked = F.sort_array(F.filter(items, lambda x: x["size"] >= REASON_CODE_MIN_ABS), asc=False)
+        F.col(f).cast("double").alias("raw"), contributions[f].alias("by")) for i, (f, code, _) in enumerate(known)])
+    # a column of its own, so that it is made once a row and not again for each of its items
+    ranked = F.col("_ranked")
+    df = df.select(*keep, F.sort_array(F.filter(items, lambda x: x["size"] >= REASON_CODE_MIN_ABS), asc=False).alias("_ranked"))
     unique = F.filter(F.transform(ranked, lambda x, i: F.struct(
         x.alias("x"), F.exists(F.slice(ranked, F.lit(1), i), lambda e: e["code"] == x["code"]).alias("again"))),
         lambda s: ~s["again"])
     best = df.select(*keep, F.slice(unique, 1, top).alias("_top"))
-    return best.select(*keep, F.posexplode("_top").alias("rank", "t")).select(
-        *keep, (F.col("rank") + 1).alias("rank"), "t.x.code", "t.x.feature", "t.x.value", "t.x.contribution",
-        "t.x.direction", "t.x.human")
+    rows = best.select(*keep, F.posexplode("_top").alias("rank", "t")).select(*keep, (F.col("rank") + 1).alias("rank"), "t.x.*")
+    # only what is shown is put into words
+    human = F.lit(None).cast("string")
+    for f, _, text in known:
+        human = F.when(F.col("feature") == f, _human(f, text, F.col("raw"))).otherwise(human)
+    return rows.select(*keep, "rank", "code", "feature", F.round("raw", 4).alias("value"), F.round("by", 4).alias("contribution"),
+                       F.when(F.col("by") > 0, "RISK_UP").otherwise("RISK_DOWN").alias("direction"), human.alias("human"))
 
 
 def linear_contributions(coefficients: dict[str, float], means: dict[str, float]) -> dict[str, Column]:
