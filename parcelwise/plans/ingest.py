@@ -4,14 +4,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import address, pincodes, text
+from ..functions import pincodes, text
 from ..functions.economics import weight_multiplier
-from ..operators import graph, pit, response
+from ..operators import response
 from ..operators.decide import serve
 from ..sources import ledger, lens, merchant_csv, merchants, requests
 from ..streaming.jobs import run_folder
 from .registry import add, made
-from .sql import cte, entity_hash, pin_info, q, sql, strlist
+from .sql import cte, entity_hash, pin_info, sql
 
 # ------------------------------------------------------------------ merchant export
 # Expressions that read the same in Spark SQL and DuckDB: a messy export made of the whole order table.

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ..config import CERTAINTIES
 from ..functions.economics import price_orders
 from ..operators import conformal as C
-from ..operators import decide, drift
+from ..operators import drift
 from ..operators import dispute as K
 from ..operators import metrics as M
 from ..operators import response as R

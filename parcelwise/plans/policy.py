@@ -10,7 +10,6 @@ from ..functions.text import entity_hash
 from ..operators import decide as D
 from ..operators import evaluate as V
 from ..operators import metrics as M
-from ..operators import pit
 from ..session import cut_lineage
 from ..sources import lens
 from .ingest import supplier_config
