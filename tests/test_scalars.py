@@ -96,3 +96,11 @@ def test_payment_fallback(spark):
 @pytest.mark.parametrize("raw,want", [("+91 98765 43210", "9876543210"), ("43210", "43210"), ("0-98765-43210", "9876543210")])
 def test_phone_digits(spark, raw, want):
     assert spark.range(1).select(text.phone_digits(F.lit(raw)).alias("p")).first()["p"] == want
+
+
+def test_reason_codes_choose_within_a_code_before_they_sort(spark):
+    df = spark.createDataFrame([(1, 0.2, -0.9, 0.3), (2, 0.5, 0.5, 0.01), (3, None, 0.4, None)], "order_id int, hour_sin double, hour_cos double, is_cod double")
+    rows = decide.reason_codes(df, {c: F.col(c) for c in ("hour_sin", "hour_cos", "is_cod")}, ["order_id"])
+    got = sorted((r["order_id"], r["rank"], r["code"], r["feature"], r["contribution"]) for r in rows.collect())
+    assert got == [(1, 1, "RSK_ODD_HOUR", "hour_cos", -0.9), (1, 2, "RSK_COD", "is_cod", 0.3), (2, 1, "RSK_ODD_HOUR", "hour_sin", 0.5), (3, 1, "RSK_ODD_HOUR", "hour_cos", 0.4)]
+    assert "exists(" not in rows._jdf.queryExecution().optimizedPlan().toString()
