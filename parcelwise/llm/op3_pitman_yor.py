@@ -117,17 +117,20 @@ class Block:
         self.finish()
 
     def finish(self) -> None:
-        """Counts of words and the distinct pairs, by context and word."""
+        """Counts of words."""
+        self.trained = np.repeat(~self.held, self.lengths)
+        self.counts = np.bincount(self._tokens[self.trained], minlength=len(self.words))
+
+    def pair(self) -> None:
+        """The distinct pairs, by context and word: for who asks for them, since they are sorted for it."""
         n, v = len(self._tokens), len(self.words)
         first = np.cumsum(self.lengths) - self.lengths
         before = np.empty(n, "i8")
         before[1:] = self._tokens[:-1]
         before[first] = self.start
-        trained = np.repeat(~self.held, self.lengths)
-        self.counts = np.bincount(self._tokens[trained], minlength=v)
         keys, self.pair_of = np.unique(before * v + self._tokens, return_inverse=True)
         self.context, self.word = np.divmod(keys, v)
-        self.pair_counts = np.bincount(self.pair_of[trained], minlength=len(keys))
+        self.pair_counts = np.bincount(self.pair_of[self.trained], minlength=len(keys))
 
     def parts(self, n: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The partition of each word and of each pair: of its context, or of its word where the context is frequent."""
@@ -180,6 +183,7 @@ def _pair_requests(n: int, hot: np.ndarray):
     """For each block and partition: contexts, pairs of each, words (40 bits), training counts, and the words' local frequency."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
+            b.pair()
             _, part = b.parts(n, hot)
             share = np.rint(8 * np.log2((b.counts + 0.5) / (b.counts.sum() + 1))).clip(-255, 0)  # in eighths of a power of two
             rows = []
@@ -380,6 +384,7 @@ def _score(n: int, hot: np.ndarray, hot_tables: np.ndarray, sums: tuple):
         if not texts or not answers["words"]:
             raise ValueError("a block was read in another way than when it asked")
         text = _read_texts(texts[0])
+        text.pair()
         own, pair_part = text.parts(n, hot)
         count, served = np.zeros(len(text.words)), np.zeros(len(text.words))
         for p, at in _dealt(own):

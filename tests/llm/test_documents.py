@@ -404,3 +404,12 @@ def test_flow_by_groups_of_sources():
     assert taken[:20_000] == [min(quota[m[0]], 2 * w) for m, w in patterns[:20_000]]
     assert taken[20_000:] == op9._flow(patterns[20_000:], {s: quota[s] for s in ("a", "b", "c", "d", None)}, 2)
     assert op9.flow([], {}) == [] and op9.flow([((), 5)], {}) == [0]
+
+
+def test_op3_sorts_pairs_only_for_who_asks():
+    from parcelwise.llm.op3_pitman_yor import Block
+
+    b = Block([1, 2], ["a b a b", "b a"], "x")
+    assert not hasattr(b, "pair_of") and b.counts.sum() == sum(n for n, held in zip(b.lengths, b.held) if not held)
+    b.pair()
+    assert len(b.pair_of) == b.lengths.sum() and b.pair_counts.sum() == b.counts.sum()
