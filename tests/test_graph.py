@@ -135,3 +135,20 @@ def test_mean_over_neighbours_of_ones_is_one(spark):
     edges = G.edge_list(h)
     ones = G.node_counts(h).select("node", F.lit(1.0).alias("x"))
     assert {r["x_n1"] for r in G.neighbour_mean(edges, ones, ["x"]).collect()} == {1.0}
+
+
+def test_nodes_that_hash_alike_get_another_salt(spark, monkeypatch):
+    h = spark.createDataFrame([(str(i), i, f"phone:{i}", f"device:{i % 3}") for i in range(6)], "order_id string, seq long, phone string, device string").selectExpr(
+        "*", "timestamp_seconds(seq) AS ts", "timestamp_seconds(seq + 9) AS outcome_ts", "seq % 2 = 0 AS rto")
+    code, salts = G._code, []
+
+    def poor(kind, node, salt):
+        salts.append(salt)
+        return code(kind, F.substring(node, 1, 3) if salt == 0 else node, salt)
+
+    monkeypatch.setattr(G, "_code", poor)
+    orders, nodes = G.coded_orders(h)
+    assert set(salts) == {0, 1}
+    assert nodes.count() == nodes.select("node").distinct().count() == 9
+    assert {(r["name"], r["count"]) for r in nodes.collect()} == {(f"phone:{i}", 1) for i in range(6)} | {(f"device:{i}", 2) for i in range(3)}
+    assert dict(orders.dtypes)["phone"] == "bigint"

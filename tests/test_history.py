@@ -113,3 +113,21 @@ def test_position_is_a_global_row_number(spark):
     df = spark.range(500).select(F.timestamp_seconds(F.col("id") * 7919 % 1000 * 3600).alias("ts"), "id")
     got = sorted((r["ts"], r["id"], r["position"]) for r in with_position(df, ["ts", "id"]).collect())
     assert [g[2] for g in got] == list(range(500))
+
+
+def test_hot_keys_are_told_apart_without_sorting_their_rows(spark):
+    """A key's rows in one sorting task are what the ranges are there to avoid."""
+    from parcelwise.operators.running import hot_keys, running_by_key
+
+    rows = spark.range(300).selectExpr("id % 3 = 0 AS k", "id")
+    hot = hot_keys(rows.groupBy("k").count(), 150)
+    former = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where the list's estimate is large
+    try:
+        seen = running_by_key(rows, ["k"], ["id"], {"n": ("sum", F.lit(1))}, hot=hot)
+        plan = seen._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", former)
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    assert not [line for line in plan.splitlines() if "SortMergeJoin" in line and "LeftAnti" in line]
+    assert sorted(r["n"] for r in seen.filter("k").collect()) == list(range(100))
