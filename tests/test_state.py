@@ -75,7 +75,7 @@ def test_entity_deltas_add_up(spark, tmp_path, cuts):
         assert len(r["recent"]) == min(40, len(placed)) and (not placed or r["recent"][0] == placed[-1][3].timestamp())
 
 
-def reads(spark, tmp_path, name, parts):
+def reads(spark, tmp_path, name, parts, **how):
     """Entity reads of a stream over `parts`, one micro-batch each."""
     src = tmp_path / f"{name}-in"
     schema = "order_id string, seq long, ts timestamp, phone string, device string, addr string, delivery_pin string, cart_gmv double, rto boolean, kind int"
@@ -84,7 +84,7 @@ def reads(spark, tmp_path, name, parts):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src / f"b{i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(src))
     with J.state_in_rocksdb(spark):
-        made = J.entity_reads_stream(J.read_events(stream.filter("kind = 0"), stream.filter("kind = 1"), ["order_id"]))
+        made = J.entity_reads_stream(J.read_events(stream.filter("kind = 0"), stream.filter("kind = 1"), ["order_id"]), **how)
         J.start(made, J.batch_folder_sink(str(tmp_path / f"{name}-out")), str(tmp_path / f"{name}-ckpt")).awaitTermination()
     return spark.read.parquet(str(tmp_path / f"{name}-out"))
 
@@ -105,6 +105,14 @@ def test_reads_see_what_came_before(spark, tmp_path):
         assert r["recent"] == (min(40, sum((me[3] - x[3]).total_seconds() <= back for x in placed)) if back else 0)
         assert (r["first_at"] is None) == (not placed) and (not placed or r["first_at"] == int(placed[0][3].timestamp() * 1e6))
 
+def test_a_group_of_keys_keeps_them_apart(spark, tmp_path, monkeypatch):
+    """All keys in one group of state, related ids beyond those in a key's row: the same reads in one batch as in many."""
+    monkeypatch.setattr(J, "KEY_GROUPS", 1)
+    rows = sample(60)
+    want = sorted(map(repr, reads(spark, tmp_path, "whole", [rows]).drop("batch_id").collect()))
+    cut = reads(spark, tmp_path, "cut", [rows[:20], rows[20:21], rows[21:]], in_row=1)
+    assert sorted(map(repr, cut.drop("batch_id").collect())) == want
+
 
 def fates(spark, tmp_path, name, rows, limit):
     schema = "range long, order_id string, kind int, at long, seq long, rto boolean, payload string"
