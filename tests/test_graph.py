@@ -2,6 +2,7 @@ import random
 
 from order_rows import make_orders
 
+from parcelwise.operators import components as C
 from parcelwise.operators import graph as G
 from parcelwise.operators.components import component_history, connected_components, final_labels, merge_forest
 from pyspark.sql import functions as F
@@ -152,3 +153,24 @@ def test_nodes_that_hash_alike_get_another_salt(spark, monkeypatch):
     assert nodes.count() == nodes.select("node").distinct().count() == 9
     assert {(r["name"], r["count"]) for r in nodes.collect()} == {(f"phone:{i}", 1) for i in range(6)} | {(f"device:{i}", 2) for i in range(3)}
     assert dict(orders.dtypes)["phone"] == "bigint"
+
+
+def test_edges_at_hand_give_the_same_counts(spark):
+    hashed = G.hashed_orders(make_orders(spark, [(f"p{i % 4}", f"d{i % 3}", f"a{i % 2}", None, "i", i % 2 == 0) for i in range(12)]))
+    own, given = G.node_counts(hashed), G.node_counts(hashed, G.edge_list(hashed).select("a", "b"))
+    assert sorted(map(str, own.collect())) == sorted(map(str, given.select(*own.columns).collect()))
+    assert {r["nbr_device"] for r in own.filter("node like 'phone:%'").collect()} == {3}
+
+
+def test_settled_edges_leave_the_rounds(spark, monkeypatch):
+    """An edge that nothing can move any more is written once, not in every later round."""
+    written, cut = [], C.cut_lineage
+    monkeypatch.setattr(C, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    rng = random.Random(3)
+    rows = [(rng.randrange(200), rng.randrange(200), i, i) for i in range(300)]
+    forest = {(r["node"], r["parent"]) for r in merge_forest(spark.createDataFrame(rows, "a long, b long, ts long, seq long")).collect()}
+    kept = [{(r["u"], r["v"]) for r in w.filter("kept").collect()} for w in written[1:]]
+    later = [{r["u"] for r in w.collect()} for w in written[1:]]
+    assert len(kept) > 2 and kept[0]
+    for i, edges in enumerate(kept):
+        assert edges <= forest and not {u for u, _ in edges} & set().union(*later[i + 1:])
