@@ -6,7 +6,7 @@ from order_rows import make_orders
 from replay import ring_features, velocity as slow_velocity
 
 from parcelwise.functions.pincodes import with_pin_info
-from parcelwise.operators import graph, pit
+from parcelwise.operators import graph, pit, training
 from parcelwise.operators.running import hot_keys, running, running_by_key, with_position
 from pyspark.sql import functions as F
 
@@ -131,3 +131,29 @@ def test_hot_keys_are_told_apart_without_sorting_their_rows(spark):
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
     assert not [line for line in plan.splitlines() if "SortMergeJoin" in line and "LeftAnti" in line]
     assert sorted(r["n"] for r in seen.filter("k").collect()) == list(range(100))
+
+
+def test_asked_orders_have_the_features_they_have_among_all(spark):
+    orders = make_orders(spark, crowd(60, 5)).withColumn("odd", F.col("seq") % 2 == 1)
+    full, asked = with_pin_info(orders), F.col("odd")
+    for hot_rows in (1_000_000, 8):
+        want = {tuple(r) for r in pit.velocity(full, hot_rows=hot_rows).filter("seq % 2 = 1").collect()}
+        assert want and {tuple(r) for r in pit.velocity(full, hot_rows=hot_rows, of=asked).collect()} == want
+    for published in (True, False):
+        want = {tuple(r) for r in graph.ring_features(graph.hashed_orders(orders), published=published).filter("seq % 2 = 1").collect()}
+        assert want and {tuple(r) for r in graph.ring_features(graph.hashed_orders(orders, of=asked), published=published).collect()} == want
+
+
+def test_an_order_goes_to_each_of_its_entities_once(spark):
+    plan = pit.velocity(with_pin_info(make_orders(spark, crowd(20, 5))))._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moves) == 2 and sum("entity" in m for m in moves) == 1 and not any("other" in m for m in moves)
+
+
+def test_candidates_are_scored_once(spark):
+    rows = [(f"o{i}", ["train", "train", "train", "valid", "calib", "conf", "test"][i % 7], i % 3 == 0, float(i % 11), 1, 500.0, 0.2) for i in range(210)]
+    data = spark.createDataFrame(rows, "order_id string, split string, rto boolean, x double, pin_tier int, weight_grams double, addr_defect_score double")
+    _, scored, _ = training.candidate(data, ["x"], 0.0, max_trees=2, depth=2)
+    assert "UDF" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert {"p", "split", "pin_tier", "weight_grams", "addr_defect_score"} <= set(scored.columns) and "x" not in scored.columns
+    assert {r["split"] for r in scored.select("split").distinct().collect()} == {"valid", "conf", "test"}
