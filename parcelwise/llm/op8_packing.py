@@ -36,12 +36,16 @@ VOCABULARY = "word_bpe_49k.json"
 #: which stay if they are met again.
 STORE = 56 << 20
 OVERHEAD = 200
+#: The same where packing has the workers to itself; the pipeline's other stages need the room.
+OWN_STORE = 128 << 20
 #: Pieces that a task hands on at once.
 ROWS = 8192
 ORACLE_SQL = None  # tokens are not expressible; tests compare with a plain encoder and cut
 
 #: What the vocabulary's splitter cuts a word into, said for the letters below: letters, one digit, contractions, the rest.
 _PARTS = re.compile(r"[^\W\d_]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+")
+#: ASCII that they may hold.
+_PLAIN_BYTES = bytes([*range(9, 14), *range(32, 127)])
 #: Texts with any other character (marks to compose, further scripts and white space) go the whole way, word by word.
 _OTHER = re.compile(r"[^\t-\r\x20-\x7eÀ-ÖØ-öø-ÿĀ-įĲ-ň\u014a-ž]|İ|[ŉĿŀ]")
 
@@ -65,7 +69,7 @@ class WordEncoder:
     parts in order. Plain texts are split here and only merged by the vocabulary; all others take the whole way.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, store: int = STORE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -74,13 +78,13 @@ class WordEncoder:
         self._letters = _byte_letters()
         self._young: dict[str | bytes, bytes] = {}
         self._old: dict[str | bytes, bytes] = {}
-        self._held = 0
+        self._held, self._store = 0, store
 
     def _learn(self, word: str | bytes, make: Callable[[str | bytes], bytes]) -> bytes:
         ids = self._old.get(word)
         if ids is None:
             ids = make(word)
-        if 2 * self._held > STORE:
+        if 2 * self._held > self._store:
             self._old, self._young, self._held = self._young, {}, 0
         self._young[word] = ids
         self._held += OVERHEAD + len(word) + len(ids)
@@ -100,7 +104,8 @@ class WordEncoder:
         return array("I", self._whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        if _OTHER.search(text) or "<|" in text:
+        rest = text.encode("utf-8", "surrogatepass").translate(None, _PLAIN_BYTES)  # most texts leave little to search
+        if "<|" in text or (rest and _OTHER.search(rest.decode("utf-8", "surrogatepass"))):
             make, words = self._encode, text.encode("utf-8", "replace").split()
         else:
             make, words = self._plain, text.lower().split()
@@ -109,9 +114,9 @@ class WordEncoder:
 
 
 @cache
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, store: int = STORE) -> WordEncoder:
     """One for each Python worker; it keeps its words from task to task."""
-    return WordEncoder(path)
+    return WordEncoder(path, store)
 
 
 def piece_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
@@ -121,14 +126,14 @@ def piece_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
 
 
 def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, path: str | None = None, end_id: int = END_ID,
-           max_length: int = MAX_LENGTH) -> DataFrame:
+           max_length: int = MAX_LENGTH, store: int = STORE) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens) for each piece of each row."""
     name = path
 
     schema = T.StructType.fromDDL("id string, start long, length long, ids_crc32 long, doc_tokens long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kinds, out = encoder(name or vocabulary_path()).ids, to_arrow_schema(schema), []
+        encode, kinds, out = encoder(name or vocabulary_path(), store).ids, to_arrow_schema(schema), []
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time
                 ids = np.append(encode(text.as_py()), np.uint32(end_id)).astype("<u4")
@@ -156,4 +161,4 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **opti
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), store=OWN_STORE)

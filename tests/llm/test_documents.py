@@ -413,3 +413,11 @@ def test_op3_sorts_pairs_only_for_who_asks():
     assert not hasattr(b, "pair_of") and b.counts.sum() == sum(n for n, held in zip(b.lengths, b.held) if not held)
     b.pair()
     assert len(b.pair_of) == b.lengths.sum() and b.pair_counts.sum() == b.counts.sum()
+
+
+def test_a_full_word_store_changes_no_ids(docs):
+    path = op8_packing.vocabulary_path()
+    small, wide = op8_packing.WordEncoder(path, 4_000), op8_packing.WordEncoder(path, op8_packing.OWN_STORE)
+    for _, text in rows_of(docs)[:60]:
+        assert small.ids(text).tolist() == wide.ids(text).tolist() == wide._whole.encode(text, add_special_tokens=False).ids
+    assert len(small._young) + len(small._old) < len(wide._young)
