@@ -174,3 +174,19 @@ def test_settled_edges_leave_the_rounds(spark, monkeypatch):
     assert len(kept) > 2 and kept[0]
     for i, edges in enumerate(kept):
         assert edges <= forest and not {u for u, _ in edges} & set().union(*later[i + 1:])
+
+
+def test_published_numbers_come_from_codes_and_equal_those_of_names(spark, monkeypatch):
+    """What is published of a node, worked out on codes, is what components, statistics and degrees of names say."""
+    rng = random.Random(11)
+    some = lambda kind, n: None if rng.random() < 0.15 else f"{kind}{rng.randrange(n)}"
+    h = G.hashed_orders(make_orders(spark, [(some("p", 25), some("d", 30), some("a", 6), some("v", 12), some("i", 4), rng.random() < 0.5) for _ in range(90)]))
+    comps = G.components(h)
+    stats, degrees = G.ring_statistics(h, comps), G.node_degrees(G.edge_list(h)).withColumn("shared", G.is_shared(F.col("node"), F.col("degree"), F.col("phones")))
+    numbers = ("size", "phones", "devices", "addrs", "orders", "rto", "delivered")
+    want = comps.join(stats, "component").join(degrees.select("node", "degree", "shared"), "node", "left").na.fill(0, ["degree"]).na.fill(False, ["shared"])
+    want = want.select("node", "component", *numbers, "degree", "shared")
+    codes, real = [], G.connected_components
+    monkeypatch.setattr(G, "connected_components", lambda nodes, edges: codes.append(dict(nodes.dtypes)["node"]) or real(nodes, edges))
+    got = G.published_rings(h).select("node", "r_name", *[f"r_{c}" for c in numbers], "_degree", "_shared")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and codes == ["bigint"]

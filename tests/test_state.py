@@ -114,6 +114,33 @@ def test_a_group_of_keys_keeps_them_apart(spark, tmp_path, monkeypatch):
     assert sorted(map(repr, cut.drop("batch_id").collect())) == want
 
 
+def test_rows_in_small_packs_and_ranges_read_the_same(spark, tmp_path, monkeypatch):
+    """Packs of a few rows and ranges of a few moments, moments that many rows share, a missing time, a missing amount."""
+    rows = [list(r) for r in sample(60)]
+    for i in range(20, 32):
+        rows[i][3] = rows[20][3]
+    rows[40][3], rows[41][8] = None, None
+    want = sorted(map(repr, reads(spark, tmp_path, "whole", [rows]).drop("batch_id").collect()))
+    for name, n in (("PACK_EVENTS", 9), ("PACK_ROWS", 2), ("RANGE_ROWS", 5), ("KEY_GROUPS", 2)):
+        monkeypatch.setattr(J, name, n)
+    assert sorted(map(repr, reads(spark, tmp_path, "cut", [rows]).drop("batch_id").collect())) == want
+
+
+def test_events_go_to_the_state_in_packs(spark):
+    """Rows that are shuffled and sorted for the state: a few packs of numbers, without the order's own columns."""
+    rows = spark.range(2000).select(
+        F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"), *[F.concat(F.lit(c), F.col("id") % 5).alias(c) for c in ("phone", "device", "addr")],
+        F.lit("110001").alias("delivery_pin"), F.lit(1.5).alias("cart_gmv"), F.lit(True).alias("rto"), F.lit("x" * 1000).alias("shipping_address")).coalesce(1)
+    events = J.read_events(rows, rows, ["shipping_address"])
+    table = events.drop("payload").toArrow()
+    packs = list(J.packed(iter(table.to_batches()), J.KEY_GROUPS))
+    assert table.num_rows == 4000 and sum(p.num_rows for p in packs) <= 3 * 5 * (4000 // J.PACK_ROWS + 1) + 4000 // J.PACK_ROWS + 1
+    assert sum(p.nbytes for p in packs) < 40 * 4 * 4000
+    at = [pd.Series(memoryview(b["at"][i].as_py()).cast("q")) for b in packs for i in range(b.num_rows)]
+    assert sum(map(len, at)) == 4 * 4000 and all(x.is_monotonic_increasing for x in at)
+    assert J.with_orders(events.select("seq", F.lit("phone").alias("entity")), events).filter("payload is not null").count() == 2000
+
+
 def fates(spark, tmp_path, name, rows, limit):
     schema = "range long, order_id string, kind int, at long, seq long, rto boolean, payload string"
     src = str(tmp_path / f"{name}-in")
